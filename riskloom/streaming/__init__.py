@@ -1,0 +1,7 @@
+"""Streaming.
+
+The workflow this library rebuilds is batch only: it has no stream source,
+watermark, window over event time or state. Nothing is registered here on
+purpose; scoring new applications is a batch ``transform`` of the fitted
+pipeline (``riskloom.operators.model``).
+"""
