@@ -115,4 +115,129 @@ def application_bureau_join_sql() -> str:
     )
 
 
+# ------------------------------------------------------------------ previous chain
+def _pos_agg_cte() -> str:
+    return (
+        "pos_agg AS (\nSELECT SK_ID_PREV,\n  "
+        + select_list_sql(specs.POS_CASH)
+        + "\nFROM pos_cash WHERE SK_ID_PREV IS NOT NULL GROUP BY SK_ID_PREV\n)"
+    )
+
+
+def _inst_ctes(as_written: bool = False) -> str:
+    d = "ASC NULLS FIRST" if as_written else "DESC NULLS LAST"
+    return f"""inst_enriched AS (
+SELECT *,
+  DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT AS delay_days,
+  AMT_INSTALMENT - AMT_PAYMENT AS underpay_amt,
+  AMT_PAYMENT / nullif(AMT_INSTALMENT, 0) AS payment_ratio,
+  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, TB1 {d}, TB2 {d}, TB3 {d}) AS rk
+FROM installments
+),
+inst_agg AS (
+SELECT SK_ID_PREV,
+  {select_list_sql(specs.INSTALLMENTS, "rk", specs.LAST_K)}
+FROM inst_enriched WHERE SK_ID_PREV IS NOT NULL GROUP BY SK_ID_PREV
+)"""
+
+
+def _cc_ctes() -> str:
+    d = "DESC NULLS LAST"
+    return f"""cc_enriched AS (
+SELECT *,
+  AMT_BALANCE / nullif(CAST(AMT_CREDIT_LIMIT_ACTUAL AS DOUBLE), 0) AS balance_rate,
+  AMT_DRAWINGS_CURRENT / nullif(AMT_BALANCE, 0) AS spend_rate,
+  (AMT_RECIVABLE - AMT_RECEIVABLE_PRINCIPAL) / nullif(AMT_RECEIVABLE_PRINCIPAL, 0) AS interest_rate,
+  AMT_TOTAL_RECEIVABLE / nullif(AMT_RECEIVABLE_PRINCIPAL, 0) AS cost_ratio,
+  AMT_BALANCE / nullif(AMT_RECEIVABLE_PRINCIPAL, 0) AS loan_rate,
+  CASE WHEN NAME_CONTRACT_STATUS = 'Active' AND MONTHS_BALANCE = -1 THEN AMT_TOTAL_RECEIVABLE ELSE 0e0 END AS current_debt,
+  CASE WHEN AMT_CREDIT_LIMIT_ACTUAL > 0 THEN 1 ELSE 0 END AS has_credit_limit,
+  CASE WHEN AMT_BALANCE = 0 THEN 1 ELSE 0 END AS zero_balance,
+  CASE WHEN AMT_RECEIVABLE_PRINCIPAL = 0 THEN 1 ELSE 0 END AS zero_principal,
+  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY MONTHS_BALANCE {d}, TB1 {d}, TB2 {d}, TB3 {d}) AS rk
+FROM credit_card
+),
+cc_agg AS (
+SELECT SK_ID_PREV,
+  {select_list_sql(specs.CREDIT_CARD, "rk", specs.LAST_K)}
+FROM cc_enriched WHERE SK_ID_PREV IS NOT NULL GROUP BY SK_ID_PREV
+)"""
+
+
+_PREV_ENRICHED = """prev_joined AS (
+SELECT * FROM previous_application
+  LEFT JOIN pos_agg USING (SK_ID_PREV)
+  LEFT JOIN inst_agg USING (SK_ID_PREV)
+  LEFT JOIN cc_agg USING (SK_ID_PREV)
+),
+prev_clean AS (
+SELECT * REPLACE (
+  nullif(DAYS_FIRST_DRAWING, 365243) AS DAYS_FIRST_DRAWING,
+  nullif(DAYS_FIRST_DUE, 365243) AS DAYS_FIRST_DUE,
+  nullif(DAYS_LAST_DUE_1ST_VERSION, 365243) AS DAYS_LAST_DUE_1ST_VERSION,
+  nullif(DAYS_LAST_DUE, 365243) AS DAYS_LAST_DUE,
+  nullif(DAYS_TERMINATION, 365243) AS DAYS_TERMINATION),
+  CASE WHEN NAME_CONTRACT_STATUS IN ('Approved', 'Unused offer') THEN 1 ELSE 0 END AS is_approved,
+  CASE WHEN NAME_CONTRACT_STATUS = 'Refused' THEN 1 ELSE 0 END AS is_refused
+FROM prev_joined
+),
+prev_enriched AS (
+SELECT *,
+  AMT_ANNUITY * is_approved AS approved_annuity,
+  CASE WHEN is_approved = 1 THEN AMT_CREDIT END AS approved_credit,
+  CASE WHEN is_refused = 1 THEN AMT_CREDIT END AS refused_credit,
+  AMT_APPLICATION - AMT_CREDIT AS request_diff,
+  CASE WHEN is_refused = 0 AND DAYS_FIRST_DRAWING IS NOT NULL THEN 1 ELSE 0 END AS was_disbursed,
+  DAYS_FIRST_DUE - DAYS_FIRST_DRAWING AS grace_period,
+  DAYS_TERMINATION - DAYS_LAST_DUE_1ST_VERSION AS delay,
+  DAYS_LAST_DUE - DAYS_LAST_DUE_1ST_VERSION AS prolongation,
+  DAYS_LAST_DUE_1ST_VERSION - DAYS_FIRST_DUE AS loan_duration,
+  CAST(unpaid_inst_cnt AS DOUBLE) / nullif(CAST(inst_cnt AS DOUBLE), 0) AS unpaid_ratio,
+  row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY DAYS_DECISION DESC NULLS LAST, SK_ID_PREV DESC NULLS LAST) AS rk
+FROM prev_clean
+)"""
+
+
+def _prev_agg_cte(as_written: bool = False) -> str:
+    feature_list = specs.previous_as_written() if as_written else specs.PREVIOUS
+    return (
+        "prev_agg AS (\nSELECT SK_ID_CURR,\n  "
+        + select_list_sql(feature_list, "rk", specs.LAST_K)
+        + "\nFROM prev_enriched WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR\n)"
+    )
+
+
+_PREV_VIEWS = ["previous_application", "pos_cash", "installments", "credit_card"]
+
+
+def _prev_ctes(as_written: bool = False) -> list[str]:
+    return [_pos_agg_cte(), _inst_ctes(), _cc_ctes(), _PREV_ENRICHED, _prev_agg_cte(as_written)]
+
+
+def pos_cash_agg_sql() -> str:
+    return _ctes(["pos_cash"], [_pos_agg_cte()], "SELECT * FROM pos_agg")
+
+
+def installments_agg_sql(as_written: bool = False) -> str:
+    return _ctes(["installments"], [_inst_ctes(as_written)], "SELECT * FROM inst_agg")
+
+
+def credit_card_agg_sql() -> str:
+    return _ctes(["credit_card"], [_cc_ctes()], "SELECT * FROM cc_agg")
+
+
+def previous_enriched_sql() -> str:
+    return _ctes(_PREV_VIEWS, [_pos_agg_cte(), _inst_ctes(), _cc_ctes(), _PREV_ENRICHED],
+                 "SELECT * EXCLUDE (rk) FROM prev_enriched")
+
+
+def previous_agg_sql(as_written: bool = False) -> str:
+    return _ctes(_PREV_VIEWS, _prev_ctes(as_written), "SELECT * FROM prev_agg")
+
+
+def application_previous_join_sql() -> str:
+    return _ctes(["application"] + _PREV_VIEWS, _prev_ctes(),
+                 "SELECT * FROM application LEFT JOIN prev_agg USING (SK_ID_CURR)")
+
+
 __all__ = ["round_doubles", "VIEWS"]
