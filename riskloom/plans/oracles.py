@@ -240,4 +240,129 @@ def application_previous_join_sql() -> str:
                  "SELECT * FROM application LEFT JOIN prev_agg USING (SK_ID_CURR)")
 
 
+# ------------------------------------------------------------------ EDA
+QUANTILE_FEATURES_SQL = [
+    ("age_years", "-CAST(DAYS_BIRTH AS DOUBLE) / 365.25e0", 10),
+    ("income_thousands", "floor(AMT_INCOME_TOTAL / 1000e0)", 9),
+    ("credit_thousands", "floor(AMT_CREDIT / 1000e0)", 10),
+    ("AMT_ANNUITY", "AMT_ANNUITY", 10),
+    ("REGION_POPULATION_RELATIVE", "REGION_POPULATION_RELATIVE", 10),
+    ("employed_years", "-CAST(nullif(DAYS_EMPLOYED, 365243) AS DOUBLE) / 365.25e0", 10),
+    ("year_reg_duration", "-DAYS_REGISTRATION / 365.25e0", 10),
+    ("id_reg_duration", "-CAST(DAYS_ID_PUBLISH AS DOUBLE) / 365.25e0", 10),
+    ("OWN_CAR_AGE", "OWN_CAR_AGE", 10),
+    ("EXT_SOURCE_1", "EXT_SOURCE_1", 10),
+    ("EXT_SOURCE_2", "EXT_SOURCE_2", 10),
+    ("EXT_SOURCE_3", "EXT_SOURCE_3", 10),
+]
+
+
+def _probs_sql(q: int) -> str:
+    return "[" + ", ".join(f"{i / q!r}e0" if "e" not in repr(i / q) else repr(i / q) for i in range(q + 1)) + "]"
+
+
+def quantile_bins_sql(names: list[str] | None = None) -> str:
+    feats = [f for f in QUANTILE_FEATURES_SQL if names is None or f[0] in names]
+    long = "\n  UNION ALL\n  ".join(
+        f"SELECT '{n}' AS feature, CAST({e} AS DOUBLE) AS value, TARGET FROM application WHERE TARGET IS NOT NULL"
+        for n, e, _ in feats
+    )
+    edges = "\n  UNION ALL\n  ".join(
+        f"SELECT '{n}' AS feature, list_sort(list_distinct(quantile_cont(value, {_probs_sql(q)}))) AS edges "
+        f"FROM long_values WHERE feature = '{n}'"
+        for n, _, q in feats
+    )
+    extra = [
+        f"long_all AS (\n  {long}\n)",
+        "long_values AS (SELECT * FROM long_all WHERE value IS NOT NULL)",
+        f"edges AS (\n  {edges}\n)",
+        "binned AS (\nSELECT l.feature, l.TARGET, e.edges,\n"
+        "  CAST(greatest(1, len(list_filter(e.edges, lambda x: x < l.value))) AS INTEGER) AS bin\n"
+        "FROM long_values l JOIN edges e ON l.feature = e.feature\n)",
+    ]
+    final = (
+        "SELECT feature, bin, any_value(edges[bin]) AS lo,\n"
+        "  any_value(CASE WHEN len(edges) > 1 THEN edges[bin + 1] ELSE edges[bin] END) AS hi,\n"
+        "  count(TARGET) AS count, avg(TARGET) AS default_rate\n"
+        "FROM binned GROUP BY feature, bin"
+    )
+    return _ctes(["application"], extra, final)
+
+
+def fixed_bins_sql(column: str, edges=(0, 1, 2, 3, 5, 10, 100)) -> str:
+    cases = " ".join(f"WHEN {column} > {edges[i - 1]} AND {column} <= {edges[i]} THEN {i}" for i in range(1, len(edges)))
+    los = " ".join(f"WHEN {i} THEN CAST({edges[i - 1]} AS DOUBLE)" for i in range(1, len(edges)))
+    his = " ".join(f"WHEN {i} THEN CAST({edges[i]} AS DOUBLE)" for i in range(1, len(edges)))
+    final = (
+        f"SELECT bin, CASE bin {los} END AS lo, CASE bin {his} END AS hi, count, default_rate FROM (\n"
+        f"  SELECT CASE {cases} END AS bin, count(TARGET) AS count, avg(TARGET) AS default_rate\n"
+        f"  FROM application GROUP BY 1\n) WHERE bin IS NOT NULL"
+    )
+    return _ctes(["application"], [], final)
+
+
+def hour_band_sql() -> str:
+    final = (
+        "SELECT process_start_group, count(TARGET) AS count, avg(TARGET) AS default_rate FROM (\n"
+        "  SELECT CASE WHEN HOUR_APPR_PROCESS_START BETWEEN 6 AND 11 THEN 'morning'\n"
+        "    WHEN HOUR_APPR_PROCESS_START BETWEEN 12 AND 17 THEN 'afternoon'\n"
+        "    WHEN HOUR_APPR_PROCESS_START BETWEEN 18 AND 23 THEN 'evening' ELSE 'night' END AS process_start_group,\n"
+        "    TARGET FROM application\n) GROUP BY process_start_group"
+    )
+    return _ctes(["application"], [], final)
+
+
+def category_rates_sql() -> str:
+    cols = ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "REGION_RATING_CLIENT_W_CITY"]
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, TARGET FROM application" for c in cols
+    )
+    final = (
+        f"SELECT feature, category, count(TARGET) AS count, avg(TARGET) AS default_rate FROM (\n  {parts}\n)\n"
+        "WHERE category IS NOT NULL GROUP BY feature, category"
+    )
+    return _ctes(["application"], [], final)
+
+
+def missing_rates_sql() -> str:
+    feats = {"DAYS_EMPLOYED": "nullif(DAYS_EMPLOYED, 365243)", "EXT_SOURCE_1": "EXT_SOURCE_1",
+             "EXT_SOURCE_2": "EXT_SOURCE_2", "EXT_SOURCE_3": "EXT_SOURCE_3"}
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{n}' AS feature, CASE WHEN {e} IS NULL THEN 1 ELSE 0 END AS is_missing, TARGET FROM application"
+        for n, e in feats.items()
+    )
+    final = (
+        "SELECT feature, is_missing, count(TARGET) AS count, avg(TARGET) AS default_rate,\n"
+        "  count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM application) AS share\n"
+        f"FROM (\n  {parts}\n) GROUP BY feature, is_missing"
+    )
+    return _ctes(["application"], [], final)
+
+
+def target_distribution_sql() -> str:
+    final = ("SELECT TARGET, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM application WHERE TARGET IS NOT NULL)"
+             " AS proportion FROM application WHERE TARGET IS NOT NULL GROUP BY TARGET")
+    return _ctes(["application"], [], final)
+
+
+def value_counts_sql(view: str, column: str) -> str:
+    return _ctes([view], [], f"SELECT {column}, count(*) AS count FROM {view} WHERE {column} IS NOT NULL GROUP BY {column}")
+
+
+def shape_sql() -> str:
+    n_cols = len(VIEWS["application"][2])
+    return _ctes(["application"], [], f"SELECT count(*) AS n_rows, {n_cols} AS n_cols FROM application")
+
+
+def head_sql(n: int = 5) -> str:
+    return _ctes(["application"], [], f"SELECT * FROM application ORDER BY SK_ID_CURR LIMIT {n}")
+
+
+def distinct_counts_sql(columns: list[str]) -> str:
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS nunique FROM application" for c in columns
+    )
+    return _ctes(["application"], [], parts)
+
+
 __all__ = ["round_doubles", "VIEWS"]
