@@ -365,4 +365,112 @@ def distinct_counts_sql(columns: list[str]) -> str:
     return _ctes(["application"], [], parts)
 
 
+# ------------------------------------------------------------------ encoding and processed table
+# Fixture vocabulary (the values the adapter views produce at every scale factor).
+GENDER_VALUES = ["F", "M", "XNA"]
+INCOME_TYPE_VALUES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _label_codes_sql() -> str:
+    return ("CASE FLAG_OWN_CAR WHEN 'N' THEN 0 WHEN 'Y' THEN 1 END AS FLAG_OWN_CAR, "
+            "CASE FLAG_OWN_REALTY WHEN 'N' THEN 0 WHEN 'Y' THEN 1 END AS FLAG_OWN_REALTY")
+
+
+def _dummies_sql() -> str:
+    parts = [f"CASE WHEN CODE_GENDER = '{v}' THEN 1 ELSE 0 END AS CODE_GENDER_{v}" for v in GENDER_VALUES]
+    parts += [f"CASE WHEN NAME_INCOME_TYPE = '{v}' THEN 1 ELSE 0 END AS NAME_INCOME_TYPE_{v}" for v in INCOME_TYPE_VALUES]
+    return ",\n  ".join(parts)
+
+
+def label_encode_sql() -> str:
+    return _ctes(["application"], [], f"SELECT SK_ID_CURR, {_label_codes_sql()} FROM application")
+
+
+def one_hot_sql() -> str:
+    return _ctes(["application"], [], f"SELECT SK_ID_CURR,\n  {_dummies_sql()}\nFROM application")
+
+
+_RECODE = """recoded AS (
+SELECT * REPLACE (
+    coalesce(nullif(DAYS_EMPLOYED, 365243), -1) AS DAYS_EMPLOYED,
+    coalesce(EXT_SOURCE_1, -1e0) AS EXT_SOURCE_1,
+    coalesce(EXT_SOURCE_2, -1e0) AS EXT_SOURCE_2,
+    coalesce(EXT_SOURCE_3, -1e0) AS EXT_SOURCE_3),
+  CASE WHEN nullif(DAYS_EMPLOYED, 365243) IS NULL THEN 1 ELSE 0 END AS days_employed_missing,
+  AMT_CREDIT / nullif(AMT_INCOME_TOTAL, 0) AS credit_income_ratio,
+  AMT_ANNUITY / nullif(AMT_INCOME_TOTAL, 0) AS annuity_income_ratio,
+  ln(1 + AMT_INCOME_TOTAL) AS log_income,
+  ln(1 + AMT_CREDIT) AS log_credit,
+  CASE WHEN CNT_CHILDREN >= 3 THEN 1 ELSE 0 END AS has_many_children,
+  CASE WHEN EXT_SOURCE_1 IS NULL THEN 1 ELSE 0 END AS ext_source_1_missing,
+  CASE WHEN EXT_SOURCE_3 IS NULL THEN 1 ELSE 0 END AS ext_source_3_missing
+FROM application LEFT JOIN bureau_agg USING (SK_ID_CURR)
+)"""
+
+
+def _encoded_cte() -> str:
+    return (
+        "processed AS (\nSELECT * EXCLUDE (CODE_GENDER, NAME_INCOME_TYPE) REPLACE ("
+        + _label_codes_sql()
+        + "),\n  "
+        + _dummies_sql()
+        + "\nFROM recoded\n)"
+    )
+
+
+def _flags_cte() -> str:
+    fills = ",\n    ".join(f"coalesce({c}, -1) AS {c}" for c in specs.bureau_output_columns())
+    enq = ",\n    ".join(
+        f"coalesce({c}, -1e0) AS {c}"
+        for c in ["AMT_REQ_CREDIT_BUREAU_HOUR", "AMT_REQ_CREDIT_BUREAU_DAY", "AMT_REQ_CREDIT_BUREAU_WEEK",
+                  "AMT_REQ_CREDIT_BUREAU_MON", "AMT_REQ_CREDIT_BUREAU_QRT", "AMT_REQ_CREDIT_BUREAU_YEAR"]
+    )
+    return (
+        "flagged AS (\nSELECT * REPLACE (\n    " + fills + ",\n    " + enq + "),\n"
+        "  CASE WHEN first_credit_time IS NOT NULL THEN 1 ELSE 0 END AS has_credit_history,\n"
+        "  CASE WHEN AMT_REQ_CREDIT_BUREAU_YEAR IS NOT NULL THEN 1 ELSE 0 END AS has_credit_enquiries\n"
+        "FROM processed\n)"
+    )
+
+
+_RATIOS = """model_ready AS (
+SELECT *,
+  AMT_ANNUITY / nullif(AMT_CREDIT, 0) AS credit_annuity_ratio,
+  AMT_CREDIT - AMT_GOODS_PRICE AS credit_over_goods_price,
+  DAYS_BIRTH - DAYS_EMPLOYED AS days_without_work,
+  AMT_CREDIT / nullif(CNT_FAM_MEMBERS, 0) AS credit_per_family_member,
+  AMT_ANNUITY / nullif(CNT_FAM_MEMBERS, 0) AS annuity_per_family_member,
+  AMT_INCOME_TOTAL / nullif(CNT_FAM_MEMBERS, 0) AS income_per_family_member
+FROM flagged
+)"""
+
+_BUREAU_VIEWS = ["application", "bureau", "bureau_balance"]
+
+
+def application_recode_sql() -> str:
+    return _ctes(_BUREAU_VIEWS, [_bureau_ctes(), _RECODE, _encoded_cte()], "SELECT * FROM processed")
+
+
+def credit_history_flags_sql() -> str:
+    return _ctes(_BUREAU_VIEWS, [_bureau_ctes(), _RECODE, _encoded_cte(), _flags_cte()], "SELECT * FROM flagged")
+
+
+def model_ratios_sql() -> str:
+    return _ctes(_BUREAU_VIEWS, [_bureau_ctes(), _RECODE, _encoded_cte(), _flags_cte(), _RATIOS],
+                 "SELECT * FROM model_ready")
+
+
+def null_report_sql() -> str:
+    """A6 over the processed table: one UNION ALL branch per column (columns read from the bound query)."""
+    base = application_recode_sql()
+    cols = _binder().sql(base).columns
+    ctes = [_bureau_ctes(), _RECODE, _encoded_cte()]
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({_quote(c)}) AS Count, "
+        f"(count(*) - count({_quote(c)})) * 100e0 / count(*) AS pct FROM processed"
+        for c in cols
+    )
+    return _ctes(_BUREAU_VIEWS, ctes, f"SELECT * FROM (\n  {parts}\n) WHERE Count > 0")
+
+
 __all__ = ["round_doubles", "VIEWS"]

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.rounding import portable_round
 from ..operators import summary
 from ..sources.adapters import Tables
-from . import eda, features as fe, oracles as orc
+from ..operators import encode as enc
+from . import eda, features as fe, oracles as orc, processed as pr
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[SparkQuery, Callable[[], str] | None]] = {}
@@ -180,3 +181,41 @@ def _prev_agg_as_written(t):
 @register("application_previous_join", orc.application_previous_join_sql)
 def _app_prev(t):
     return fe.application_previous(t.application, *_prev(t))
+
+
+# ------------------------------------------------------------------ encoding and model table (02, 03)
+def _app_strings(t):
+    app = t.application
+    return app, enc.fit_vocabulary(app)
+
+
+@register("label_encode", orc.label_encode_sql)
+def _label_encode(t):
+    app, vocab = _app_strings(t)
+    return enc.label_encode(app, vocab).select("SK_ID_CURR", *vocab.binary)
+
+
+@register("one_hot", orc.one_hot_sql)
+def _one_hot(t):
+    app, vocab = _app_strings(t)
+    return enc.one_hot(app.select("SK_ID_CURR", *vocab.onehot), vocab)
+
+
+@register("application_recode", orc.application_recode_sql)
+def _recode(t):
+    return pr.processed_features(t.application, t.bureau, t.bureau_balance)[0]
+
+
+@register("null_report", orc.null_report_sql)
+def _null_report(t):
+    return summary.null_report(pr.processed_features(t.application, t.bureau, t.bureau_balance)[0])
+
+
+@register("credit_history_flags", orc.credit_history_flags_sql)
+def _history_flags(t):
+    return pr.history_flags(pr.processed_features(t.application, t.bureau, t.bureau_balance)[0])
+
+
+@register("model_ratios", orc.model_ratios_sql)
+def _model_ratios(t):
+    return pr.model_table(t.application, t.bureau, t.bureau_balance)[0]
