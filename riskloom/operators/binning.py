@@ -50,29 +50,39 @@ def stack_features(df: DataFrame, features: Sequence[str | tuple[str, Column]],
     )
 
 
-def _probs_column(qs: Mapping[str, int]) -> Column:
+def _probs_column(probs: Mapping[str, Sequence[float]]) -> Column:
     """Per-feature probability array as a CASE over the (small, fixed) feature list."""
+    lists = {tuple(float(p) for p in ps) for ps in probs.values()}
+    if len(lists) == 1:  # one list for every feature: a literal, no CASE
+        return F.array(*[F.lit(p) for p in next(iter(lists))])
     expr = None
-    for name, q in qs.items():
-        arr = F.array(*[F.lit(p) for p in probabilities(q)])
+    for name, ps in probs.items():
+        arr = F.array(*[F.lit(float(p)) for p in ps])
         expr = F.when(F.col("feature") == name, arr) if expr is None else expr.when(F.col("feature") == name, arr)
     return expr
 
 
-def _edges_percentile(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
-    # percentile needs a foldable probability array: one aggregate column per distinct q
-    distinct_q = sorted(set(qs.values()))
-    aggs = [F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probabilities(q)])).alias(f"e{q}")
-            for q in distinct_q]
+def _quantiles_percentile(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> DataFrame:
+    # percentile needs a foldable probability array: one aggregate column per distinct list
+    lists = sorted({tuple(float(p) for p in ps) for ps in probs.values()})
+    aggs = [F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps])).alias(f"q{i}") for i, ps in enumerate(lists)]
     grouped = long.groupBy("feature").agg(*aggs)
-    pick = None
-    for name, q in qs.items():
+    if len(lists) == 1:
+        arr = F.array(*[F.lit(p) for p in lists[0]])
+        return grouped.select("feature", F.explode(F.arrays_zip(arr.alias("p"), F.col("q0").alias("value"))).alias("z")) \
+            .select("feature", F.col("z.p").alias("p"), F.col("z.value").alias("value"))
+    pick_p, pick_v = None, None
+    for name, ps in probs.items():
+        i = lists.index(tuple(float(p) for p in ps))
         cond = F.col("feature") == name
-        pick = F.when(cond, F.col(f"e{q}")) if pick is None else pick.when(cond, F.col(f"e{q}"))
-    return grouped.select("feature", F.array_distinct(pick).alias("edges"))
+        arr = F.array(*[F.lit(float(p)) for p in ps])
+        pick_p = F.when(cond, arr) if pick_p is None else pick_p.when(cond, arr)
+        pick_v = F.when(cond, F.col(f"q{i}")) if pick_v is None else pick_v.when(cond, F.col(f"q{i}"))
+    return grouped.select("feature", F.explode(F.arrays_zip(pick_p.alias("p"), pick_v.alias("value"))).alias("z")) \
+        .select("feature", F.col("z.p").alias("p"), F.col("z.value").alias("value"))
 
 
-def _edges_rank(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
+def _quantiles_rank(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> DataFrame:
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranks = prefix_sums(counts, "feature", "value", ["cnt"])
     ranks = ranks.select(
@@ -81,10 +91,10 @@ def _edges_rank(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
         (F.col("cnt_before") + F.col("cnt")).alias("rank_end"),  # exclusive
         F.col("cnt_total").alias("n"),
     )
-    # target positions p*(n-1) with floor/ceil ranks, per feature (small: features x (q+1))
+    # target positions p*(n-1) with floor/ceil ranks, per feature (small: features x probabilities)
     targets = (
         ranks.groupBy("feature").agg(F.first("n").alias("n"))
-        .withColumn("p", F.explode(_probs_column(qs)))
+        .withColumn("p", F.explode(_probs_column(probs)))
         .withColumn("pos", F.col("p") * (F.col("n") - 1))
         .select("feature", "p", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
         .groupBy("feature")
@@ -104,26 +114,38 @@ def _edges_rank(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
         F.first(F.col("x.pos")).alias("pos"),
         F.first(F.col("x.lo")).alias("lo"),
     )
-    edge = F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * (F.col("pos") - F.col("lo"))
-    return per_p.groupBy("feature").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", edge.alias("e")))),
-                                     lambda s: s["e"])).alias("edges")
-    )
+    value = F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * (F.col("pos") - F.col("lo"))
+    return per_p.select("feature", "p", value.alias("value"))
 
 
-def quantile_edges(long: DataFrame, qs: Mapping[str, int], method: str = "auto",
-                   max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> DataFrame:
-    """(feature, edges) for stacked (feature, value) rows; edges ascending, duplicates dropped."""
+def choose_method(long: DataFrame, max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> str:
+    """``percentile`` when a sketch bounds every feature's distinct values, else ``rank``."""
+    widest = long.groupBy("feature").agg(F.approx_count_distinct("value", 0.05).alias("d")).agg(F.max("d")).first()[0]
+    return "percentile" if (widest or 0) <= max_distinct else "rank"
+
+
+def quantile_values(long: DataFrame, probs: Mapping[str, Sequence[float]], method: str = "auto",
+                    max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> DataFrame:
+    """Exact linear-interpolated quantiles of stacked (feature, value) rows: (feature, p, value)."""
     if method == "auto":
-        widest = long.groupBy("feature").agg(F.approx_count_distinct("value", 0.05).alias("d")).agg(F.max("d")).first()[0]
-        method = "percentile" if (widest or 0) <= max_distinct else "rank"
+        method = choose_method(long, max_distinct)
     if method == "percentile":
-        return _edges_percentile(long, qs)
+        return _quantiles_percentile(long, probs)
     if method == "rank":
-        return _edges_rank(long, qs)
+        return _quantiles_rank(long, probs)
     raise ValueError(method)
 
 
+def quantile_edges(long: DataFrame, qs: Mapping[str, int], method: str = "auto",
+                   max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> DataFrame:
+    """(feature, edges) for stacked (feature, value) rows; edges ascending, duplicates dropped."""
+    values = quantile_values(long, {f: probabilities(q) for f, q in qs.items()}, method, max_distinct)
+    return values.groupBy("feature").agg(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))),
+                                     lambda s: s["value"])).alias("edges")
+    )
+
+
 def assign_bins(long: DataFrame, edges: DataFrame) -> DataFrame:
     """Bin number (1-based), lower and upper edge of every stacked row (right-closed, lowest included).
 

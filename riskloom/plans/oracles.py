@@ -473,4 +473,64 @@ def null_report_sql() -> str:
     return _ctes(_BUREAU_VIEWS, ctes, f"SELECT * FROM (\n  {parts}\n) WHERE Count > 0")
 
 
+# ------------------------------------------------------------------ split, medians, metrics
+def _hash_unit_sql(id_col: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({id_col} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296e0"
+
+
+def hash_split_sql() -> str:
+    u = _hash_unit_sql("SK_ID_CURR")
+    final = (f"SELECT SK_ID_CURR, TARGET, CASE WHEN {u} < 0.7e0 THEN 'train' WHEN {u} < 0.91e0 THEN 'validation' "
+             "ELSE 'test' END AS split FROM application")
+    return _ctes(["application"], [], final)
+
+
+MEDIAN_COLUMNS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE", "CNT_FAM_MEMBERS",
+                  "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "DAYS_BIRTH", "CNT_CHILDREN"]
+
+
+def median_impute_sql() -> str:
+    u = _hash_unit_sql("SK_ID_CURR")
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), 0.5e0) AS median FROM train WHERE {c} IS NOT NULL"
+        for c in MEDIAN_COLUMNS
+    )
+    return _ctes(["application"], [f"train AS (SELECT * FROM application WHERE {u} < 0.7e0)"], parts)
+
+
+def auc_exact_sql() -> str:
+    return """WITH scored AS (
+  SELECT CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+),
+by_score AS (
+  SELECT score, count(CASE WHEN label = 1 THEN 1 END) AS pos, count(CASE WHEN label = 0 THEN 1 END) AS neg
+  FROM scored WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY score
+),
+cum AS (
+  SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+  FROM by_score
+)
+SELECT sum(pos * (neg_before + neg * 0.5e0)) / (sum(pos) * sum(neg)) AS auc,
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+FROM cum"""
+
+
+def threshold_sweep_sql() -> str:
+    thresholds = ", ".join(f"({i / 10!r}e0)" for i in range(1, 10))
+    final = f"""SELECT t.threshold,
+  coalesce(count(CASE WHEN s.score >= t.threshold AND s.label = 1 THEN 1 END) / nullif(CAST(count(CASE WHEN s.label = 1 THEN 1 END) AS DOUBLE), 0), 0e0) AS recall,
+  coalesce(count(CASE WHEN s.score >= t.threshold AND s.label = 1 THEN 1 END) / nullif(CAST(count(CASE WHEN s.score >= t.threshold THEN 1 END) AS DOUBLE), 0), 0e0) AS precision,
+  count(CASE WHEN s.score >= t.threshold THEN 1 END) AS predicted_positive
+FROM (SELECT 1e0 - EXT_SOURCE_2 AS score, TARGET AS label FROM application WHERE EXT_SOURCE_2 IS NOT NULL) s
+CROSS JOIN (VALUES {thresholds}) AS t(threshold)
+GROUP BY t.threshold"""
+    return _ctes(["application"], [], final)
+
+
+def pick_threshold_sql(min_recall: float = 0.5) -> str:
+    inner = threshold_sweep_sql()
+    return (f"SELECT * FROM (\n{inner}\n) AS sweep WHERE recall >= {min_recall!r}e0 "
+            "ORDER BY precision DESC, threshold DESC LIMIT 1")
+
+
 __all__ = ["round_doubles", "VIEWS"]

@@ -15,7 +15,8 @@ from ..functions.rounding import portable_round
 from ..operators import summary
 from ..sources.adapters import Tables
 from ..operators import encode as enc
-from . import eda, features as fe, oracles as orc, processed as pr
+from ..operators import binning, metrics, split
+from . import eda, features as fe, modeling, oracles as orc, processed as pr
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[SparkQuery, Callable[[], str] | None]] = {}
@@ -219,3 +220,57 @@ def _history_flags(t):
 @register("model_ratios", orc.model_ratios_sql)
 def _model_ratios(t):
     return pr.model_table(t.application, t.bureau, t.bureau_balance)[0]
+
+
+# ------------------------------------------------------------------ split, metrics, models (03, 04)
+@register("hash_split", orc.hash_split_sql)
+def _hash_split(t):
+    return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR")
+
+
+@register("median_impute", orc.median_impute_sql)
+def _median_impute(t):
+    train = split.hash_split(t.application, "SK_ID_CURR").where("split = 'train'")
+    long = binning.stack_features(train, orc.MEDIAN_COLUMNS)
+    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS})
+    return values.select("feature", values["value"].alias("median"))
+
+
+@register("auc_exact", orc.auc_exact_sql)
+def _auc(t):
+    return metrics.auc(modeling.document_scores(t.raw("documents"), t.raw("labels")))
+
+
+@register("threshold_sweep", orc.threshold_sweep_sql)
+def _sweep(t):
+    return modeling.sweep(t.application)
+
+
+@register("pick_threshold", orc.pick_threshold_sql)
+def _pick(t):
+    return metrics.pick_threshold(modeling.sweep(t.application), 0.5)
+
+
+@register("lr_score")
+def _lr_score(t):
+    return modeling.baseline_scores(t)
+
+
+@register("gbt_score")
+def _gbt_score(t):
+    return modeling.tree_scores(t)
+
+
+@register("gbt_importance")
+def _gbt_importance(t):
+    return modeling.tree_importance(t)
+
+
+@register("univariate_select")
+def _select(t):
+    return modeling.selected_features(t)
+
+
+@register("ablation")
+def _ablation(t):
+    return modeling.ablation_report(t)
