@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.rounding import portable_round
 from ..operators import summary
+from ..sources import readers, schemas, sinks
 from ..sources.adapters import Tables
 from ..operators import encode as enc
 from ..operators import binning, metrics, split
@@ -274,3 +275,20 @@ def _select(t):
 @register("ablation")
 def _ablation(t):
     return modeling.ablation_report(t)
+
+
+# ------------------------------------------------------------------ sources and sinks
+@register("csv_source_roundtrip", lambda: orc._ctes(["application"], [], "SELECT * FROM application"))
+def _csv_roundtrip(t):
+    """SRC-01 + SRC-11: the application table written as CSV (nulls as 'NA') and read back
+    through the existence check, the null tokens and the declared schema."""
+    path = sinks.scratch_path(t.spark, "csv")
+    t.application.write.option("header", True).option("nullValue", "NA").csv(path)
+    readers.check_inputs(t.spark, {"application": path})
+    return readers.read_csv(t.spark, path, schemas.APPLICATION)
+
+
+@register("materialized_bureau_agg", orc.bureau_agg_sql)
+def _materialized(t):
+    """SNK-01 + SRC-08: the bureau aggregate written to Parquet and read back."""
+    return sinks.materialize(fe.bureau_agg(t.bureau, t.bureau_balance))

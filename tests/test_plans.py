@@ -1,0 +1,64 @@
+"""Physical-plan properties: no Python on the hot path, partial top-K before the shuffle,
+one exchange per rollup key, column pruning at the scan."""
+import pytest
+
+import __spark_entry__ as entry
+from conftest import SF01
+from riskloom.plans import features as fe
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bureau_agg", "previous_agg", "multi_feature_bins", "threshold_sweep",
+                                  "application_recode", "installments_agg"])
+def test_no_python_udf(spark, name):
+    p = optimized(entry.queries()[name](spark, SF01))
+    assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_last_k_is_limited_before_the_shuffle(spark, tables01):
+    p = plan_of(fe.installments_agg(tables01.installments))
+    lines = p.split("\n")
+    partial = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line and "Partial" in line]
+    final = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line and "Final" in line]
+    assert partial and final
+    # tree order: Final above the exchange on the key, Partial below it (map side)
+    between = lines[final[0]:partial[0]]
+    assert any("Exchange hashpartitioning(SK_ID_PREV" in line for line in between)
+
+
+def test_installments_rollup_exchanges(spark, tables01):
+    p = plan_of(fe.installments_agg(tables01.installments))
+    # one exchange for the full aggregate, one for the top-K rows; the join reuses both partitionings
+    assert p.count("Exchange hashpartitioning(SK_ID_PREV") == 2
+
+
+def test_scan_reads_only_needed_columns(spark, tables01):
+    df = fe.bureau_balance_agg(tables01.bureau_balance)
+    p = optimized(df)
+    read_schema = p[p.index("ReadSchema"):].split("\n")[0]
+    assert "l_orderkey" in read_schema and "l_extendedprice" not in read_schema and "l_shipdate" not in read_schema
+
+
+def test_left_joins_keep_application_rows(spark, tables01):
+    n = tables01.application.count()
+    assert fe.application_bureau(tables01.application, tables01.bureau, tables01.bureau_balance).count() == n
+    prev = (tables01.previous_application, tables01.pos_cash, tables01.installments, tables01.credit_card)
+    assert fe.application_previous(tables01.application, *prev).count() == n
+
+
+def test_result_independent_of_shuffle_partitions(spark, tables01):
+    base = sorted(fe.bureau_agg(tables01.bureau, tables01.bureau_balance).select("SK_ID_CURR", "defaults", "sold_times").collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        other = sorted(fe.bureau_agg(tables01.bureau, tables01.bureau_balance).select("SK_ID_CURR", "defaults", "sold_times").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert base == other
