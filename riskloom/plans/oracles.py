@@ -533,4 +533,26 @@ def pick_threshold_sql(min_recall: float = 0.5) -> str:
             "ORDER BY precision DESC, threshold DESC LIMIT 1")
 
 
+# ------------------------------------------------------------------ small profiles
+def bureau_column_minimums_sql(non_negative_only: bool = False) -> str:
+    cols = specs.bureau_output_columns()
+    parts = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value FROM bureau_agg" for c in cols
+    )
+    final = f"SELECT * FROM (\n  {parts}\n)"
+    if non_negative_only:
+        final += " WHERE min_value >= 0"
+    return _ctes(["bureau", "bureau_balance"], [_bureau_ctes()], final)
+
+
+def null_count_sql() -> str:
+    return _ctes(["application"], [], "SELECT count(*) - count(nullif(DAYS_EMPLOYED, 365243)) AS null_count FROM application")
+
+
+def capped_children_sql() -> str:
+    return _ctes(["application"], [],
+                 "SELECT SK_ID_CURR, CNT_CHILDREN, CASE WHEN CNT_CHILDREN IS NULL THEN NULL "
+                 "ELSE least(CNT_CHILDREN, 3) END AS cnt_children_capped FROM application")
+
+
 __all__ = ["round_doubles", "VIEWS"]

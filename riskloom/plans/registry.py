@@ -292,3 +292,41 @@ def _csv_roundtrip(t):
 def _materialized(t):
     """SNK-01 + SRC-08: the bureau aggregate written to Parquet and read back."""
     return sinks.materialize(fe.bureau_agg(t.bureau, t.bureau_balance))
+
+
+# ------------------------------------------------------------------ small profiles
+@register("bureau_column_minimums", orc.bureau_column_minimums_sql)
+def _bureau_mins(t):
+    """Minimum of every bureau-aggregate column."""
+    agg = fe.bureau_agg(t.bureau, t.bureau_balance)
+    return summary.column_minimums(agg, [c for c in agg.columns if c != "SK_ID_CURR"])
+
+
+@register("non_negative_bureau_columns", lambda: orc.bureau_column_minimums_sql(non_negative_only=True))
+def _bureau_non_negative(t):
+    """Bureau-aggregate columns whose minimum is >= 0 (the optional column selector)."""
+    agg = fe.bureau_agg(t.bureau, t.bureau_balance)
+    mins = summary.column_minimums(agg, [c for c in agg.columns if c != "SK_ID_CURR"])
+    return mins.where(mins["min_value"] >= 0)
+
+
+@register("null_count", orc.null_count_sql)
+def _null_count(t):
+    """Missing DAYS_EMPLOYED after the sentinel is cleared."""
+    return summary.null_count(eda.employed_missing(t.application), "DAYS_EMPLOYED")
+
+
+@register("value_counts_yield_group", lambda: orc.value_counts_sql("previous_application", "NAME_YIELD_GROUP"))
+def _value_counts_yield(t):
+    return summary.value_counts_desc(t.previous_application, "NAME_YIELD_GROUP")
+
+
+@register("value_counts_pos_status", lambda: orc.value_counts_sql("pos_cash", "NAME_CONTRACT_STATUS"))
+def _value_counts_pos(t):
+    return summary.value_counts_desc(t.pos_cash, "NAME_CONTRACT_STATUS")
+
+
+@register("capped_children", orc.capped_children_sql)
+def _capped_children(t):
+    """P25 (optional in the reference)."""
+    return pr.capped_children(t.application.select("SK_ID_CURR", "CNT_CHILDREN"))
