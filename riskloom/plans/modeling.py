@@ -37,15 +37,50 @@ def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[
 
 def baseline_scores(t, max_iter: int = 1000) -> DataFrame:
     """03: logistic regression, AUC on train / validation / test."""
-    table, feats = model_inputs(t)
-    fit = ml.fit_lr(table.where(F.col("split") == "train"), feats, max_iter)
+    table, fit = lr_fit(t, max_iter)
     return ml.evaluate(fit, table)
 
 
+def baseline_sweep(t, max_iter: int = 1000) -> DataFrame:
+    """03:142-154: recall and precision of the LR validation scores at thresholds 0.1 ... 0.9."""
+    table, fit = lr_fit(t, max_iter)
+    scored = ml.score(fit.model, ml.prepare(table.where(F.col("split") == "validation"), fit.features, fit.medians))
+    return metrics.threshold_sweep(scored, "score", ml.LABEL)
+
+
+def tree_sweep(t, params: ml.GbtParams = ml.GbtParams()) -> DataFrame:
+    """04:52-64: the same sweep on the boosted-tree validation scores."""
+    table, fit = tree_fit(t, params)
+    scored = ml.score(fit.model, ml.prepare(table.where(F.col("split") == "validation"), fit.features, fit.medians))
+    return metrics.threshold_sweep(scored, "score", ml.LABEL)
+
+
+# Fitted models of this process, so the score, importance and sweep queries of one
+# data set share a single training run (keyed by application, data folder and parameters).
+_FITS: dict = {}
+
+
+def _memo(kind: str, t, params, build):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind, repr(params))
+    if key not in _FITS:
+        _FITS[key] = build()
+    return _FITS[key]
+
+
+def lr_fit(t, max_iter: int = 1000):
+    """03: model table with the 70/21/9 split, LR fitted on the train rows."""
+    def build():
+        table, feats = model_inputs(t)
+        return table, ml.fit_lr(table.where(F.col("split") == "train"), feats, max_iter)
+    return _memo("lr", t, max_iter, build)
+
+
 def tree_fit(t, params: ml.GbtParams = ml.GbtParams()):
     """04: boosted trees on a 75 / 25 split (no fills or ratios of 03 besides the shared table)."""
-    table, feats = model_inputs(t, parts=split.TWO_WAY)
-    return table, ml.fit_gbt(table.where(F.col("split") == "train"), feats, params)
+    def build():
+        table, feats = model_inputs(t, parts=split.TWO_WAY)
+        return table, ml.fit_gbt(table.where(F.col("split") == "train"), feats, params)
+    return _memo("gbt", t, params, build)
 
 
 def tree_scores(t, params: ml.GbtParams = ml.GbtParams()) -> DataFrame:

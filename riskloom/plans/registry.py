@@ -257,6 +257,16 @@ def _lr_score(t):
     return modeling.baseline_scores(t)
 
 
+@register("lr_threshold_sweep")
+def _lr_sweep(t):
+    return modeling.baseline_sweep(t)
+
+
+@register("gbt_threshold_sweep")
+def _gbt_sweep(t):
+    return modeling.tree_sweep(t)
+
+
 @register("gbt_score")
 def _gbt_score(t):
     return modeling.tree_scores(t)
