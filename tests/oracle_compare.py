@@ -41,10 +41,27 @@ def _rows(df: pd.DataFrame, cols: list[str]) -> list[tuple]:
     return sorted(rows, key=lambda r: tuple((v is None, isinstance(v, str), v if v is not None else 0) for v in r))
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_problems(spark_df, rel) -> list[str]:
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for name, t in spark_df.dtypes:
+        want = _TYPES.get(t, t)
+        got = duck_types.get(name)
+        if got is not None and got != want:
+            out.append(f"{name}: spark {t} vs duckdb {got}")
+    return out
+
+
 def compare(spark_df, sql: str, con) -> list[str]:
     problems = []
+    rel = con.sql(sql)
+    problems += [f"type {p}" for p in type_problems(spark_df, rel)]
     left = spark_df.toPandas()
-    right = con.sql(sql).df()
+    right = rel.df()
     if sorted(left.columns) != sorted(right.columns):
         problems.append(f"columns differ: spark-only {sorted(set(left.columns)-set(right.columns))} "
                         f"oracle-only {sorted(set(right.columns)-set(left.columns))}")
