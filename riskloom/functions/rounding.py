@@ -12,17 +12,18 @@ decimal 1e-6 step. Applied to every double column of a compared result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 SCALE = 1048576.0  # 2^20
 
 
 def portable_round(df: DataFrame) -> DataFrame:
+    """One projection (one call into the JVM, whatever the width)."""
     exprs = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
+        q = "`" + field.name.replace("`", "``") + "`"
         if isinstance(field.dataType, (DoubleType, FloatType)):
-            c = (F.floor(c.cast("double") * F.lit(SCALE) + F.lit(0.5)).cast("double") / F.lit(SCALE)).alias(field.name)
-        exprs.append(c)
-    return df.select(*exprs)
+            exprs.append(f"CAST(floor(CAST({q} AS DOUBLE) * {SCALE!r} + 0.5D) AS DOUBLE) / {SCALE!r} AS {q}")
+        else:
+            exprs.append(q)
+    return df.selectExpr(*exprs)

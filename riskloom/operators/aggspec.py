@@ -29,7 +29,6 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ever, share, sum0
 
 
 @dataclass(frozen=True)
@@ -120,40 +119,23 @@ class Agg:
 
 
 def agg_column(a: Agg) -> Column:
-    """Spark aggregate expression for one spec row (last-K rows use their base kind)."""
-    c = F.col(a.column)
-    kind = a.base_kind
-    if kind == "count":
-        out = F.count(c)
-    elif kind == "rows":
-        out = F.count(F.lit(1))
-    elif kind == "mean":
-        out = F.avg(c)
-    elif kind == "max":
-        out = F.max(c)
-    elif kind == "min":
-        out = F.min(c)
-    elif kind == "sum":
-        out = sum0(c)
-    elif kind == "std":
-        out = F.stddev_samp(c)
-    elif kind == "range":
-        out = F.max(c) - F.min(c)
-    elif kind == "share":
-        out = share(a.pred.column(c))
-    elif kind == "count_if":
-        out = F.count_if(F.coalesce(a.pred.column(c), F.lit(False)))
-    elif kind == "any":
-        out = ever(a.pred.column(c))
-    else:
-        raise ValueError(f"unknown aggregate kind {a.kind}")
-    return out.alias(a.name)
+    """Spark aggregate expression for one spec row (last-K rows use their base kind: the
+    caller has already kept only the K first rows of each group).
 
+    Built as one SQL expression (a single call into the JVM per output, instead
+    of one per sub-expression); the text is the same dialect the oracle uses.
+    """
+    return F.expr(agg_sql(a, gated=False))
 
-def agg_sql(a: Agg, rank_col: str = "rk", k: int = 3) -> str:
-    """DuckDB/ANSI rendering of one spec row; last-K rows filter on ``rank_col <= k``."""
-    c = a.column
-    if a.last_k:
+
+def agg_sql(a: Agg, rank_col: str = "rk", k: int = 3, gated: bool = True) -> str:
+    """SQL rendering of one spec row (valid in Spark SQL and DuckDB).
+
+    With ``gated`` the last-K rows filter on ``rank_col <= k`` inside the
+    aggregate (the oracle's form); without, they aggregate every input row.
+    """
+    c = _ident(a.column)
+    if a.last_k and gated:
         # restrict the input to the K first rows; other rows become null
         def gate(expr: str) -> str:
             return f"CASE WHEN {rank_col} <= {k} THEN {expr} END"
@@ -188,7 +170,11 @@ def agg_sql(a: Agg, rank_col: str = "rk", k: int = 3) -> str:
         out = f"max({gate(f'CASE WHEN {a.pred.sql(c)} THEN 1 ELSE 0 END')})"
     else:
         raise ValueError(a.kind)
-    return f"{out} AS {a.name}"
+    return f"{out} AS {_ident(a.name)}"
+
+
+def _ident(name: str) -> str:
+    return name if name.replace("_", "").isalnum() and not name[0].isdigit() else f"`{name}`"
 
 
 def select_list_sql(specs: list[Agg], rank_col: str = "rk", k: int = 3) -> str:

@@ -210,10 +210,10 @@ def read_source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load_view(spark: SparkSession, sf_dir: str, name: str, source_df: DataFrame | None = None) -> DataFrame:
     """One adapter view as a Spark DataFrame (lazy; pruned and pushed down by Catalyst)."""
     source, where, exprs = VIEWS[name]
-    df = read_source(spark, sf_dir, source)
+    df = source_df if source_df is not None else read_source(spark, sf_dir, source)
     if where:
         df = df.where(where)
     return df.selectExpr(*[_render(e, "spark") for e in exprs])
@@ -231,8 +231,12 @@ class Tables:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = load_view(self.spark, self.sf_dir, name)
+            self._cache[name] = load_view(self.spark, self.sf_dir, name, self.raw(VIEWS[name][0]))
         return self._cache[name]
 
     def raw(self, table: str) -> DataFrame:
-        return read_source(self.spark, self.sf_dir, table)
+        """A given table, read once per accessor (one file listing and footer read)."""
+        key = f"raw:{table}"
+        if key not in self._cache:
+            self._cache[key] = read_source(self.spark, self.sf_dir, table)
+        return self._cache[key]
