@@ -41,3 +41,17 @@ def test_load_sources_from_csv(spark, tables01):
     loaded = readers.load_sources(spark, raw)
     assert loaded["bureau"].count() == tables01.bureau.count()
     assert dict(loaded["credit_card"].dtypes)["AMT_CREDIT_LIMIT_ACTUAL"] == "int"
+
+
+def test_command_line_jobs(spark, tables01, tmp_path):
+    from riskloom.__main__ import main
+
+    raw = sinks.scratch_path(spark, "cli-raw")
+    for name, (file_name, _) in schemas.SOURCES.items():
+        getattr(tables01, name).write.option("header", True).csv(os.path.join(raw, file_name))
+    out = sinks.scratch_path(spark, "cli-out")
+    main(["features", "--raw", raw, "--out", out])
+    main(["eda", "--raw", raw, "--out", out])
+    assert spark.read.parquet(f"{out}/processed").count() == tables01.application.count()
+    bins = spark.read.parquet(f"{out}/eda/quantile_bins")
+    assert bins.select("feature").distinct().count() == 12
