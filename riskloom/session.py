@@ -20,6 +20,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the rollups aggregate up to 94 outputs (~200 buffer fields) in one operator;
+    # keep such operators inside whole-stage codegen (default cut-off is 100 fields)
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
