@@ -485,6 +485,19 @@ def hash_split_sql() -> str:
     return _ctes(["application"], [], final)
 
 
+def hash_split_exact_sql() -> str:
+    u = _hash_unit_sql("SK_ID_CURR")
+    final = f"""SELECT SK_ID_CURR, TARGET,
+  CASE WHEN share < 0.7e0 THEN 'train' WHEN share < 0.91e0 THEN 'validation' ELSE 'test' END AS split
+FROM (
+  SELECT SK_ID_CURR, TARGET,
+    (row_number() OVER (PARTITION BY TARGET ORDER BY {u}, SK_ID_CURR) - 1)
+      / CAST(count(*) OVER (PARTITION BY TARGET) AS DOUBLE) AS share
+  FROM application
+)"""
+    return _ctes(["application"], [], final)
+
+
 MEDIAN_COLUMNS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE", "CNT_FAM_MEMBERS",
                   "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "DAYS_BIRTH", "CNT_CHILDREN"]
 

@@ -237,14 +237,30 @@ def _hash_split(t):
     return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR")
 
 
-@register("median_impute", orc.median_impute_sql)
-def _median_impute(t):
+@register("hash_split_exact", orc.hash_split_exact_sql)
+def _hash_split_exact(t):
+    """Exact per-label shares: rank inside each label by the hash (distributed prefix sums)."""
+    return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR", label="TARGET", exact=True)
+
+
+def _medians(t, method):
     train = split.hash_split(t.application, "SK_ID_CURR").where("split = 'train'")
     long = binning.stack_features(train, orc.MEDIAN_COLUMNS)
-    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS})
+    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS}, method)
     return values.select("feature", values["value"].alias("median"))
 
 
+@register("median_impute", orc.median_impute_sql)
+def _median_impute(t):
+    return _medians(t, "auto")
+
+
+@register("median_impute_rank", orc.median_impute_sql)
+def _median_impute_rank(t):
+    """The same medians through the distributed rank path (unbounded distinct values)."""
+    return _medians(t, "rank")
+
+
 @register("auc_exact", orc.auc_exact_sql)
 def _auc(t):
     return metrics.auc(modeling.document_scores(t.raw("documents"), t.raw("labels")))
