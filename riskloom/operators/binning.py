@@ -146,12 +146,17 @@ def quantile_edges(long: DataFrame, qs: Mapping[str, int], method: str = "auto",
     )
 
 
-def assign_bins(long: DataFrame, edges: DataFrame) -> DataFrame:
+def assign_bins(long: DataFrame, edges: DataFrame, max_edges: int) -> DataFrame:
     """Bin number (1-based), lower and upper edge of every stacked row (right-closed, lowest included).
 
-    ``edges`` has one short array per feature (<= q+1 values): a broadcast with a fixed bound.
+    ``edges`` has one short array per feature (<= ``max_edges`` values): a broadcast with a
+    fixed bound. The bin is the number of edges below the value, written as a sum of
+    ``max_edges`` comparisons (no lambda, so it stays in generated code).
     """
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    below = None
+    for i in range(1, max_edges + 1):
+        term = F.coalesce((F.try_element_at("edges", F.lit(i)) < F.col("value")).cast("int"), F.lit(0))
+        below = term if below is None else below + term
     return (
         long.join(F.broadcast(edges), "feature")
         .withColumn("bin", F.greatest(F.lit(1), below))
@@ -176,7 +181,7 @@ def quantile_bin_summary(df: DataFrame, features: Mapping[str, int] | Sequence[t
     qs = {name: q for name, _, q in items}
     long = stack_features(df.where(F.col(target).isNotNull()), [(n, e) for n, e, _ in items], keep=[target])
     edges = quantile_edges(long.select("feature", "value"), qs, method)
-    binned = assign_bins(long, edges)
+    binned = assign_bins(long, edges, max(qs.values()) + 1)
     return binned.groupBy("feature", "bin").agg(
         F.first("lo").alias("lo"),
         F.first("hi").alias("hi"),
