@@ -460,6 +460,13 @@ def model_ratios_sql() -> str:
                  "SELECT * FROM model_ready")
 
 
+def model_table_full_sql() -> str:
+    """Model-ready table with the previous-application aggregate joined."""
+    return _ctes(_BUREAU_VIEWS + _PREV_VIEWS,
+                 [_bureau_ctes(), _RECODE, _encoded_cte(), _flags_cte(), _RATIOS] + _prev_ctes(),
+                 "SELECT * FROM model_ready LEFT JOIN prev_agg USING (SK_ID_CURR)")
+
+
 def null_report_sql() -> str:
     """A6 over the processed table: one UNION ALL branch per column (columns read from the bound query)."""
     base = application_recode_sql()

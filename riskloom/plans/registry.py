@@ -231,6 +231,12 @@ def _model_ratios(t):
     return pr.model_table(t.application, t.bureau, t.bureau_balance)[0]
 
 
+@register("model_table_full", orc.model_table_full_sql)
+def _model_table_full(t):
+    """Everything the models train on: applications, both history chains, recodes, flags, ratios."""
+    return pr.model_table(t.application, t.bureau, t.bureau_balance, *_prev(t))[0]
+
+
 # ------------------------------------------------------------------ split, metrics, models (03, 04)
 @register("hash_split", orc.hash_split_sql)
 def _hash_split(t):
