@@ -33,8 +33,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # no Python call-site capture per Column (a static setting: only where we build the session)
+        # static settings, so only where we build the session:
+        # no Python call-site capture per Column, and room in the generated-code cache for
+        # the many wide stages of the rollups (the default 100 entries thrash between queries)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
