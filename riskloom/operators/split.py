@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .prefix import prefix_sums
 
 SEED = 42
-# 70 / 30 then 70 / 30 of the rest (03), and 75 / 25 (04).
+# 70 / 30 then 70 / 30 of the rest (baseline model), and 75 / 25 (tree model).
 THREE_WAY = (("train", 0.7), ("validation", 0.21), ("test", 0.09))
 TWO_WAY = (("train", 0.75), ("validation", 0.25))
 

@@ -1,4 +1,4 @@
-"""Train and evaluate (03, 04): split → impute → scale → classify → AUC → threshold sweep."""
+"""Train and evaluate: split → impute → scale → classify → AUC → threshold sweep."""
 
 from __future__ import annotations
 
@@ -36,20 +36,20 @@ def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[
 
 
 def baseline_scores(t, max_iter: int = 1000) -> DataFrame:
-    """03: logistic regression, AUC on train / validation / test."""
+    """Logistic regression, AUC on train / validation / test."""
     table, fit = lr_fit(t, max_iter)
     return ml.evaluate(fit, table)
 
 
 def baseline_sweep(t, max_iter: int = 1000) -> DataFrame:
-    """03:142-154: recall and precision of the LR validation scores at thresholds 0.1 ... 0.9."""
+    """Recall and precision of the LR validation scores at thresholds 0.1 ... 0.9."""
     table, fit = lr_fit(t, max_iter)
     scored = ml.score(fit.model, ml.prepare(table.where(F.col("split") == "validation"), fit.features, fit.medians))
     return metrics.threshold_sweep(scored, "score", ml.LABEL)
 
 
 def tree_sweep(t, params: ml.GbtParams = ml.GbtParams()) -> DataFrame:
-    """04:52-64: the same sweep on the boosted-tree validation scores."""
+    """The same sweep on the boosted-tree validation scores."""
     table, fit = tree_fit(t, params)
     scored = ml.score(fit.model, ml.prepare(table.where(F.col("split") == "validation"), fit.features, fit.medians))
     return metrics.threshold_sweep(scored, "score", ml.LABEL)
@@ -68,7 +68,7 @@ def _memo(kind: str, t, params, build):
 
 
 def lr_fit(t, max_iter: int = 1000):
-    """03: model table with the 70/21/9 split, LR fitted on the train rows."""
+    """Baseline: model table with the 70/21/9 split, LR fitted on the train rows."""
     def build():
         table, feats = model_inputs(t)
         return table, ml.fit_lr(table.where(F.col("split") == "train"), feats, max_iter)
@@ -76,7 +76,7 @@ def lr_fit(t, max_iter: int = 1000):
 
 
 def tree_fit(t, params: ml.GbtParams = ml.GbtParams()):
-    """04: boosted trees on a 75 / 25 split (no fills or ratios of 03 besides the shared table)."""
+    """Boosted trees on a 75 / 25 split."""
     def build():
         table, feats = model_inputs(t, parts=split.TWO_WAY)
         return table, ml.fit_gbt(table.where(F.col("split") == "train"), feats, params)

@@ -1,4 +1,4 @@
-"""Model-ready application table (02:185-236 and 03:36-61).
+"""Model-ready application table (feature build and model preparation).
 
 application ⋈ bureau aggregate (J2) → recode and fill (P20-P27) → encode
 (M1, M2) → processed table (SNK-03) → history flags and fills (P50-P53) →

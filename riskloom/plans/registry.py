@@ -59,7 +59,7 @@ def _prev(t: Tables):
     return t.previous_application, t.pos_cash, t.installments, t.credit_card
 
 
-# ------------------------------------------------------------------ EDA (01)
+# ------------------------------------------------------------------ EDA
 @register("shape", orc.shape_sql)
 def _shape(t):
     return summary.shape(t.application)
@@ -137,7 +137,7 @@ def _distinct(t):
     return summary.distinct_counts(t.application)
 
 
-# ------------------------------------------------------------------ features (02)
+# ------------------------------------------------------------------ features
 @register("bureau_balance_agg", orc.bureau_balance_agg_sql)
 def _bb(t):
     return fe.bureau_balance_agg(t.bureau_balance)
@@ -193,7 +193,7 @@ def _app_prev(t):
     return fe.application_previous(t.application, *_prev(t))
 
 
-# ------------------------------------------------------------------ encoding and model table (02, 03)
+# ------------------------------------------------------------------ encoding and model table
 def _app_strings(t):
     app = t.application
     return app, enc.fit_vocabulary(app)
@@ -237,7 +237,7 @@ def _model_table_full(t):
     return pr.model_table(t.application, t.bureau, t.bureau_balance, *_prev(t))[0]
 
 
-# ------------------------------------------------------------------ split, metrics, models (03, 04)
+# ------------------------------------------------------------------ split, metrics, models
 @register("hash_split", orc.hash_split_sql)
 def _hash_split(t):
     return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR")

@@ -25,7 +25,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` to Parquet and read it back (the write-then-read pairs 02:163→172, 02:326→329).
+    """Write ``df`` to Parquet and read it back (the write-then-read pairs of the feature build).
 
     Without a path the table goes under the session's shared checkpoint folder.
     """
