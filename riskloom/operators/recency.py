@@ -23,14 +23,22 @@ def order_columns(order_by: Sequence[str], tie_break: Sequence[str] = (), descen
 
 def recency_rank(df: DataFrame, key: str, order_by: Sequence[str], tie_break: Sequence[str] = (),
                  descending: bool = True, name: str = "rank_recency", zero_based: bool = True) -> DataFrame:
-    """``row_number`` over the key in the given order; 0 = first row when ``zero_based``.
-
-    With ``descending=False`` the rank counts from the oldest row, which equals
-    ``groupby(key).cumcount(ascending=False)`` of a frame sorted ascending.
+    """Position of every row inside its group in the given order (0 = first when ``zero_based``).
+
+    A window over the whole group would sort a hot group in one task, so the
+    rank is a distributed prefix count instead: rows are range-partitioned by
+    (key, order), each row counts the rows of its group before it, and
+    ``descending`` counts from the other end (``total - before - 1``). With
+    ``descending=True`` and an ascending due day this is
+    ``groupby(key).cumcount(ascending=False)`` on the sorted frame.
     """
-    w = Window.partitionBy(key).orderBy(*order_columns(order_by, tie_break, descending))
-    rk = F.row_number().over(w)
-    return df.withColumn(name, rk - 1 if zero_based else rk)
+    from .prefix import prefix_sums
+
+    cols = list(order_by) + [c for c in tie_break if c not in order_by]
+    keyed = df.withColumn("_ord", F.struct(*[F.col(c) for c in cols])).withColumn("_one", F.lit(1))
+    counted = prefix_sums(keyed, key, "_ord", ["_one"])
+    pos = (F.col("_one_total") - F.col("_one_before") - 1) if descending else F.col("_one_before")
+    return counted.withColumn(name, pos if zero_based else pos + 1).drop("_ord", "_one", "_one_before", "_one_total")
 
 
 def first_k_rows(df: DataFrame, key: str, order_by: Sequence[str], k: int, tie_break: Sequence[str] = (),

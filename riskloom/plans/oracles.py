@@ -222,6 +222,18 @@ def installments_agg_sql(as_written: bool = False) -> str:
     return _ctes(["installments"], [_inst_ctes(as_written)], "SELECT * FROM inst_agg")
 
 
+def installments_recency_sql() -> str:
+    d = "DESC NULLS LAST"
+    final = f"""SELECT SK_ID_PREV, DAYS_INSTALMENT, TB1, TB2, TB3, rank_recency,
+  CASE WHEN rank_recency < 3 THEN true ELSE false END AS is_recent
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, TB1 {d}, TB2 {d}, TB3 {d}) - 1
+    AS rank_recency
+  FROM installments WHERE SK_ID_PREV IS NOT NULL
+)"""
+    return _ctes(["installments"], [], final)
+
+
 def credit_card_agg_sql() -> str:
     return _ctes(["credit_card"], [_cc_ctes()], "SELECT * FROM cc_agg")
 

@@ -168,6 +168,16 @@ def _inst_as_written(t):
     return fe.installments_agg(t.installments, as_written=True)
 
 
+@register("installments_recency", orc.installments_recency_sql)
+def _inst_recency(t):
+    """W1 + W3: recency rank of every instalment (0 = latest due day) and the recent flag."""
+    from ..operators.recency import recency_rank, recent_flag
+
+    inst = t.installments.where("SK_ID_PREV IS NOT NULL").select("SK_ID_PREV", "DAYS_INSTALMENT", "TB1", "TB2", "TB3")
+    ranked = recency_rank(inst, "SK_ID_PREV", ["DAYS_INSTALMENT"], fe.INSTALLMENT_TIES, descending=True)
+    return ranked.withColumn("is_recent", recent_flag("rank_recency", 3))
+
+
 @register("credit_card_agg", orc.credit_card_agg_sql)
 def _cc(t):
     return fe.credit_card_agg(t.credit_card)
