@@ -15,7 +15,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .session import ensure_defaults
+from .session import apply_cluster_settings, ensure_defaults
 from .sources import readers, sinks
 
 
@@ -81,9 +81,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--model", default="lr", choices=["lr", "gbt"])
+    ap.add_argument("--cluster-defaults", action="store_true",
+                    help="apply the suggested large-cluster settings the session leaves unset")
     args = ap.parse_args(argv)
 
     spark = ensure_defaults(SparkSession.builder.appName(f"riskloom-{args.job}").getOrCreate())
+    if args.cluster_defaults:
+        apply_cluster_settings(spark)
     src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format))
     if args.job == "features":
         _features(spark, src, args.out)

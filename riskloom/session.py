@@ -26,6 +26,28 @@ _DEFAULTS = {
 }
 
 
+# Suggested settings for a large cluster run (hundreds of TB, ~1000 executors). Not applied
+# automatically: the deployment owns them. The CLI applies the ones a session leaves unset
+# when called with --cluster-defaults.
+CLUSTER_SETTINGS = {
+    # many shuffle partitions up front; AQE coalesces them to the advisory size at run time
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # fewer, larger scan splits (row groups stay atomic)
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.codegen.maxFields": "1000",
+}
+
+
+def apply_cluster_settings(spark: SparkSession) -> SparkSession:
+    for key, value in CLUSTER_SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "riskloom") -> SparkSession:
     """Session for tests and the local bench (``local[cores]``)."""
     builder = (
