@@ -43,7 +43,13 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None, max_cate
     columns = list(columns or string_columns(df))
     if not columns:
         return Vocabulary()
-    # distinct (column, value) pairs; partial aggregation keeps the shuffle at one row per pair and task
+    # 1) cheap bound check: one small HyperLogLog per column (5 % error), merged map-side with
+    #    no shuffle of values; the exact check below catches what the sketch lets through
+    estimates = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    too_wide = sorted(c for i, c in enumerate(columns) if estimates[f"n{i}"] > max_categories * 1.25)
+    if too_wide:
+        raise ValueError(f"columns with more than {max_categories} categories: {too_wide}")
+    # 2) exact values of the columns that passed: distinct (column, value) pairs, bounded per column
     pairs = (
         df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
@@ -52,15 +58,13 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None, max_cate
         .where(F.col("value").isNotNull())
         .distinct()
     )
-    sizes = {r["column"]: r["n"] for r in pairs.groupBy("column").count().withColumnRenamed("count", "n").collect()}
-    too_wide = sorted(c for c, n in sizes.items() if n > max_categories)
-    if too_wide:
-        raise ValueError(f"columns with more than {max_categories} categories: {too_wide}")
-    # every remaining column has a proven bound on its values, so collecting them is safe
     found = {
         r["column"]: list(r["values"])
         for r in pairs.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values")).collect()
     }
+    over = sorted(c for c, vals in found.items() if len(vals) > max_categories)
+    if over:
+        raise ValueError(f"columns with more than {max_categories} categories: {over}")
     vocab = Vocabulary()
     for c in columns:
         values = found.get(c, [])
