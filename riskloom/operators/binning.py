@@ -114,7 +114,13 @@ def _quantiles_rank(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> Da
         F.first(F.col("x.pos")).alias("pos"),
         F.first(F.col("x.lo")).alias("lo"),
     )
-    value = F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * (F.col("pos") - F.col("lo"))
+    # the same interpolation, term for term, as the built-in exact percentile, so both
+    # strategies give bit-identical edges: (hi - pos) * lower value + (pos - lo) * higher value
+    hi_rank = F.ceil("pos")
+    value = (
+        F.when((F.col("lo") == hi_rank) | (F.col("lo_v") == F.col("hi_v")), F.col("lo_v"))
+        .otherwise((hi_rank - F.col("pos")) * F.col("lo_v") + (F.col("pos") - F.col("lo")) * F.col("hi_v"))
+    )
     return per_p.select("feature", "p", value.alias("value"))
 
 
