@@ -69,6 +69,8 @@ def lr_pipeline(features: Sequence[str], n_train_weight: float, c: float = 1.0,
 
     scikit-learn minimises C * sum(w * loss) + ||b||^2 / 2; Spark averages the
     weighted loss, so the same optimum needs regParam = 1 / (C * sum(w)).
+    Spark's scaler divides by the sample deviation (n - 1), scikit-learn's by
+    the population one (n): a factor sqrt(n / (n - 1)) that vanishes at scale.
     ``tol`` is scikit-learn's default stopping tolerance (Spark's is 1e-6).
     """
     return Pipeline(stages=[
