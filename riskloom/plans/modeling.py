@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, model as ml, split
-from ..session import ensure_checkpoint_dir
+from ..sources import sinks
 from . import processed as pr
 
 # Fixed value: feature groups for the ablation report (README claim on marginal features).
@@ -21,10 +21,10 @@ def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[
     """Model table with split and balanced class weights (fitted on the train rows)."""
     extra = (t.previous_application, t.pos_cash, t.installments, t.credit_card) if with_previous else ()
     table, _ = pr.model_table(t.application, t.bureau, t.bureau_balance, *extra)
-    # one materialisation in the shared checkpoint folder: medians, weights and every
-    # optimiser step then read it instead of re-running both history rollups
-    ensure_checkpoint_dir(table.sparkSession)
-    table = split.hash_split(table, "SK_ID_CURR", parts).checkpoint(eager=True)
+    # one materialisation as Parquet in the shared checkpoint folder: medians, weights and
+    # every optimiser step then read it instead of re-running both history rollups, and a
+    # lost executor recomputes from the written table
+    table = sinks.materialize(split.hash_split(table, "SK_ID_CURR", parts))
     train_counts = {r[0]: r[1] for r in table.where(F.col("split") == "train").groupBy(ml.LABEL).count().collect()}
     n = sum(train_counts.values())
     weight = None
