@@ -88,7 +88,8 @@ def category_rates(app: DataFrame) -> DataFrame:
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in CATEGORY_COLUMNS
         ])).alias("s"),
     ).select("s.feature", "s.category", "TARGET")
-    return summary.target_rate_by(stacked, ["feature", "category"])
+    rates = summary.target_rate_by(stacked, ["feature", "category"])
+    return rates.orderBy("feature", F.desc("default_rate"), "category")  # each column by rate, highest first
 
 
 def employed_missing(app: DataFrame) -> DataFrame:

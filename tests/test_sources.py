@@ -55,3 +55,19 @@ def test_command_line_jobs(spark, tables01, tmp_path):
     assert spark.read.parquet(f"{out}/processed").count() == tables01.application.count()
     bins = spark.read.parquet(f"{out}/eda/quantile_bins")
     assert bins.select("feature").distinct().count() == 12
+
+
+def test_command_line_train(spark, tables01):
+    from riskloom.__main__ import main
+
+    raw = sinks.scratch_path(spark, "cli-train-raw")
+    for name, (file_name, _) in schemas.SOURCES.items():
+        getattr(tables01, name).write.option("header", True).csv(os.path.join(raw, file_name))
+    out = sinks.scratch_path(spark, "cli-train-out")
+    main(["train", "--raw", raw, "--out", out, "--model", "lr"])
+    auc = {r["split"]: r for r in spark.read.parquet(f"{out}/lr/auc").collect()}
+    assert set(auc) == {"train", "validation", "test"}
+    assert spark.read.parquet(f"{out}/lr/threshold_sweep").count() == 9
+    from pyspark.ml import PipelineModel
+
+    assert len(PipelineModel.load(f"{out}/lr/model").stages) == 3
