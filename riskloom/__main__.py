@@ -1,5 +1,6 @@
 """Command-line jobs for real credit files (``spark-submit -m riskloom ...`` or ``python -m riskloom``).
 
+    python -m riskloom convert  --raw DIR --out DIR            (CSV -> Parquet, once)
     python -m riskloom features --raw DIR --out DIR [--format csv|parquet]
     python -m riskloom eda      --raw DIR --out DIR [--format csv|parquet]
     python -m riskloom train    --raw DIR --out DIR [--format csv|parquet] [--model lr|gbt]
@@ -76,7 +77,7 @@ def _train(spark, src, out, model: str):
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="riskloom")
-    ap.add_argument("job", choices=["features", "eda", "train"])
+    ap.add_argument("job", choices=["convert", "features", "eda", "train"])
     ap.add_argument("--raw", required=True, help="folder with the seven raw files")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
@@ -89,7 +90,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.cluster_defaults:
         apply_cluster_settings(spark)
     src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format))
-    if args.job == "features":
+    if args.job == "convert":
+        for name, path in sinks.convert_sources(src.frames, args.out).items():
+            print(f"{name}: {path}")
+    elif args.job == "features":
         _features(spark, src, args.out)
     elif args.job == "eda":
         _eda(spark, src, args.out)

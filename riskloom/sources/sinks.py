@@ -40,6 +40,18 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/riskloom-{stem}-{uuid.uuid4().hex}"
 
 
+def convert_sources(sources: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
+    """SRC-01..07 "Parquet after the first load": write every raw source once as Parquet under
+    the file stem the Parquet reader expects (``readers.read_source(..., fmt="parquet")``)."""
+    from .schemas import SOURCES
+
+    out = {}
+    for name, df in sources.items():
+        stem = SOURCES[name][0].rsplit(".", 1)[0]
+        out[name] = write_table(df, f"{out_dir.rstrip('/')}/{stem}.parquet")
+    return out
+
+
 def build_features(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
     """The whole feature build of 02, with its outputs written (D3, D14 included).
 

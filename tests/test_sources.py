@@ -53,6 +53,11 @@ def test_command_line_jobs(spark, tables01, tmp_path):
     main(["features", "--raw", raw, "--out", out])
     main(["eda", "--raw", raw, "--out", out])
     assert spark.read.parquet(f"{out}/processed").count() == tables01.application.count()
+    pq = sinks.scratch_path(spark, "cli-parquet")
+    main(["convert", "--raw", raw, "--out", pq])
+    out2 = sinks.scratch_path(spark, "cli-out2")
+    main(["features", "--raw", pq, "--out", out2, "--format", "parquet"])
+    assert spark.read.parquet(f"{out2}/previous_agg").count() == spark.read.parquet(f"{out}/previous_agg").count()
     bins = spark.read.parquet(f"{out}/eda/quantile_bins")
     assert bins.select("feature").distinct().count() == 12
 
