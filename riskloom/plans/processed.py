@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import fill, flag, is_null_flag, not_null_flag, safe_div, sentinel_to_null
+from ..functions.nulls import flag, is_null_flag, not_null_flag, safe_div, sentinel_to_null
 from ..operators.encode import Vocabulary, encode
 from . import features as fe
 from .specs import bureau_output_columns
@@ -32,11 +32,12 @@ FILL = -1
 
 
 def recode(df: DataFrame) -> DataFrame:
-    """P20-P27, in the reference's order (flags before fills)."""
-    df = df.withColumn("DAYS_EMPLOYED", sentinel_to_null("DAYS_EMPLOYED"))
-    df = df.withColumn("days_employed_missing", is_null_flag("DAYS_EMPLOYED"))
-    df = df.withColumn("DAYS_EMPLOYED", F.coalesce(F.col("DAYS_EMPLOYED"), F.lit(FILL)))
-    df = df.withColumns({
+    """P20-P27 as one projection. Every expression reads the incoming columns, so the
+    missing flags see the values before their fills, as in the reference's order."""
+    employed = sentinel_to_null("DAYS_EMPLOYED")
+    return df.withColumns({
+        "DAYS_EMPLOYED": F.coalesce(employed, F.lit(FILL)),
+        "days_employed_missing": is_null_flag(employed),
         "credit_income_ratio": safe_div("AMT_CREDIT", "AMT_INCOME_TOTAL"),
         "annuity_income_ratio": safe_div("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
         "log_income": F.log1p("AMT_INCOME_TOTAL"),
@@ -44,8 +45,8 @@ def recode(df: DataFrame) -> DataFrame:
         "has_many_children": flag(F.col("CNT_CHILDREN") >= MANY_CHILDREN),
         "ext_source_1_missing": is_null_flag("EXT_SOURCE_1"),
         "ext_source_3_missing": is_null_flag("EXT_SOURCE_3"),
+        **{c: F.coalesce(F.col(c), F.lit(float(FILL))) for c in EXT_SOURCES},
     })
-    return fill(df, float(FILL), EXT_SOURCES)
 
 
 def capped_children(df: DataFrame, cap: int = MANY_CHILDREN) -> DataFrame:
@@ -62,13 +63,15 @@ def processed_features(application: DataFrame, bureau: DataFrame, bureau_balance
 
 
 def history_flags(df: DataFrame) -> DataFrame:
-    """History / enquiry flags taken before the -1 fills (D10: enquiries from the application)."""
-    df = df.withColumns({
+    """P50-P53 as one projection: history / enquiry flags read the values before the -1 fills
+    (D10: enquiries come from the application)."""
+    fills = {c: F.coalesce(F.col(c), F.lit(FILL)) for c in bureau_output_columns() if c in df.columns}
+    fills.update({c: F.coalesce(F.col(c), F.lit(float(FILL))) for c in ENQUIRY_COLUMNS if c in df.columns})
+    return df.withColumns({
         "has_credit_history": not_null_flag("first_credit_time"),
         "has_credit_enquiries": not_null_flag("AMT_REQ_CREDIT_BUREAU_YEAR"),
+        **fills,
     })
-    df = fill(df, FILL, bureau_output_columns())
-    return fill(df, float(FILL), ENQUIRY_COLUMNS)
 
 
 def model_ratios(df: DataFrame) -> DataFrame:
