@@ -147,29 +147,30 @@ def credit_card_agg(card: DataFrame) -> DataFrame:
 
 
 def previous_derived(previous: DataFrame) -> DataFrame:
-    """P38-P49 on previous applications that already carry the three child aggregates."""
+    """P38-P49 on previous applications that already carry the three child aggregates.
+
+    One projection: the sentinel-cleaned day columns and the two status flags are
+    expressions reused by the derived columns, so every output reads the cleaned values.
+    """
     status = F.col("NAME_CONTRACT_STATUS")
-    df = previous.withColumns({c: sentinel_to_null(c) for c in PREVIOUS_DATE_COLUMNS})
-    df = df.withColumns(
-        {
-            "is_approved": flag(status.isin("Approved", "Unused offer")),  # D1
-            "is_refused": flag(status == F.lit("Refused")),  # D1
-        }
-    )
-    return df.withColumns(
-        {
-            "approved_annuity": F.col("AMT_ANNUITY") * F.col("is_approved"),
-            "approved_credit": F.when(F.col("is_approved") == 1, F.col("AMT_CREDIT")),
-            "refused_credit": F.when(F.col("is_refused") == 1, F.col("AMT_CREDIT")),
-            "request_diff": F.col("AMT_APPLICATION") - F.col("AMT_CREDIT"),
-            "was_disbursed": flag((F.col("is_refused") == 0) & F.col("DAYS_FIRST_DRAWING").isNotNull()),  # D2
-            "grace_period": F.col("DAYS_FIRST_DUE") - F.col("DAYS_FIRST_DRAWING"),
-            "delay": F.col("DAYS_TERMINATION") - F.col("DAYS_LAST_DUE_1ST_VERSION"),
-            "prolongation": F.col("DAYS_LAST_DUE") - F.col("DAYS_LAST_DUE_1ST_VERSION"),
-            "loan_duration": F.col("DAYS_LAST_DUE_1ST_VERSION") - F.col("DAYS_FIRST_DUE"),
-            "unpaid_ratio": safe_div("unpaid_inst_cnt", "inst_cnt"),  # D18
-        }
-    )
+    day = {c: sentinel_to_null(c) for c in PREVIOUS_DATE_COLUMNS}
+    approved = flag(status.isin("Approved", "Unused offer"))  # D1
+    refused = flag(status == F.lit("Refused"))  # D1
+    return previous.withColumns({
+        **day,
+        "is_approved": approved,
+        "is_refused": refused,
+        "approved_annuity": F.col("AMT_ANNUITY") * approved,
+        "approved_credit": F.when(approved == 1, F.col("AMT_CREDIT")),
+        "refused_credit": F.when(refused == 1, F.col("AMT_CREDIT")),
+        "request_diff": F.col("AMT_APPLICATION") - F.col("AMT_CREDIT"),
+        "was_disbursed": flag((refused == 0) & day["DAYS_FIRST_DRAWING"].isNotNull()),  # D2
+        "grace_period": day["DAYS_FIRST_DUE"] - day["DAYS_FIRST_DRAWING"],
+        "delay": day["DAYS_TERMINATION"] - day["DAYS_LAST_DUE_1ST_VERSION"],
+        "prolongation": day["DAYS_LAST_DUE"] - day["DAYS_LAST_DUE_1ST_VERSION"],
+        "loan_duration": day["DAYS_LAST_DUE_1ST_VERSION"] - day["DAYS_FIRST_DUE"],
+        "unpaid_ratio": safe_div("unpaid_inst_cnt", "inst_cnt"),  # D18
+    })
 
 
 def previous_enriched(previous: DataFrame, pos_cash: DataFrame, installments: DataFrame,
