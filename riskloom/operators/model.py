@@ -48,14 +48,15 @@ def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
         if medians else df
 
 
-def with_class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """Balanced weights n / (2 n_class): two counts to the driver, then a literal CASE."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def with_class_weights(df: DataFrame, label: str = LABEL, fit_on: DataFrame | None = None) -> DataFrame:
+    """Balanced weights n / (classes * n_class), counted on ``fit_on`` (the train rows) or ``df``:
+    one count per class to the driver, then a literal CASE column."""
+    counts = {r[0]: r[1] for r in (fit_on if fit_on is not None else df).groupBy(label).count().collect()}
     n = sum(counts.values())
-    w = {k: n / (len(counts) * v) for k, v in counts.items()}
     expr = None
-    for k, v in w.items():
-        expr = F.when(F.col(label) == k, F.lit(v)) if expr is None else expr.when(F.col(label) == k, F.lit(v))
+    for k, v in counts.items():
+        w = F.lit(n / (len(counts) * v))
+        expr = F.when(F.col(label) == k, w) if expr is None else expr.when(F.col(label) == k, w)
     return df.withColumn(WEIGHT, expr)
 
 

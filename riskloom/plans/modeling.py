@@ -25,13 +25,7 @@ def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[
     # every optimiser step then read it instead of re-running both history rollups, and a
     # lost executor recomputes from the written table
     table = sinks.materialize(split.hash_split(table, "SK_ID_CURR", parts))
-    train_counts = {r[0]: r[1] for r in table.where(F.col("split") == "train").groupBy(ml.LABEL).count().collect()}
-    n = sum(train_counts.values())
-    weight = None
-    for k, v in train_counts.items():
-        w = F.lit(n / (len(train_counts) * v))
-        weight = F.when(F.col(ml.LABEL) == k, w) if weight is None else weight.when(F.col(ml.LABEL) == k, w)
-    table = table.withColumn(ml.WEIGHT, weight)
+    table = ml.with_class_weights(table, ml.LABEL, fit_on=table.where(F.col("split") == "train"))
     return table, ml.feature_columns(table)
 
 
