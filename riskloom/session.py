@@ -81,26 +81,28 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session (``spark.checkpoint.dir``).
+    """The folder for checkpoints and intermediate tables.
 
-    On a cluster this must be set by the deployment to a shared file system;
-    only when it is unset (local runs, tests) a private scratch folder is made.
+    The folder the context already uses (``setCheckpointDir`` or the
+    ``spark.checkpoint.dir`` setting, which Spark reads when it starts). Only
+    a local session without one gets a scratch folder of its own; a cluster
+    session must name shared storage.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if conf_dir:
-        return conf_dir
-    scratch = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = checkpoint_dir(spark)
-    sc.setCheckpointDir(path)
-    return path
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(
+                "no checkpoint folder: start the session with spark.checkpoint.dir (or call "
+                "sparkContext.setCheckpointDir) naming storage that the driver and all executors share"
+            )
+        named = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    return checkpoint_dir(spark)

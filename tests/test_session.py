@@ -14,11 +14,12 @@ def test_defaults_do_not_override_explicit_settings(spark):
             spark.conf.unset(k)
 
 
-def test_checkpoint_dir_comes_from_the_session(spark):
-    path = session.checkpoint_dir(spark)
-    assert path == spark.conf.get("spark.checkpoint.dir", None) or path == spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    assert session.ensure_checkpoint_dir(spark)
+def test_checkpoint_dir_comes_from_the_context(spark):
+    assert session.checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+    assert session.ensure_checkpoint_dir(spark) == session.checkpoint_dir(spark)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        assert named.replace("file:", "").rstrip("/") in session.checkpoint_dir(spark)
 
 
 def test_ensure_defaults_keeps_explicit_values(spark):
