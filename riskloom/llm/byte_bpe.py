@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +95,16 @@ class Encoder:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pre_tokens = regex.compile(pattern).findall
-        self.ids = ChunkIds(self._ids)
+        self.ids = ChunkIds(self._pre_token_ids, self._other_ids)
 
-    def _ids(self, text: str) -> bytes:
-        each = self.pieces.encode([to_characters(t.encode()) for t in self.pre_tokens(text)])
-        return np.array([i for ids in each for i in ids], "<u4").tobytes()
+    def _pre_token_ids(self, found: list[str]) -> list[bytes]:
+        each = self.pieces.encode([to_characters(t.encode()) for t in found], num_threads=1)
+        return [array("I", ids).tobytes() for ids in each]
+
+    def _other_ids(self, texts: list[str]) -> list[bytes]:
+        found = [self.pre_tokens(t) for t in texts]
+        each = iter(self._pre_token_ids([t for ts in found for t in ts]))
+        return [b"".join(islice(each, len(ts))) for ts in found]
 
 
 _ENCODERS: dict[tuple[int, int, str], Encoder] = {}
@@ -119,7 +126,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(model.value, pattern).ids
         for batch in batches:
-            out = [ids(t.as_py() or "") for t in batch.column(1)]
+            out = ids([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids binary")

@@ -19,6 +19,8 @@ empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .byte_bpe import to_characters
 from .chunk_ids import ChunkIds
 
 SIZE = 1024
@@ -136,8 +139,17 @@ def _chunk_ids(definition: str) -> ChunkIds:
     if key not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_str(definition).encode
-        _TOKENIZERS[key] = ChunkIds(lambda s: np.array(encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        tokenizer = Tokenizer.from_str(definition)
+        merge = tokenizer.model.tokenize  # of one pre-token in the byte alphabet
+
+        def pre_token_ids(found: list[str]) -> list[bytes]:
+            return [array("I", [t.id for t in merge(to_characters(p.encode()))]).tobytes() for p in found]
+
+        def other_ids(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        _TOKENIZERS[key] = ChunkIds(pre_token_ids, other_ids)
     return _TOKENIZERS[key]
 
 
@@ -171,8 +183,9 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, max_open: int = MAX_OPEN)
                 )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = chunk_ids(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, own in zip(batch.column(0).to_pylist(), chunk_ids(texts), strict=True):
+                ids = own + end
                 for at in range(0, len(ids), 4 * size):
                     packer.add((doc_id, at // 4, ids[at : at + 4 * size], len(ids) // 4))
             yield from done()
