@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, packing, toxicity
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .simhash_dedup import simhash_dedup
 from .suffix_dedup import suffix_dedup
@@ -51,6 +52,30 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# links by comparing all valid vectors; components by reaching out along the links
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), comp AS (SELECT vec_id, min(other) AS least FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(c.least, v.vec_id)) AS kept
+FROM v LEFT JOIN comp c USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup(_documents(spark, sf_dir))
     return cut.select(
@@ -74,7 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op8_embedding_dedup": OP8_SQL}
