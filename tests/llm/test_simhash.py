@@ -83,7 +83,20 @@ def test_segment_counts_bound_the_bit_distance(spark):
     out = spark.createDataFrame(rows, "fp long").select("fp", sh.segment_counts(F.col("fp")).alias("c")).collect()
     for r in out:
         word = r.fp % (1 << 64)
-        assert [r.c >> 4 * i & 15 for i in range(16)] == [bin(word >> 4 * i & 15).count("1") for i in range(16)]
+        assert [r.c >> 2 * i & 3 for i in range(32)] == [bin(word >> 2 * i & 3).count("1") for i in range(32)]
+
+
+def test_cells_are_the_points_one_step_away(spark):
+    fps = [(int(x),) for x in np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 20)] + [(-1,), (0,)]
+    out = spark.createDataFrame(fps, "fp long").select(sh.segment_counts(F.col("fp")).alias("p")).select("p", sh.grid_cells(F.col("p")).alias("cells"))
+    for r in out.collect():
+        point = [r.p >> 2 * i & 3 for i in range(32)]
+        expected = {tuple(point)}
+        for i in range(32):
+            for to in (point[i] - 1, point[i] + 1):
+                if 0 <= to <= 2:
+                    expected.add((*point[:i], to, *point[i + 1 :]))
+        assert {tuple(c >> 2 * i & 3 for i in range(32)) for c in r.cells if c is not None} == expected
 
 
 def test_components_of_paths_stars_and_loops(spark):
