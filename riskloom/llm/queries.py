@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, packing, secret_scan, toxicity
+from . import byte_bpe, packing, pii, secret_scan, toxicity
 from .chunk_dedup import chunk_dedup
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -71,6 +71,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_documents(spark, sf_dir)))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_pii": op7_pii,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
