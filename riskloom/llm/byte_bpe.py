@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .chunk_ids import ChunkIds
+from .chunk_ids import ChunkIds, portions
 
 
 def byte_alphabet() -> str:
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(model.value, pattern).ids
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             out = ids([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 

@@ -9,10 +9,14 @@ per batch of texts, and common ones once per Python worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 CACHED = 400_000
 CACHED_LENGTH = 64
+AT_ONCE = 4 << 20
 _MARKS = set(".,;:!?")
 _LATIN_END = "\u0250"  # letters below it are letters in every Unicode version
 
@@ -22,6 +26,17 @@ _WIDE = re.compile("[\x85\xa0  -     　]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def portions(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``AT_ONCE`` characters (a longer text alone): words as strings take ten times the memory of text."""
+    start = size = 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+        if i > start and size + (n or 0) > AT_ONCE:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    yield batch.slice(start)
+
+
 def chunks_of(text: str) -> list[str]:
     """The chunks of a text; each but the first has lost the space before it."""
     if any(pair in text for pair in _SIDE_BY_SIDE) or not text.isascii() and _WIDE.search(text):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .byte_bpe import to_characters
-from .chunk_ids import ChunkIds
+from .chunk_ids import ChunkIds, portions
 
 SIZE = 1024
 MAX_OPEN = 4096
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, max_open: int = MAX_OPEN)
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
                 )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, own in zip(batch.column(0).to_pylist(), chunk_ids(texts), strict=True):
                 ids = own + end
