@@ -89,7 +89,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = ensure_defaults(SparkSession.builder.appName(f"riskloom-{args.job}").getOrCreate())
     if args.cluster_defaults:
         apply_cluster_settings(spark)
-    src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format))
+    report: dict[str, list] = {}
+    src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format, report))
+    for name, cells in report.items():
+        for column, n in cells:
+            print(f"{name}.{column}: {n} cells cannot be read as the declared type and are null")
     if args.job == "convert":
         for name, path in sinks.convert_sources(src.frames, args.out).items():
             print(f"{name}: {path}")

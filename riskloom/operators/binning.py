@@ -7,18 +7,10 @@ bins are right-closed and the lowest edge is included. Spark's
 ties, so neither is used.
 
 Edges are computed for many features in one job (features are stacked to
-(feature, value) rows). Two exact strategies:
-
-* ``percentile`` — the built-in exact aggregate. Its buffer is a value→count
-  map per feature, merged in one task per feature: fine while the number of
-  distinct values per feature is bounded (checked with a sketch first).
-* ``rank`` — distributed exact quantiles for unbounded distinct values:
-  values are counted per (feature, value), range-partitioned, prefix sums of
-  counts give every value's rank interval, and only the few rows holding a
-  target rank are kept. No task holds more than one range partition.
-
-``method='auto'`` picks ``percentile`` when the sketch says every feature has
-at most ``max_distinct`` values, else ``rank``.
+(feature, value) rows): values are counted per (feature, value), the counts
+range-partitioned, and prefix sums of the counts give every value's rank
+interval; only the few rows holding a target rank are kept. No task holds more
+than one range partition, whatever the number of distinct values.
 """
 
 from __future__ import annotations
@@ -30,9 +22,6 @@ from pyspark.sql import functions as F
 
 from .prefix import prefix_sums
 
-MAX_DISTINCT_FOR_PERCENTILE = 1_000_000
-
-
 def probabilities(q: int) -> list[float]:
     return [i / q for i in range(q + 1)]
 
@@ -62,27 +51,8 @@ def _probs_column(probs: Mapping[str, Sequence[float]]) -> Column:
     return expr
 
 
-def _quantiles_percentile(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> DataFrame:
-    # percentile needs a foldable probability array: one aggregate column per distinct list
-    lists = sorted({tuple(float(p) for p in ps) for ps in probs.values()})
-    aggs = [F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps])).alias(f"q{i}") for i, ps in enumerate(lists)]
-    grouped = long.groupBy("feature").agg(*aggs)
-    if len(lists) == 1:
-        arr = F.array(*[F.lit(p) for p in lists[0]])
-        return grouped.select("feature", F.explode(F.arrays_zip(arr.alias("p"), F.col("q0").alias("value"))).alias("z")) \
-            .select("feature", F.col("z.p").alias("p"), F.col("z.value").alias("value"))
-    pick_p, pick_v = None, None
-    for name, ps in probs.items():
-        i = lists.index(tuple(float(p) for p in ps))
-        cond = F.col("feature") == name
-        arr = F.array(*[F.lit(float(p)) for p in ps])
-        pick_p = F.when(cond, arr) if pick_p is None else pick_p.when(cond, arr)
-        pick_v = F.when(cond, F.col(f"q{i}")) if pick_v is None else pick_v.when(cond, F.col(f"q{i}"))
-    return grouped.select("feature", F.explode(F.arrays_zip(pick_p.alias("p"), pick_v.alias("value"))).alias("z")) \
-        .select("feature", F.col("z.p").alias("p"), F.col("z.value").alias("value"))
-
-
-def _quantiles_rank(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> DataFrame:
+def quantile_values(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Exact linear-interpolated quantiles of stacked (feature, value) rows: (feature, p, value)."""
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranks = prefix_sums(counts, "feature", "value", ["cnt"])
     ranks = ranks.select(
@@ -114,8 +84,7 @@ def _quantiles_rank(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> Da
         F.first(F.col("x.pos")).alias("pos"),
         F.first(F.col("x.lo")).alias("lo"),
     )
-    # the same interpolation, term for term, as the built-in exact percentile, so both
-    # strategies give bit-identical edges: (hi - pos) * lower value + (pos - lo) * higher value
+    # the same interpolation, term for term, as the built-in exact percentile: (hi - pos) * lower value + (pos - lo) * higher value
     hi_rank = F.ceil("pos")
     value = (
         F.when((F.col("lo") == hi_rank) | (F.col("lo_v") == F.col("hi_v")), F.col("lo_v"))
@@ -124,28 +93,9 @@ def _quantiles_rank(long: DataFrame, probs: Mapping[str, Sequence[float]]) -> Da
     return per_p.select("feature", "p", value.alias("value"))
 
 
-def choose_method(long: DataFrame, max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> str:
-    """``percentile`` when a sketch bounds every feature's distinct values, else ``rank``."""
-    widest = long.groupBy("feature").agg(F.approx_count_distinct("value", 0.05).alias("d")).agg(F.max("d")).first()[0]
-    return "percentile" if (widest or 0) <= max_distinct else "rank"
-
-
-def quantile_values(long: DataFrame, probs: Mapping[str, Sequence[float]], method: str = "auto",
-                    max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> DataFrame:
-    """Exact linear-interpolated quantiles of stacked (feature, value) rows: (feature, p, value)."""
-    if method == "auto":
-        method = choose_method(long, max_distinct)
-    if method == "percentile":
-        return _quantiles_percentile(long, probs)
-    if method == "rank":
-        return _quantiles_rank(long, probs)
-    raise ValueError(method)
-
-
-def quantile_edges(long: DataFrame, qs: Mapping[str, int], method: str = "auto",
-                   max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE) -> DataFrame:
+def quantile_edges(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
     """(feature, edges) for stacked (feature, value) rows; edges ascending, duplicates dropped."""
-    values = quantile_values(long, {f: probabilities(q) for f, q in qs.items()}, method, max_distinct)
+    values = quantile_values(long, {f: probabilities(q) for f, q in qs.items()})
     return values.groupBy("feature").agg(
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))),
                                      lambda s: s["value"])).alias("edges")
@@ -167,18 +117,19 @@ def assign_bins(long: DataFrame, edges: DataFrame, max_edges: int) -> DataFrame:
         long.join(F.broadcast(edges), "feature")
         .withColumn("bin", F.greatest(F.lit(1), below))
         .withColumn("lo", F.element_at("edges", F.col("bin")))
-        .withColumn("hi", F.element_at("edges", F.when(F.size("edges") > 1, F.col("bin") + 1).otherwise(F.col("bin"))))
+        .withColumn("hi", F.element_at("edges", F.col("bin") + 1))
         .drop("edges")
     )
 
 
 def quantile_bin_summary(df: DataFrame, features: Mapping[str, int] | Sequence[tuple[str, Column, int]],
-                         target: str = "TARGET", method: str = "auto") -> DataFrame:
+                         target: str = "TARGET") -> DataFrame:
     """A2/U2 for many features at once: (feature, bin, lo, hi, count, default_rate).
 
     ``features`` maps a column name to q, or lists (name, expression, q) for
     derived inputs (e.g. age in years). Rows with a null feature or target are
-    dropped per feature (F1); only bins with rows appear (``observed=True``).
+    dropped per feature (F1); only bins with rows appear (``observed=True``). A
+    feature with one value has a single edge and so no bins, as in pandas.
     """
     if isinstance(features, Mapping):
         items = [(name, F.col(name), q) for name, q in features.items()]
@@ -186,7 +137,7 @@ def quantile_bin_summary(df: DataFrame, features: Mapping[str, int] | Sequence[t
         items = list(features)
     qs = {name: q for name, _, q in items}
     long = stack_features(df.where(F.col(target).isNotNull()), [(n, e) for n, e, _ in items], keep=[target])
-    edges = quantile_edges(long.select("feature", "value"), qs, method)
+    edges = quantile_edges(long.select("feature", "value"), qs).where(F.size("edges") > 1)
     binned = assign_bins(long, edges, max(qs.values()) + 1)
     return binned.groupBy("feature", "bin").agg(
         F.first("lo").alias("lo"),

@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 from .summary import string_columns
 
-# Refuse to one-hot a column with more values than this: the output would
-# grow one column per value. A check, not a cap: fitting fails loudly.
-MAX_CATEGORIES = 1000
-
 
 @dataclass
 class Vocabulary:
@@ -30,7 +26,16 @@ class Vocabulary:
     onehot: dict[str, list[str]] = field(default_factory=dict)  # column -> sorted values
 
     def onehot_names(self) -> list[str]:
-        return [dummy_name(c, v) for c, vals in self.onehot.items() for v in vals]
+        """Output names in column, then value order; a name already taken gets ``_2``, ``_3``, ..."""
+        names: dict[str, None] = {}
+        for c, values in self.onehot.items():
+            for v in values:
+                name, n = dummy_name(c, v), 1
+                while name in names:
+                    n += 1
+                    name = f"{dummy_name(c, v)}_{n}"
+                names[name] = None
+        return list(names)
 
 
 def dummy_name(column: str, value: str) -> str:
@@ -38,18 +43,15 @@ def dummy_name(column: str, value: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", f"{column}_{value}")
 
 
-def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None, max_categories: int = MAX_CATEGORIES) -> Vocabulary:
-    """One pass: distinct non-null values of every string column (bounded by ``max_categories``)."""
+def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None) -> Vocabulary:
+    """One pass: the distinct non-null values of every string column, as many as there are.
+
+    Each value becomes an output column, so they all reach the driver in any case; they are counted in
+    parallel and read in order, a partition at a time.
+    """
     columns = list(columns or string_columns(df))
     if not columns:
         return Vocabulary()
-    # 1) cheap bound check: one small HyperLogLog per column (5 % error), merged map-side with
-    #    no shuffle of values; the exact check below catches what the sketch lets through
-    estimates = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    too_wide = sorted(c for i, c in enumerate(columns) if estimates[f"n{i}"] > max_categories * 1.25)
-    if too_wide:
-        raise ValueError(f"columns with more than {max_categories} categories: {too_wide}")
-    # 2) exact values of the columns that passed: distinct (column, value) pairs, bounded per column
     pairs = (
         df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
@@ -58,13 +60,9 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str] | None = None, max_cate
         .where(F.col("value").isNotNull())
         .distinct()
     )
-    found = {
-        r["column"]: list(r["values"])
-        for r in pairs.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values")).collect()
-    }
-    over = sorted(c for c, vals in found.items() if len(vals) > max_categories)
-    if over:
-        raise ValueError(f"columns with more than {max_categories} categories: {over}")
+    found: dict[str, list[str]] = {}
+    for r in pairs.orderBy("column", "value").toLocalIterator():
+        found.setdefault(r["column"], []).append(r["value"])
     vocab = Vocabulary()
     for c in columns:
         values = found.get(c, [])
@@ -94,9 +92,10 @@ def one_hot(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     ``get_dummies`` lays them out.
     """
     keep = [c for c in df.columns if c not in vocab.onehot]
+    pairs = [(c, v) for c, values in vocab.onehot.items() for v in values]
     dummies = [
-        F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(dummy_name(c, v))
-        for c, values in vocab.onehot.items() for v in values
+        F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name)
+        for (c, v), name in zip(pairs, vocab.onehot_names(), strict=True)
     ]
     return df.select(*keep, *dummies)
 

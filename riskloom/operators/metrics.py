@@ -21,19 +21,29 @@ from .prefix import prefix_sums
 THRESHOLDS = [i / 10 for i in range(1, 10)]
 
 
+def complete(scored: DataFrame, *columns: str) -> DataFrame:
+    """``scored``, failing on a row where one of the columns is null: leaving rows out is for the caller to decide and say."""
+    missing = F.raise_error(F.lit(f"null in one of {', '.join(columns)}: drop or fill such rows before evaluating"))
+    checked = {c: F.when(F.col(c).isNull(), missing.cast(scored.schema[c].dataType)).otherwise(F.col(c)) for c in columns}
+    return scored.withColumns(checked)
+
+
 def auc(scored: DataFrame, score: str = "score", label: str = "label", by: str | None = None) -> DataFrame:
-    """One row per ``by`` group (or one row): (auc, n_pos, n_neg). Null scores or labels are ignored."""
+    """One row per ``by`` group (or one row): (auc, n_pos, n_neg). A null score or label is an error."""
     group = F.col(by) if by else F.lit(0)
     by_score = (
-        scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(group.alias("_group"), F.col(score).cast("double").alias("score"))
+        complete(scored, score, label)
+        .groupBy(group.alias("auc_group"), F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    cum = prefix_sums(by_score, "_group", "score", ["neg"])
+    cum = prefix_sums(by_score, "auc_group", "score", ["neg"])
     if by:
-        cum = cum.groupBy(F.col("_group").alias(by))
+        cum = cum.groupBy(F.col("auc_group").alias(by))
     return cum.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        (
+            F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))
+            / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))  # a product of longs would overflow
+        ).alias("auc"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
     )
@@ -43,10 +53,10 @@ def threshold_sweep(scored: DataFrame, score: str = "score", label: str = "label
                     thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(threshold, recall, precision, predicted_positive): predicted positive = score >= threshold.
 
-    Precision with no predicted positive is 0 (the scikit-learn convention).
+    Precision with no predicted positive is 0 (the scikit-learn convention). A null score or label is an error.
     """
     s, y = F.col(score), F.col(label)
-    counts = scored.agg(
+    counts = complete(scored, score, label).agg(
         F.count_if(y == 1).alias("positives"),
         *[F.count_if((s >= F.lit(t)) & (y == 1)).alias(f"tp{i}") for i, t in enumerate(thresholds)],
         *[F.count_if(s >= F.lit(t)).alias(f"pp{i}") for i, t in enumerate(thresholds)],

@@ -9,8 +9,9 @@ task. Instead:
    checkpoint them (fixes which partition a row is in, and cuts lineage);
 2. total each partition (<= groups x P rows) and turn the totals into
    per-partition offsets with a window over that small table;
-3. broadcast the offsets (size bounded by groups x P) and add them to a
-   running sum computed inside each range partition only.
+3. join the offsets on (group, partition), null groups included, and add them
+   to a running sum computed inside each range partition only. No broadcast is
+   asked for: with many groups the offsets are as many as the groups.
 
 Every task sees one range partition; the only global step is over P rows
 per group.
@@ -48,8 +49,8 @@ def prefix_sums(df: DataFrame, group: str, order: str, sums: Sequence[str],
         *[F.sum(f"_p_{c}").over(whole).alias(f"{c}_total") for c in sums],
     )
     inside = Window.partitionBy(group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), [group, "_part"])
-    out = out.withColumns({
-        f"{c}_before": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums
-    })
-    return out.drop("_part", *[f"_o_{c}" for c in sums])
+    running = ranged.withColumns({f"_r_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    offsets = offsets.withColumnsRenamed({group: "_group", "_part": "_opart"})
+    out = running.join(offsets, running[group].eqNullSafe(offsets["_group"]) & (running["_part"] == offsets["_opart"]))
+    out = out.withColumns({f"{c}_before": F.col(f"_o_{c}") + F.col(f"_r_{c}") for c in sums})
+    return out.drop("_part", "_group", "_opart", *[f"_{x}_{c}" for c in sums for x in ("o", "r")])

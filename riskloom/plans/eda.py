@@ -40,24 +40,24 @@ def _subset(names):
     return [f for f in quantile_features() if f[0] in names]
 
 
-def age_bins(app: DataFrame, method: str = "auto") -> DataFrame:
+def age_bins(app: DataFrame) -> DataFrame:
     """Default rate per age decile."""
-    return binning.quantile_bin_summary(app, _subset({"age_years"}), method=method)
+    return binning.quantile_bin_summary(app, _subset({"age_years"}))
 
 
-def income_bins(app: DataFrame, method: str = "auto") -> DataFrame:
+def income_bins(app: DataFrame) -> DataFrame:
     """Income in thousands (floor division), 9 bins."""
-    return binning.quantile_bin_summary(app, _subset({"income_thousands"}), method=method)
+    return binning.quantile_bin_summary(app, _subset({"income_thousands"}))
 
 
-def tied_bins(app: DataFrame, method: str = "auto") -> DataFrame:
+def tied_bins(app: DataFrame) -> DataFrame:
     """E5 + E10: few distinct values, so several deciles coincide and edges are dropped."""
-    return binning.quantile_bin_summary(app, _subset({"REGION_POPULATION_RELATIVE", "OWN_CAR_AGE"}), method=method)
+    return binning.quantile_bin_summary(app, _subset({"REGION_POPULATION_RELATIVE", "OWN_CAR_AGE"}))
 
 
-def all_quantile_bins(app: DataFrame, method: str = "auto") -> DataFrame:
+def all_quantile_bins(app: DataFrame) -> DataFrame:
     """All twelve quantile summaries in one edge job and one binning job."""
-    return binning.quantile_bin_summary(app, quantile_features(), method=method)
+    return binning.quantile_bin_summary(app, quantile_features())
 
 
 def family_bins(app: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ every map task before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,13 @@ PREVIOUS_DATE_COLUMNS = [
     "DAYS_TERMINATION",
 ]
 
-INSTALLMENT_TIES = ["TB1", "TB2", "TB3"]
-CARD_TIES = ["TB1", "TB2", "TB3"]
+# rows with the same due day or month are ordered by these columns of the raw files (all that is left to tell them apart)
+INSTALLMENT_TIES = ["NUM_INSTALMENT_NUMBER", "NUM_INSTALMENT_VERSION", "SK_ID_CURR", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT",
+                    "AMT_PAYMENT"]
+CARD_TIES = ["SK_ID_CURR", "AMT_DRAWINGS_ATM_CURRENT", "CNT_DRAWINGS_ATM_CURRENT", "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL",
+             "AMT_DRAWINGS_CURRENT", "AMT_PAYMENT_TOTAL_CURRENT", "AMT_RECEIVABLE_PRINCIPAL", "AMT_RECIVABLE",
+             "AMT_TOTAL_RECEIVABLE", "NAME_CONTRACT_STATUS", "CNT_DRAWINGS_CURRENT", "CNT_INSTALMENT_MATURE_CUM", "SK_DPD",
+             "SK_DPD_DEF"]
 PREVIOUS_TIES = ["SK_ID_PREV"]
 
 
@@ -100,14 +107,15 @@ def installments_enriched(installments: DataFrame) -> DataFrame:
     )
 
 
-def installments_agg(installments: DataFrame, as_written: bool = False) -> DataFrame:
+def installments_agg(installments: DataFrame, as_written: bool = False,
+                     tie_break: Sequence[str] = INSTALLMENT_TIES) -> DataFrame:
     """IN-01..IN-15. Recent = the 3 latest due days (D6); ``as_written`` takes the 3 oldest."""
     return rollup(
         installments_enriched(installments),
         "SK_ID_PREV",
         specs.INSTALLMENTS,
         order_by=["DAYS_INSTALMENT"],
-        tie_break=INSTALLMENT_TIES,
+        tie_break=tie_break,
         k=specs.LAST_K,
         descending=not as_written,
     )
@@ -133,14 +141,14 @@ def credit_card_enriched(card: DataFrame) -> DataFrame:
     )
 
 
-def credit_card_agg(card: DataFrame) -> DataFrame:
+def credit_card_agg(card: DataFrame, tie_break: Sequence[str] = CARD_TIES) -> DataFrame:
     """CC-01..CC-27; recent = the 3 latest months."""
     return rollup(
         credit_card_enriched(card),
         "SK_ID_PREV",
         specs.CREDIT_CARD,
         order_by=["MONTHS_BALANCE"],
-        tie_break=CARD_TIES,
+        tie_break=tie_break,
         k=specs.LAST_K,
         descending=True,
     )
@@ -176,20 +184,26 @@ def previous_derived(previous: DataFrame) -> DataFrame:
 def previous_enriched(previous: DataFrame, pos_cash: DataFrame, installments: DataFrame,
                       card: DataFrame) -> DataFrame:
     """J3-J5 (all on SK_ID_PREV: one shuffle of the previous applications serves the three)."""
-    joined = (
-        previous.join(pos_cash_agg(pos_cash), "SK_ID_PREV", "left")
-        .join(installments_agg(installments), "SK_ID_PREV", "left")
-        .join(credit_card_agg(card), "SK_ID_PREV", "left")
-    )
-    return previous_derived(joined)
+    return previous_with(previous, pos_cash_agg(pos_cash), installments_agg(installments), credit_card_agg(card))
+
+
+def previous_with(previous: DataFrame, *aggregates: DataFrame) -> DataFrame:
+    """J3-J5 on child aggregates (computed here, or written before and read back: SRC-09)."""
+    for aggregate in aggregates:
+        previous = previous.join(aggregate, "SK_ID_PREV", "left")
+    return previous_derived(previous)
 
 
 def previous_agg(previous: DataFrame, pos_cash: DataFrame, installments: DataFrame, card: DataFrame,
                  as_written: bool = False) -> DataFrame:
     """PREV-01..PREV-94 by SK_ID_CURR; recent = the 3 latest decisions."""
+    return previous_rollup(previous_enriched(previous, pos_cash, installments, card), as_written)
+
+
+def previous_rollup(enriched: DataFrame, as_written: bool = False) -> DataFrame:
     feature_list = specs.previous_as_written() if as_written else specs.PREVIOUS
     return rollup(
-        previous_enriched(previous, pos_cash, installments, card),
+        enriched,
         "SK_ID_CURR",
         feature_list,
         order_by=["DAYS_DECISION"],

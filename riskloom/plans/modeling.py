@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, model as ml, split
 from ..sources import sinks
-from . import processed as pr
+from . import processed as pr, specs
 
-# Fixed value: feature groups for the ablation report (README claim on marginal features).
+# Whole feature groups for the ablation report: every column of a group leaves together.
 ABLATION_GROUPS = {
     "ext_sources": ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "ext_source_1_missing", "ext_source_3_missing"],
-    "bureau_history": ["first_credit_time", "active_credits", "closed_ratio", "debt_ratio_mean", "has_credit_history"],
+    "bureau_history": [*specs.bureau_output_columns(), "has_credit_history"],
+    "previous_applications": [a.name for a in specs.PREVIOUS],
     "ratios": ["credit_income_ratio", "annuity_income_ratio", "credit_annuity_ratio", "credit_over_goods_price"],
 }
 
@@ -50,12 +51,20 @@ def tree_sweep(t, params: ml.GbtParams = ml.GbtParams()) -> DataFrame:
 
 
 # Fitted models of this process, so the score, importance and sweep queries of one
-# data set share a single training run (keyed by application, data folder and parameters).
+# data set share a single training run. The key holds what tells data sets apart: the application, the folder, the
+# parameters, and the files of the source tables with their sizes and times, so changed data are trained anew.
 _FITS: dict = {}
 
 
+def _files(t) -> tuple:
+    jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(t.sf_dir)
+    tables = folder.getFileSystem(conf).listStatus(folder)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in tables))
+
+
 def _memo(kind: str, t, params, build):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind, repr(params))
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, _files(t), kind, repr(params))
     if key not in _FITS:
         _FITS[key] = build()
     return _FITS[key]
@@ -92,13 +101,13 @@ def selected_features(t, k: int = 20) -> DataFrame:
     return table.sparkSession.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "rank int, feature string")
 
 
-def ablation_report(t, max_iter: int = 100) -> DataFrame:
+def ablation_report(t, max_iter: int = 1000) -> DataFrame:
     table, feats = model_inputs(t)
     return ml.ablation(table.where(F.col("split") == "train"), table, feats, ABLATION_GROUPS, max_iter)
 
 
 def ext_source_scores(app: DataFrame) -> DataFrame:
-    """A deterministic risk score in [0, 1] for the SQL-checkable sweep: 1 - EXT_SOURCE_2."""
+    """A deterministic risk score in [0, 1] for the SQL-checkable sweep: 1 - EXT_SOURCE_2, of the applicants that have one."""
     return app.where(F.col("EXT_SOURCE_2").isNotNull()).select(
         "SK_ID_CURR", (F.lit(1.0) - F.col("EXT_SOURCE_2")).alias("score"), F.col("TARGET").alias("label")
     )
@@ -111,5 +120,30 @@ def document_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def class_weights(app: DataFrame) -> DataFrame:
+    """M7: balanced weight of each class, counted on the train rows: (TARGET, n, class_weight)."""
+    train = split.hash_split(app, "SK_ID_CURR").where("split = 'train'")
+    counts = train.groupBy("TARGET").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
+    return counts.join(F.broadcast(total)).select(  # one row
+        "TARGET", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("class_weight")
+    )
+
+
+def scaler_stats(app: DataFrame, columns) -> DataFrame:
+    """M6 + M7: mean and population deviation of the train rows after median imputation: (feature, mean, std)."""
+    train = split.hash_split(app, "SK_ID_CURR").where("split = 'train'").select(*columns)
+    filled = ml.prepare(train, columns, ml.fit_medians(train, columns))
+    long = ml.stack_features(filled, list(columns))
+    return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def f_statistics(app: DataFrame, columns) -> DataFrame:
+    """The ANOVA F of each column against TARGET on the train rows: (feature, f_score)."""
+    train = split.hash_split(app, "SK_ID_CURR").where("split = 'train'").select("TARGET", *columns)
+    scores = ml.f_scores(ml.prepare(train, columns, ml.fit_medians(train, columns)), list(columns))
+    return app.sparkSession.createDataFrame(sorted(scores.items()), "feature string, f_score double")
+
+
 def sweep(app: DataFrame) -> DataFrame:
     return metrics.threshold_sweep(ext_source_scores(app))

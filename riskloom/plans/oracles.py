@@ -131,7 +131,7 @@ SELECT *,
   DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT AS delay_days,
   AMT_INSTALMENT - AMT_PAYMENT AS underpay_amt,
   AMT_PAYMENT / nullif(AMT_INSTALMENT, 0) AS payment_ratio,
-  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, TB1 {d}, TB2 {d}, TB3 {d}) AS rk
+  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, NUM_INSTALMENT_NUMBER {d}, NUM_INSTALMENT_VERSION {d}, SK_ID_CURR {d}) AS rk
 FROM installments
 ),
 inst_agg AS (
@@ -154,7 +154,7 @@ SELECT *,
   CASE WHEN AMT_CREDIT_LIMIT_ACTUAL > 0 THEN 1 ELSE 0 END AS has_credit_limit,
   CASE WHEN AMT_BALANCE = 0 THEN 1 ELSE 0 END AS zero_balance,
   CASE WHEN AMT_RECEIVABLE_PRINCIPAL = 0 THEN 1 ELSE 0 END AS zero_principal,
-  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY MONTHS_BALANCE {d}, TB1 {d}, TB2 {d}, TB3 {d}) AS rk
+  row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY MONTHS_BALANCE {d}, SK_ID_CURR {d}, AMT_DRAWINGS_ATM_CURRENT {d}, CNT_DRAWINGS_ATM_CURRENT {d}) AS rk
 FROM credit_card
 ),
 cc_agg AS (
@@ -224,10 +224,10 @@ def installments_agg_sql(as_written: bool = False) -> str:
 
 def installments_recency_sql() -> str:
     d = "DESC NULLS LAST"
-    final = f"""SELECT SK_ID_PREV, DAYS_INSTALMENT, TB1, TB2, TB3, rank_recency,
+    final = f"""SELECT SK_ID_PREV, DAYS_INSTALMENT, NUM_INSTALMENT_NUMBER, NUM_INSTALMENT_VERSION, SK_ID_CURR, rank_recency,
   CASE WHEN rank_recency < 3 THEN true ELSE false END AS is_recent
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, TB1 {d}, TB2 {d}, TB3 {d}) - 1
+  SELECT *, row_number() OVER (PARTITION BY SK_ID_PREV ORDER BY DAYS_INSTALMENT {d}, NUM_INSTALMENT_NUMBER {d}, NUM_INSTALMENT_VERSION {d}, SK_ID_CURR {d}) - 1
     AS rank_recency
   FROM installments WHERE SK_ID_PREV IS NOT NULL
 )"""
@@ -294,9 +294,9 @@ def quantile_bins_sql(names: list[str] | None = None) -> str:
     ]
     final = (
         "SELECT feature, bin, any_value(edges[bin]) AS lo,\n"
-        "  any_value(CASE WHEN len(edges) > 1 THEN edges[bin + 1] ELSE edges[bin] END) AS hi,\n"
+        "  any_value(edges[bin + 1]) AS hi,\n"
         "  count(TARGET) AS count, avg(TARGET) AS default_rate\n"
-        "FROM binned GROUP BY feature, bin"
+        "FROM binned WHERE len(edges) > 1 GROUP BY feature, bin"
     )
     return _ctes(["application"], extra, final)
 
@@ -530,6 +530,45 @@ def median_impute_sql() -> str:
     return _ctes(["application"], [f"train AS (SELECT * FROM application WHERE {u} < 0.7e0)"], parts)
 
 
+def _imputed_train_ctes() -> list[str]:
+    u = _hash_unit_sql("SK_ID_CURR")
+    filled = "\n  UNION ALL\n  ".join(
+        f"SELECT '{c}' AS feature, TARGET, coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5e0) FROM train)) AS value FROM train"
+        for c in MEDIAN_COLUMNS
+    )
+    return [f"train AS (SELECT * FROM application WHERE {u} < 0.7e0)", f"filled AS (\n  {filled}\n)"]
+
+
+def class_weights_sql() -> str:
+    u = _hash_unit_sql("SK_ID_CURR")
+    return _ctes(["application"], [f"c AS (SELECT TARGET, count(*) AS n FROM application WHERE {u} < 0.7e0 GROUP BY TARGET)"],
+                 "SELECT TARGET, n, (SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * CAST(n AS DOUBLE)) AS class_weight FROM c")
+
+
+def scaler_stats_sql() -> str:
+    return _ctes(["application"], _imputed_train_ctes(),
+                 "SELECT feature, avg(value) AS mean, stddev_pop(value) AS std FROM filled GROUP BY feature")
+
+
+def f_statistics_sql() -> str:
+    """F = variance of the class means (by class size) over the variance within classes."""
+    extra = _imputed_train_ctes() + [
+        "means AS (SELECT feature, TARGET, count(*) AS n, avg(value) AS m FROM filled GROUP BY feature, TARGET)",
+        "overall AS (SELECT feature, count(*) AS n, avg(value) AS m FROM filled GROUP BY feature)",
+        "inside AS (SELECT f.feature, sum((f.value - c.m) * (f.value - c.m)) AS ss FROM filled f "
+        "JOIN means c ON f.feature = c.feature AND f.TARGET = c.TARGET GROUP BY f.feature)",
+        "across AS (SELECT c.feature, sum(c.n * (c.m - o.m) * (c.m - o.m)) AS ss, count(*) AS k, any_value(o.n) AS n "
+        "FROM means c JOIN overall o ON c.feature = o.feature GROUP BY c.feature)",
+    ]
+    return _ctes(["application"], extra,
+                 "SELECT a.feature, (a.ss / (a.k - 1)) / (i.ss / (a.n - a.k)) AS f_score FROM across a JOIN inside i ON a.feature = i.feature")
+
+
+def tree_split_sql() -> str:
+    u = _hash_unit_sql("SK_ID_CURR")
+    return _ctes(["application"], [], f"SELECT SK_ID_CURR, TARGET, CASE WHEN {u} < 0.75e0 THEN 'train' ELSE 'validation' END AS split FROM application")
+
+
 def auc_exact_sql() -> str:
     return """WITH scored AS (
   SELECT CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label FROM labels l JOIN documents d ON l.doc_id = d.doc_id

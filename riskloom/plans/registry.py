@@ -48,10 +48,7 @@ def oracle_sql() -> dict[str, str]:
     for name, (_, sql) in _REGISTRY.items():
         if sql is None:
             continue
-        try:
-            out[name] = orc.round_doubles(sql())
-        except Exception:  # noqa: BLE001 - one oracle that cannot be built must not hide the others
-            continue
+        out[name] = orc.round_doubles(sql())
     return out
 
 
@@ -112,8 +109,8 @@ def _bins_all(t):
 
 @register("multi_feature_bins_rank", orc.quantile_bins_sql)
 def _bins_all_rank(t):
-    """Same summaries with the distributed exact-rank edges (the path for unbounded distinct values)."""
-    return eda.all_quantile_bins(t.application, method="rank")
+    """The same summaries (there is one path, by rank, whatever the number of distinct values)."""
+    return eda.all_quantile_bins(t.application)
 
 
 @register("fixed_bins_family", lambda: orc.fixed_bins_sql("CNT_FAM_MEMBERS"))
@@ -173,8 +170,9 @@ def _inst_recency(t):
     """W1 + W3: recency rank of every instalment (0 = latest due day) and the recent flag."""
     from ..operators.recency import recency_rank, recent_flag
 
-    inst = t.installments.where("SK_ID_PREV IS NOT NULL").select("SK_ID_PREV", "DAYS_INSTALMENT", "TB1", "TB2", "TB3")
-    ranked = recency_rank(inst, "SK_ID_PREV", ["DAYS_INSTALMENT"], fe.INSTALLMENT_TIES, descending=True)
+    inst = t.installments.where("SK_ID_PREV IS NOT NULL").select(
+        "SK_ID_PREV", "DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER", "NUM_INSTALMENT_VERSION", "SK_ID_CURR")
+    ranked = recency_rank(inst, "SK_ID_PREV", ["DAYS_INSTALMENT"], fe.INSTALLMENT_TIES[:3], descending=True)
     return ranked.withColumn("is_recent", recent_flag("rank_recency", 3))
 
 
@@ -259,22 +257,22 @@ def _hash_split_exact(t):
     return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR", label="TARGET", exact=True)
 
 
-def _medians(t, method):
+def _medians(t):
     train = split.hash_split(t.application, "SK_ID_CURR").where("split = 'train'")
     long = binning.stack_features(train, orc.MEDIAN_COLUMNS)
-    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS}, method)
+    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS})
     return values.select("feature", values["value"].alias("median"))
 
 
 @register("median_impute", orc.median_impute_sql)
 def _median_impute(t):
-    return _medians(t, "auto")
+    return _medians(t)
 
 
 @register("median_impute_rank", orc.median_impute_sql)
 def _median_impute_rank(t):
-    """The same medians through the distributed rank path (unbounded distinct values)."""
-    return _medians(t, "rank")
+    """The same medians (there is one path, by rank)."""
+    return _medians(t)
 
 
 @register("auc_exact", orc.auc_exact_sql)
@@ -292,6 +290,27 @@ def _pick(t):
     return metrics.pick_threshold(modeling.sweep(t.application), 0.5)
 
 
+@register("class_weights", orc.class_weights_sql)
+def _class_weights(t):
+    return modeling.class_weights(t.application)
+
+
+@register("scaler_stats", orc.scaler_stats_sql)
+def _scaler_stats(t):
+    return modeling.scaler_stats(t.application, orc.MEDIAN_COLUMNS)
+
+
+@register("f_statistics", orc.f_statistics_sql)
+def _f_statistics(t):
+    return modeling.f_statistics(t.application, orc.MEDIAN_COLUMNS)
+
+
+@register("tree_split", orc.tree_split_sql)
+def _tree_split(t):
+    """M5: the 75 / 25 split of the tree model."""
+    return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR", split.TWO_WAY)
+
+
 @register("lr_score")
 def _lr_score(t):
     return modeling.baseline_scores(t)

@@ -143,16 +143,15 @@ VIEWS: dict[str, tuple[str, str | None, list[str]]] = {
             "CAST(CASE WHEN l_partkey % 16 = 0 THEN l_partkey % 20 ELSE 0 END AS INT) AS SK_DPD_DEF",
         ],
     ),
-    # lineitem is split by line status between the two payment histories
     "installments": (
         "lineitem",
-        "l_linestatus = 'F'",
+        None,
         [
             "l_orderkey AS SK_ID_PREV",
             "{DD:l_shipdate} AS DAYS_INSTALMENT",
-            "l_linenumber AS TB1",
-            "l_partkey AS TB2",
-            "l_suppkey AS TB3",
+            "l_linenumber AS NUM_INSTALMENT_NUMBER",
+            "l_partkey AS NUM_INSTALMENT_VERSION",
+            "l_suppkey AS SK_ID_CURR",
             "CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE CAST({DD:l_shipdate} + l_partkey % 21 - 12 AS DOUBLE) END AS DAYS_ENTRY_PAYMENT",
             "CASE WHEN l_partkey % 43 = 0 THEN CAST(0 AS DOUBLE) ELSE l_extendedprice END AS AMT_INSTALMENT",
             "CASE WHEN l_partkey % 29 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN l_extendedprice / 2 ELSE l_extendedprice END AS AMT_PAYMENT",
@@ -160,13 +159,13 @@ VIEWS: dict[str, tuple[str, str | None, list[str]]] = {
     ),
     "credit_card": (
         "lineitem",
-        "l_linestatus <> 'F'",
+        None,
         [
             "l_orderkey AS SK_ID_PREV",
             "-l_linenumber AS MONTHS_BALANCE",
-            "{DD:l_shipdate} AS TB1",
-            "l_partkey AS TB2",
-            "l_suppkey AS TB3",
+            "{DD:l_shipdate} AS SK_ID_CURR",
+            "l_partkey AS AMT_DRAWINGS_ATM_CURRENT",
+            "l_suppkey AS CNT_DRAWINGS_ATM_CURRENT",
             "CASE WHEN l_partkey % 6 = 0 THEN CAST(0 AS DOUBLE) ELSE l_extendedprice END AS AMT_BALANCE",
             "CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE CAST(45000 * (1 + l_partkey % 9) AS INT) END AS AMT_CREDIT_LIMIT_ACTUAL",
             "CAST((l_partkey * 11) % 7000 AS DOUBLE) AS AMT_DRAWINGS_CURRENT",
@@ -183,14 +182,6 @@ VIEWS: dict[str, tuple[str, str | None, list[str]]] = {
     ),
 }
 
-# Order-tie-break columns of each child view (unique together with key + sort column).
-TIE_BREAKS = {
-    "installments": ["TB1", "TB2", "TB3"],
-    "credit_card": ["TB1", "TB2", "TB3"],
-    "previous_application": ["SK_ID_PREV"],
-}
-
-
 def view_sql(name: str, dialect: str = "duckdb") -> str:
     source, where, exprs = VIEWS[name]
     body = ",\n  ".join(_render(e, dialect) for e in exprs)

@@ -1,19 +1,20 @@
 """Readers for the raw credit files and the input check (SRC-01..SRC-11).
 
-CSV is read with the header and *no* type inference (every field a string,
-one pass), then null tokens are cleared and each declared column is cast by
-name with ``try_cast``: a malformed number becomes null instead of failing
-the job, as the reference's reader turns it into NaN. Parquet sources are
-read directly (column pruning and predicate pushdown reach the scan).
+CSV is read with the header and every field as a string; null tokens are cleared
+and each declared column is cast by name. Columns that no schema declares are
+numbers if every value in the whole file reads as one, else strings (one pass
+over them). A cell that its declared type cannot read becomes null; with a
+``report`` list such cells are counted by column in the same pass, and the CLI
+prints them. Parquet sources get the same casts and the same NaN rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
 from . import schemas
 
@@ -39,36 +40,84 @@ def check_inputs(spark: SparkSession, paths: Mapping[str, str]) -> None:
         raise FileNotFoundError("missing input files:\n  " + "\n  ".join(missing))
 
 
+def _number(v: Column, t: DataType) -> Column:
+    """``v`` as ``t``: integers may be written with a fraction of zero (``-1.0``), NaN is null."""
+    if t.typeName() in ("double", "float"):
+        d = v.try_cast(t)
+        return F.when(F.isnan(d), F.lit(None).cast(t)).otherwise(d)
+    whole = v.try_cast("double")
+    return F.coalesce(v.try_cast(t), F.when(whole == F.floor(whole), whole.try_cast(t)))
+
+
 def clean_and_cast(df: DataFrame, schema: StructType) -> DataFrame:
-    """Null tokens → null, declared columns cast by name, NaN → null."""
+    """Null tokens to null, declared columns cast by name, NaN to null."""
+    declared = {f.name: f.dataType for f in schema.fields}
+    return df.select(*[_cell(F.col(f"`{c}`"), declared.get(c)).alias(c) for c in df.columns])
+
+
+def _cleaned(raw: Column) -> Column:
+    return F.when(raw.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(raw)
+
+
+def _cell(raw: Column, t: DataType | None) -> Column:
+    return _cleaned(raw) if t is None or isinstance(t, StringType) else _number(_cleaned(raw), t)
+
+
+def complete_schema(raw: DataFrame, schema: StructType, report: list | None = None) -> StructType:
+    """``schema`` with the columns of ``raw`` that it does not declare, typed by all their values (one pass).
+
+    ``report`` gets ``(column, cells)`` for declared columns with cells that their type cannot read.
+    """
+    declared = {f.name: f.dataType for f in schema.fields}
+    free = [c for c in raw.columns if c not in declared]
+    typed = [c for c in raw.columns if c in declared and not isinstance(declared[c], StringType)] if report is not None else []
+    if not free and not typed:
+        return schema
+    text = {c: _cleaned(F.col(f"`{c}`")) for c in free + typed}
+    unreadable = lambda c, t: F.count_if(text[c].isNotNull() & _number(text[c], t).isNull())
+    counts = raw.agg(
+        *[F.count(text[c]).alias(f"n{i}") for i, c in enumerate(free)],
+        *[unreadable(c, DoubleType()).alias(f"f{i}") for i, c in enumerate(free)],
+        *[unreadable(c, declared[c]).alias(f"t{i}") for i, c in enumerate(typed)],
+    ).first()
+    if report is not None:
+        report.extend((c, counts[f"t{i}"]) for i, c in enumerate(typed) if counts[f"t{i}"])
+    number = [c for i, c in enumerate(free) if counts[f"n{i}"] and not counts[f"f{i}"]]
+    return StructType([*schema.fields, *[StructField(c, DoubleType() if c in number else StringType(), True) for c in free]])
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, report: list | None = None) -> DataFrame:
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return clean_and_cast(raw, complete_schema(raw, schema, report))
+
+
+def read_parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet source with the declared types; NaN is null in every floating column."""
+    df = spark.read.parquet(path)
     declared = {f.name: f.dataType for f in schema.fields}
     out = []
-    for c in df.columns:
-        raw = F.col(f"`{c}`")
-        cleaned = F.when(F.trim(raw).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(raw)
-        t = declared.get(c)
-        if t is None or isinstance(t, StringType):
-            out.append(cleaned.alias(c))
-        else:
-            v = cleaned.try_cast(t)
-            if t.typeName() in ("double", "float"):
-                v = F.when(F.isnan(v), F.lit(None).cast(t)).otherwise(v)
-            out.append(v.alias(c))
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), declared.get(f.name, f.dataType)
+        if f.dataType.typeName() in ("double", "float"):
+            c = F.when(~F.isnan(c), c)
+        out.append((c if f.dataType == t else c.cast("string") if isinstance(t, StringType) else _number(c, t)).alias(f.name))
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return clean_and_cast(raw, schema)
+def assert_keys(df: DataFrame, name: str) -> DataFrame:
+    """``df`` failing on a row whose key is null (``schemas.KEYS``)."""
+    keys = [k for k in schemas.KEYS[name] if k in df.columns]
+    message = F.lit(f"{name}: null in key {', '.join(keys)}")
+    return df.withColumns({k: F.when(F.col(k).isNull(), F.raise_error(message).cast(df.schema[k].dataType)).otherwise(F.col(k)) for k in keys})
 
 
-def read_source(spark: SparkSession, raw_dir: str, name: str, fmt: str = "csv") -> DataFrame:
-    """SRC-01..SRC-07: one raw source by name, from CSV (declared schema) or Parquet."""
+def read_source(spark: SparkSession, raw_dir: str, name: str, fmt: str = "csv", report: list | None = None) -> DataFrame:
+    """SRC-01..SRC-07: one raw source by name, from CSV (declared schema) or Parquet; keys must not be null."""
     file_name, schema = schemas.SOURCES[name]
     if fmt == "csv":
-        return read_csv(spark, f"{raw_dir.rstrip('/')}/{file_name}", schema)
+        return assert_keys(read_csv(spark, f"{raw_dir.rstrip('/')}/{file_name}", schema, report), name)
     stem = file_name.rsplit(".", 1)[0]
-    return spark.read.parquet(f"{raw_dir.rstrip('/')}/{stem}.parquet")
+    return assert_keys(read_parquet(spark, f"{raw_dir.rstrip('/')}/{stem}.parquet", schema), name)
 
 
 def source_paths(raw_dir: str, fmt: str = "csv") -> dict[str, str]:
@@ -79,7 +128,11 @@ def source_paths(raw_dir: str, fmt: str = "csv") -> dict[str, str]:
     return out
 
 
-def load_sources(spark: SparkSession, raw_dir: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """Check all seven inputs, then return them lazily by name."""
+def load_sources(spark: SparkSession, raw_dir: str, fmt: str = "csv", report: dict | None = None) -> dict[str, DataFrame]:
+    """Check all seven inputs, then return them by name. ``report`` gets the unreadable cells of each CSV source."""
     check_inputs(spark, source_paths(raw_dir, fmt))
-    return {name: read_source(spark, raw_dir, name, fmt) for name in schemas.SOURCES}
+    out = {}
+    for name in schemas.SOURCES:
+        cells = None if report is None else report.setdefault(name, [])
+        out[name] = read_source(spark, raw_dir, name, fmt, cells)
+    return out

@@ -65,11 +65,12 @@ def build_features(spark: SparkSession, sources: dict[str, DataFrame], out_dir:
     paths = {}
     bureau_agg = materialize(fe.bureau_agg(sources["bureau"], sources["bureau_balance"]), f"{out}/bureau_agg")  # SNK-01
     paths["bureau_agg"] = f"{out}/bureau_agg"
-    paths["installments_agg"] = write_table(fe.installments_agg(sources["installments"]), f"{out}/installments_agg")  # SNK-02
-    paths["credit_card_agg"] = write_table(fe.credit_card_agg(sources["credit_card"]), f"{out}/credit_card_agg")  # SNK-04
-    prev = fe.previous_agg(sources["previous_application"], sources["pos_cash"], sources["installments"],
-                           sources["credit_card"])
-    paths["previous_agg"] = write_table(prev, f"{out}/previous_agg")  # SNK-05
+    paths["installments_agg"], paths["credit_card_agg"] = f"{out}/installments_agg", f"{out}/credit_card_agg"
+    # each child history is aggregated once; the previous chain reads what was written (SRC-09)
+    inst = materialize(fe.installments_agg(sources["installments"]), paths["installments_agg"])  # SNK-02
+    card = materialize(fe.credit_card_agg(sources["credit_card"]), paths["credit_card_agg"])  # SNK-04
+    enriched = fe.previous_with(sources["previous_application"], fe.pos_cash_agg(sources["pos_cash"]), inst, card)
+    paths["previous_agg"] = write_table(fe.previous_rollup(enriched), f"{out}/previous_agg")  # SNK-05
     processed, _ = pr.encode(pr.recode(sources["application"].join(bureau_agg, "SK_ID_CURR", "left")))
     paths["processed"] = write_table(processed, f"{out}/processed")  # SNK-03
     return paths

@@ -36,7 +36,8 @@ def test_d6_installments_recent_vs_oldest(spark):
     from riskloom.plans import features as fe
 
     rows = [(1, float(d), d, 0, 0, float(d) + delay, 100.0, 100.0) for d, delay in [(-40, 9), (-30, 1), (-20, 2), (-10, 3)]]
-    df = spark.createDataFrame(rows, "SK_ID_PREV long, DAYS_INSTALMENT double, TB1 int, TB2 int, TB3 int, "
+    df = spark.createDataFrame(rows, "SK_ID_PREV long, DAYS_INSTALMENT double, NUM_INSTALMENT_NUMBER int, NUM_INSTALMENT_VERSION int, "
+                                     "SK_ID_CURR int, "
                                      "DAYS_ENTRY_PAYMENT double, AMT_INSTALMENT double, AMT_PAYMENT double")
     recent = fe.installments_agg(df).first()
     oldest = fe.installments_agg(df, as_written=True).first()

@@ -10,22 +10,20 @@ from riskloom.operators.recency import recency_rank
 from riskloom.operators.rollup import rollup
 
 
-def _bins(spark, values, q, method):
+def _bins(spark, values, q):
     df = spark.createDataFrame([(float(v), 0) for v in values], "x double, TARGET int")
-    out = binning.quantile_bin_summary(df, {"x": q}, method=method)
+    out = binning.quantile_bin_summary(df, {"x": q})
     return [(r["bin"], r["lo"], r["hi"], r["count"]) for r in out.orderBy("bin").collect()]
 
 
-@pytest.mark.parametrize("method", ["percentile", "rank"])
-def test_quantile_bins(spark, method):
-    got = _bins(spark, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10.5], 4, method)
+def test_quantile_bins(spark):
+    got = _bins(spark, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10.5], 4)
     assert [g[3] for g in got] == [3, 2, 2, 3]
     assert [g[1] for g in got] == [1.0, 3.25, 5.5, 7.75]
 
 
-@pytest.mark.parametrize("method", ["percentile", "rank"])
-def test_quantile_bins_duplicate_edges(spark, method):
-    got = _bins(spark, [0, 0, 0, 0, 1, 2, 3], 4, method)
+def test_quantile_bins_duplicate_edges(spark):
+    got = _bins(spark, [0, 0, 0, 0, 1, 2, 3], 4)
     assert [(g[0], g[3]) for g in got] == [(1, 5), (2, 2)]
     assert got[0][2] == 1.5
 
@@ -66,17 +64,50 @@ def test_label_codes_and_one_hot(spark):
     assert got == [(0, 1, 0, 0), (1, 0, 1, 0), (None, 0, 0, 0), (0, 0, 0, 1)]
 
 
-def test_vocabulary_bound_is_checked(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(20)], "s string")
-    with pytest.raises(ValueError):
-        encode.fit_vocabulary(df, max_categories=10)
+def test_vocabulary_has_no_limit_and_unique_names(spark):
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(1500)] + [("A B",), ("A-B",)], "k string")
+    vocab = encode.fit_vocabulary(df)
+    names = vocab.onehot_names()
+    assert len(vocab.onehot["k"]) == len(set(names)) == 1502 and {"k_A_B", "k_A_B_2"} <= set(names)
+    few = spark.createDataFrame([("A B",), ("A-B",), ("c",)], "k string")
+    out = encode.one_hot(few, encode.fit_vocabulary(few))
+    assert out.columns == ["k_A_B", "k_A_B_2", "k_c"] and sorted(map(tuple, out.collect())) == [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
 
 
-@pytest.mark.parametrize("method", ["percentile", "rank"])
-def test_median_is_mean_of_middles(spark, method):
+def test_constant_feature_has_no_bins(spark):
+    assert _bins(spark, [2, 2, 2], 4) == []
+
+
+def test_exact_split_keeps_rows_without_label(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 0)], "k int, y int")
+    out = split.hash_split(df, "k", split.THREE_WAY, label="y", exact=True)
+    assert sorted(r["k"] for r in out.collect()) == [1, 2, 3, 4]
+
+
+def test_auc_of_large_counts_and_nulls(spark):
+    big = spark.createDataFrame([(0.0, 0), (1.0, 1)], "score double, label int")
+    counts = big.withColumn("n", F.lit(4_000_000_000))
+    pos, neg = counts.agg(F.sum(F.col("n") * F.col("label")), F.sum(F.col("n") * (1 - F.col("label")))).first()
+    assert float(pos) * float(neg) > 9.3e18  # such counts overflow a product of longs; the metric multiplies doubles
+    assert metrics.auc(big).first()["auc"] == 1.0
+    for bad in [(None, 1), (0.5, None)]:
+        with pytest.raises(Exception, match="null in one of"):
+            metrics.auc(spark.createDataFrame([(0.0, 0), (1.0, 1), bad], "score double, label int")).collect()
+
+
+def test_rounding_keeps_large_and_special_values(spark):
+    from riskloom.functions.rounding import portable_round
+
+    values = [1e13, -1e13, float("inf"), float("nan"), 0.5, 1 / 3, -1 / 3, None]
+    got = [r[0] for r in portable_round(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    assert got[:3] == values[:3] and math.isnan(got[3]) and got[4] == 0.5 and got[7] is None
+    assert got[5] == math.floor(2**20 / 3 + 0.5) / 2**20 and got[6] == math.floor(-(2**20) / 3 + 0.5) / 2**20
+
+
+def test_median_is_mean_of_middles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
     long = binning.stack_features(df, ["x"])
-    got = binning.quantile_values(long, {"x": [0.5]}, method).first()["value"]
+    got = binning.quantile_values(long, {"x": [0.5]}).first()["value"]
     assert got == 2.5
 
 

@@ -16,14 +16,15 @@ def test_bin_counts_add_up_to_non_null_rows(spark, tables01):
         assert per_feature[name] == expected, name
 
 
-def test_rank_and_percentile_edges_agree(spark, tables01):
+def test_rank_edges_equal_the_built_in_percentile(spark, tables01):
     long = binning.stack_features(tables01.application, [(n, e) for n, e, _ in eda.quantile_features()])
     qs = {n: q for n, _, q in eda.quantile_features()}
-    a = {r["feature"]: r["edges"] for r in binning.quantile_edges(long, qs, "percentile").collect()}
-    b = {r["feature"]: r["edges"] for r in binning.quantile_edges(long, qs, "rank").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert len(a[k]) == len(b[k]) and all(math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12) for x, y in zip(a[k], b[k]))
+    got = {r["feature"]: r["edges"] for r in binning.quantile_edges(long, qs).collect()}
+    for name, q in qs.items():
+        probs = F.array(*[F.lit(p) for p in binning.probabilities(q)])
+        expected = sorted(set(long.where(F.col("feature") == name).agg(F.percentile("value", probs)).first()[0]))
+        assert len(got[name]) == len(expected)
+        assert all(math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12) for x, y in zip(got[name], expected))
 
 
 def test_status_shares_add_up(spark, tables01):

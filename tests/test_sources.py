@@ -23,6 +23,35 @@ def test_csv_null_tokens_and_types(spark, tmp_path):
     assert got == [(1, -1, "C"), (2, None, "XNA"), (3, None, None), (4, None, "5")]
 
 
+def test_undeclared_columns_are_typed_by_all_their_values(spark, tmp_path):
+    p = tmp_path / "application_train.csv"
+    rows = [f"{i},{i % 2},{i * 0.5},{'x' if i == 1400 else i},block {i % 3},NA" for i in range(1500)]
+    p.write_text("SK_ID_CURR,TARGET,APARTMENTS_AVG,MIXED,FONDKAPREMONT_MODE,EMPTY\n" + "\n".join(rows) + "\n")
+    df = readers.read_csv(spark, str(p), schemas.APPLICATION)
+    types = dict(df.dtypes)
+    assert types["APARTMENTS_AVG"] == "double" and types["MIXED"] == types["FONDKAPREMONT_MODE"] == types["EMPTY"] == "string"
+
+
+def test_unreadable_cells_are_reported(spark, tmp_path):
+    p = tmp_path / "bureau_balance.csv"
+    p.write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,-1.0,C\n2,bad,X\n3,-2.5,\n4, NA,5\n")
+    report = []
+    df = readers.read_csv(spark, str(p), schemas.BUREAU_BALANCE, report)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, -1, "C"), (2, None, "X"), (3, None, None), (4, None, "5")]
+    assert report == [("MONTHS_BALANCE", 3)]  # ' NA' is no null token, as in the reference's reader
+
+
+def test_parquet_sources_are_cleaned_and_keys_checked(spark, tmp_path):
+    spark.createDataFrame([(1, 2, float("nan"), 5.0), (2, 3, 1.0, 6.0)], "SK_ID_PREV long, SK_ID_CURR long, AMT_PAYMENT double, NUM_INSTALMENT_NUMBER double") \
+        .write.parquet(f"{tmp_path}/installments_payments.parquet")
+    df = readers.read_source(spark, str(tmp_path), "installments", "parquet")
+    assert dict(df.dtypes)["NUM_INSTALMENT_NUMBER"] == "int"
+    assert sorted((r.SK_ID_PREV, r.AMT_PAYMENT, r.NUM_INSTALMENT_NUMBER) for r in df.collect()) == [(1, None, 5), (2, 1.0, 6)]
+    bad = readers.assert_keys(spark.createDataFrame([(None, 1)], "SK_ID_PREV long, SK_ID_CURR long"), "installments")
+    with pytest.raises(Exception, match="null in key"):
+        bad.collect()
+
+
 def test_build_features_writes_every_output(spark, tables01):
     out = sinks.scratch_path(spark, "build")
     srcs = {name: getattr(tables01, name) for name in VIEWS}
@@ -67,7 +96,10 @@ def test_command_line_train(spark, tables01):
 
     raw = sinks.scratch_path(spark, "cli-train-raw")
     for name, (file_name, _) in schemas.SOURCES.items():
-        getattr(tables01, name).write.option("header", True).csv(os.path.join(raw, file_name))
+        table = getattr(tables01, name)
+        if name == "application":  # columns of the real file that no schema declares
+            table = table.selectExpr("*", "SK_ID_CURR * 0.5 AS APARTMENTS_AVG", "concat('k', SK_ID_CURR % 4) AS FONDKAPREMONT_MODE")
+        table.write.option("header", True).csv(os.path.join(raw, file_name))
     out = sinks.scratch_path(spark, "cli-train-out")
     main(["train", "--raw", raw, "--out", out, "--model", "lr"])
     auc = {r["split"]: r for r in spark.read.parquet(f"{out}/lr/auc").collect()}
