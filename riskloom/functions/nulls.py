@@ -6,8 +6,6 @@ so it stays inside whole-stage codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,40 +22,15 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col_(num).cast("double"), col_(den).cast("double"))
 
 
-def null_to_zero(c: str | Column, zero=0) -> Column:
-    return F.coalesce(col_(c), F.lit(zero))
-
-
-def sum0(c: str | Column) -> Column:
-    """Sum that is 0 for an all-null (or empty) group, as pandas gives."""
-    return F.coalesce(F.sum(col_(c)), F.lit(0))
-
-
 def flag(pred: Column) -> Column:
     """0/1 integer flag; a null predicate counts as false."""
     return F.when(pred, F.lit(1)).otherwise(F.lit(0))
 
 
-def share(pred: Column) -> Column:
-    """Share of rows where ``pred`` is true; null rows stay in the denominator."""
-    return F.avg(F.when(pred, F.lit(1.0)).otherwise(F.lit(0.0)))
-
-
-def ever(pred: Column) -> Column:
-    """1 if any row of the group satisfies ``pred`` else 0."""
-    return F.max(flag(pred))
-
-
 def sentinel_to_null(c: str | Column, sentinel=DAYS_SENTINEL) -> Column:
     return F.nullif(col_(c), F.lit(sentinel))
 
 
-def nan_to_null(c: str | Column) -> Column:
-    """NaN is a value in Spark but the null in pandas (N9): clean at the scan."""
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def floor_div(c: str | Column, d: int) -> Column:
     """pandas ``//``: rounds down, also for negatives."""
     return F.floor(col_(c) / F.lit(float(d)))
@@ -69,9 +42,3 @@ def is_null_flag(c: str | Column) -> Column:
 
 def not_null_flag(c: str | Column) -> Column:
     return col_(c).isNotNull().cast("int")
-
-
-def fill(df, value, columns: Iterable[str]):
-    """``fillna`` over a column list, one projection."""
-    cols = [c for c in columns if c in df.columns]
-    return df.fillna(value, subset=cols) if cols else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -39,7 +39,6 @@ def missing_rates(df: DataFrame, features: Sequence[str], target: str = TARGET)
     One row per (feature, is_missing): rows, default rate of the group, and
     the feature's missing share over all rows.
     """
-    n_rows = df.select(F.count(F.lit(1))).scalar()
     stacked = df.select(
         F.col(target),
         F.explode(F.array(*[
@@ -56,7 +55,7 @@ def missing_rates(df: DataFrame, features: Sequence[str], target: str = TARGET)
         F.col("is_missing").cast("int").alias("is_missing"),
         "count",
         "default_rate",
-        (F.col("rows") / n_rows).alias("share"),
+        (F.col("rows") / F.sum("rows").over(Window.partitionBy("feature"))).alias("share"),  # two rows a feature
     )
 
 
@@ -65,7 +64,7 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFra
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     if not normalize:
         return counted
-    total = df.where(F.col(column).isNotNull()).select(F.count(F.lit(1))).scalar()
+    total = counted.select(F.sum("count")).scalar()  # of the grouped counts, not of the rows again
     return counted.select(column, (F.col("count") / total).alias("proportion"))
 
 

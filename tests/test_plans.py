@@ -33,6 +33,17 @@ def test_last_k_is_limited_before_the_shuffle(spark, tables01):
     assert any("Exchange hashpartitioning(SK_ID_PREV" in line for line in between)
 
 
+def test_recency_rank_asks_for_no_broadcast(spark):
+    """The offsets are as many as the groups: with Spark's own size check off, nothing is broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        p = plan_of(entry.queries()["installments_recency"](spark, SF01))
+        assert "Broadcast" not in p and "SortMergeJoin" in p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_installments_rollup_exchanges(spark, tables01):
     p = plan_of(fe.installments_agg(tables01.installments))
     # one exchange for the full aggregate, one for the top-K rows; the join reuses both partitionings

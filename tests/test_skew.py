@@ -17,13 +17,13 @@ def _hot_exprs(view):
 def _spark_view(spark, view):
     src, where, exprs = _hot_exprs(view)
     df = spark.read.parquet(f"{SF01}/{src}.parquet")
-    return df.where(where).selectExpr(*[adapters._render(e, "spark") for e in exprs])
+    return (df.where(where) if where else df).selectExpr(*[adapters._render(e, "spark") for e in exprs])
 
 
 def _duck_view(view):
     src, where, exprs = _hot_exprs(view)
     body = ",\n  ".join(adapters._render(e, "duckdb") for e in exprs)
-    return f"{view} AS (SELECT {body} FROM {src} WHERE {where})"
+    return f"{view} AS (SELECT {body} FROM {src}" + (f" WHERE {where})" if where else ")")
 
 
 def test_hot_key_installments(spark):
@@ -41,3 +41,17 @@ def test_hot_key_credit_card(spark):
     got = portable_round(fe.credit_card_agg(card))
     sql = orc.round_doubles(f"WITH {_duck_view('credit_card')},\n{orc._cc_ctes()}\nSELECT * FROM cc_agg")
     assert compare(got, sql, duck(SF01)) == []
+
+
+def test_hot_key_recency(spark):
+    """A third of the instalments under one loan: ranks equal those of a plain window."""
+    from pyspark.sql import Window, functions as F
+
+    from riskloom.operators.recency import recency_rank
+
+    inst = _spark_view(spark, "installments").select("SK_ID_PREV", "DAYS_INSTALMENT", *fe.INSTALLMENT_TIES[:3])
+    order = ["DAYS_INSTALMENT", *fe.INSTALLMENT_TIES[:3]]
+    got = recency_rank(inst, "SK_ID_PREV", order[:1], order[1:]).orderBy("SK_ID_PREV", *order)
+    w = Window.partitionBy("SK_ID_PREV").orderBy(*[F.col(c).desc() for c in order])
+    expected = inst.withColumn("rank_recency", (F.row_number().over(w) - 1)).orderBy("SK_ID_PREV", *order)
+    assert [r["rank_recency"] for r in got.collect()] == [r["rank_recency"] for r in expected.collect()]
