@@ -3,7 +3,9 @@
     python -m riskloom convert  --raw DIR --out DIR            (CSV -> Parquet, once)
     python -m riskloom features --raw DIR --out DIR [--format csv|parquet]
     python -m riskloom eda      --raw DIR --out DIR [--format csv|parquet]
-    python -m riskloom train    --raw DIR --out DIR [--format csv|parquet] [--model lr|gbt]
+    python -m riskloom train    --raw DIR --out DIR [--format csv|parquet] [--model lr|gbt] [--features DIR]
+
+``train --features DIR`` trains on the tables that ``features --out DIR`` wrote, and reads no raw history.
 
 The session comes from ``SparkSession.builder.getOrCreate()`` so that the
 cluster's own settings (master, executors, ``spark.checkpoint.dir``) apply.
@@ -82,6 +84,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--model", default="lr", choices=["lr", "gbt"])
+    ap.add_argument("--features", help="folder of a finished features job to train on")
     ap.add_argument("--cluster-defaults", action="store_true",
                     help="apply the suggested large-cluster settings the session leaves unset")
     args = ap.parse_args(argv)
@@ -91,6 +94,7 @@ def main(argv: list[str] | None = None) -> None:
         apply_cluster_settings(spark)
     report: dict[str, list] = {}
     src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format, report))
+    src.features_dir = args.features
     for name, cells in report.items():
         for column, n in cells:
             print(f"{name}.{column}: {n} cells cannot be read as the declared type and are null")

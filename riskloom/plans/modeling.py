@@ -18,10 +18,37 @@ ABLATION_GROUPS = {
 }
 
 
+def _written(t, name: str) -> DataFrame | None:
+    """A table of the feature build (``sinks.build_features``), if ``t`` says where they are (SRC-10)."""
+    folder = getattr(t, "features_dir", None)
+    return t.spark.read.parquet(f"{folder.rstrip('/')}/{name}") if folder else None
+
+
 def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[DataFrame, list[str]]:
-    """Model table with split and balanced class weights (fitted on the train rows)."""
-    extra = (t.previous_application, t.pos_cash, t.installments, t.credit_card) if with_previous else ()
-    table, _ = pr.model_table(t.application, t.bureau, t.bureau_balance, *extra)
+    """Model table with split and balanced class weights (fitted on the train rows).
+
+    Reads the processed table and the previous-application aggregate where they are written, else builds them.
+    """
+    processed = _written(t, "processed")
+    if processed is not None:
+        table = pr.model_ratios(pr.history_flags(processed))
+        if with_previous:
+            table = table.join(_written(t, "previous_agg"), "SK_ID_CURR", "left")
+    else:
+        extra = (t.previous_application, t.pos_cash, t.installments, t.credit_card) if with_previous else ()
+        table, _ = pr.model_table(t.application, t.bureau, t.bureau_balance, *extra)
+    return _prepared(table, parts)
+
+
+def tree_inputs(t) -> tuple[DataFrame, list[str]]:
+    """The tree model's own input: the processed table without the baseline's fills and ratios, 75 / 25."""
+    processed = _written(t, "processed")
+    if processed is None:
+        processed, _ = pr.processed_features(t.application, t.bureau, t.bureau_balance)
+    return _prepared(processed, split.TWO_WAY)
+
+
+def _prepared(table: DataFrame, parts) -> tuple[DataFrame, list[str]]:
     # one materialisation as Parquet in the shared checkpoint folder: medians, weights and
     # every optimiser step then read it instead of re-running both history rollups, and a
     # lost executor recomputes from the written table
@@ -81,7 +108,7 @@ def lr_fit(t, max_iter: int = 1000):
 def tree_fit(t, params: ml.GbtParams = ml.GbtParams()):
     """Boosted trees on a 75 / 25 split."""
     def build():
-        table, feats = model_inputs(t, parts=split.TWO_WAY)
+        table, feats = tree_inputs(t)
         return table, ml.fit_gbt(table.where(F.col("split") == "train"), feats, params)
     return _memo("gbt", t, params, build)
 

@@ -84,6 +84,39 @@ def test_univariate_selection_ranks_signal_first(spark):
     assert picked == ["x1"]
 
 
+def test_f_scores_equal_the_definition_and_rank_strong_features(spark):
+    """p-values underflow for strong features; F does not. Values with a large offset keep their digits."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 4000)
+    x = np.c_[y * 1.0 + rng.normal(size=4000), y * 9.0 + rng.normal(size=4000), 1e9 + rng.normal(size=4000), np.full(4000, 7.0)]
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "x1 double, x2 double, x3 double, x4 double, TARGET int")
+    got = ml.f_scores(df, ["x1", "x2", "x3", "x4"])
+    for j, name in enumerate(["x1", "x2", "x3"]):
+        a, b = x[y == 0, j], x[y == 1, j]
+        between = len(a) * (a.mean() - x[:, j].mean()) ** 2 + len(b) * (b.mean() - x[:, j].mean()) ** 2
+        within = ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()
+        assert abs(got[name] - between / (within / 3998)) <= 1e-4 * max(1, got[name])
+    assert got["x4"] == 0.0
+    assert ml.univariate_select(df, ["x1", "x2", "x3", "x4"], k=2) == ["x2", "x1"]
+
+
+def test_fitted_coefficients_zero_the_gradient(spark):
+    """At the fitted coefficients the gradient of the weighted, regularised loss is zero to the solver's tolerance."""
+    import numpy as np
+
+    df = ml.with_class_weights(_planted(spark, 1500)).where("split = 'train'")
+    fit = ml.fit_lr(df, ["x1", "x2"])
+    scaler, lr = fit.model.stages[1], fit.model.stages[2]
+    rows = np.array([(r.x1, r.x2, r.TARGET, r.class_weight) for r in df.collect()], float)
+    x = (rows[:, :2] - scaler.mean.toArray()) / scaler.std.toArray()
+    y, w, b = rows[:, 2], rows[:, 3], lr.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ b + lr.intercept)))
+    gradient = ((w * (p - y))[:, None] * x).sum(0) / w.sum() + b / w.sum()
+    assert np.abs(gradient).max() < 5e-3 and abs((w * (p - y)).sum() / w.sum()) < 5e-3
+
+
 def test_sweep_pick_threshold(spark):
     scored = spark.createDataFrame([(i / 20, int(i >= 12)) for i in range(20)], "score double, label int")
     sweep = metrics.threshold_sweep(scored)

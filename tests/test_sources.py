@@ -108,3 +108,10 @@ def test_command_line_train(spark, tables01):
     from pyspark.ml import PipelineModel
 
     assert len(PipelineModel.load(f"{out}/lr/model").stages) == 3
+    # the same from the tables that a features job wrote
+    written = sinks.scratch_path(spark, "cli-train-features")
+    main(["features", "--raw", raw, "--out", written])
+    main(["train", "--raw", raw, "--out", f"{out}2", "--model", "lr", "--features", written])
+    again = {r["split"]: r for r in spark.read.parquet(f"{out}2/lr/auc").collect()}
+    assert {k: (r["n_pos"], r["n_neg"]) for k, r in again.items()} == {k: (r["n_pos"], r["n_neg"]) for k, r in auc.items()}
+    assert all(abs(again[k]["auc"] - auc[k]["auc"]) < 1e-6 for k in auc)
