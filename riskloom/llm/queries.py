@@ -110,6 +110,36 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# all windows of 50 bytes as hexadecimal text; pages only keep substr from walking long texts again and again
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), pages AS (
+  SELECT doc_id, n, k, substr(h, 1000 * k + 1, 1098) AS page FROM (SELECT *, unnest(generate_series(0, (n - 1) // 500)) AS k FROM d WHERE n > 0)
+), bytes AS (
+  SELECT doc_id, n, 500 * k + j AS p, substr(page, 2 * j + 1, 100) AS win
+  FROM (SELECT *, unnest(generate_series(0, least(499, n - 1 - 500 * k))) AS j FROM pages)
+), w AS (
+  SELECT doc_id, p AS s, win FROM bytes WHERE p <= n - 50
+), firsts AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win),
+hit AS (SELECT w.doc_id, w.s FROM w JOIN firsts USING (win) WHERE least < w.doc_id),
+b AS (SELECT doc_id, p, substr(win, 1, 2) AS x FROM bytes), covered AS (
+  SELECT b.doc_id, b.p, b.x,
+    coalesce(max(hit.s) OVER (PARTITION BY b.doc_id ORDER BY b.p) >= b.p - 49, false) AS gone
+  FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.p = hit.s
+), edges AS (
+  SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS begins FROM covered
+), cut AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(c.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN cut c USING (doc_id)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,4 +159,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op8_embedding_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
