@@ -111,3 +111,4 @@ def main(argv: list[str] | None = None) -> None:
 
 if __name__ == "__main__":
     main()
+    sinks.clear_scratch(SparkSession.getActiveSession())  # the job's results are written by now

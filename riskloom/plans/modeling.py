@@ -91,7 +91,7 @@ def _files(t) -> tuple:
 
 
 def _memo(kind: str, t, params, build):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, _files(t), kind, repr(params))
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, getattr(t, "features_dir", None), _files(t), kind, repr(params))
     if key not in _FITS:
         _FITS[key] = build()
     return _FITS[key]

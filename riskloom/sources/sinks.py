@@ -35,9 +35,23 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, stem: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` (shared storage on a cluster)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/riskloom-{stem}-{uuid.uuid4().hex}"
+    """A fresh folder below the context's checkpoint folder (shared storage on a cluster)."""
+    _SCRATCH.append(f"{checkpoint_dir(spark).rstrip('/')}/riskloom-{stem}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process made; call it when no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        deleted += path.getFileSystem(conf).delete(path, True)
+    return deleted
 
 
 def convert_sources(sources: dict[str, DataFrame], out_dir: str) -> dict[str, str]:

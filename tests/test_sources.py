@@ -52,6 +52,17 @@ def test_parquet_sources_are_cleaned_and_keys_checked(spark, tmp_path):
         bad.collect()
 
 
+def test_scratch_tables_can_be_removed(spark):
+    before, sinks._SCRATCH[:] = list(sinks._SCRATCH), []
+    try:
+        table = sinks.materialize(spark.range(5).toDF("x"))
+        path = sinks._SCRATCH[-1]
+        assert table.count() == 5 and readers.path_exists(spark, path)
+        assert sinks.clear_scratch(spark) == 1 and not readers.path_exists(spark, path)
+    finally:
+        sinks._SCRATCH[:] = before
+
+
 def test_build_features_writes_every_output(spark, tables01):
     out = sinks.scratch_path(spark, "build")
     srcs = {name: getattr(tables01, name) for name in VIEWS}
