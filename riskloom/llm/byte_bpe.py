@@ -118,18 +118,38 @@ def _encoder(model: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (binary: little-endian unsigned 32-bit) of each text, by the ranks in the file ``path``."""
+class Decoder:
+    """The bytes of ids: each id's characters in the model, mapped back."""
+
+    def __init__(self, characters: list[str]):
+        self.piece = [to_bytes(c) for c in characters].__getitem__
+
+    def __call__(self, ids: bytes) -> bytes:
+        return b"".join(map(self.piece, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, with_decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` (binary: little-endian unsigned 32-bit) of each text, by the ranks in the file ``path``.
+
+    With ``with_decoded`` also ``decoded``, the bytes that the ids decode to, in the same pass.
+    """
     spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast(model_proto(read_ranks(path)))  # as large as the vocabulary
+    pieces = read_ranks(path)
+    model = spark.sparkContext.broadcast(model_proto(pieces))  # as large as the vocabulary
+    characters = spark.sparkContext.broadcast([to_characters(p) for p in pieces])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(model.value, pattern).ids
+        decode_one = Decoder(characters.value)
         for batch in (part for whole in batches for part in portions(whole, 1)):
             out = ids([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            columns = {"doc_id": batch.column(0), "ids": pa.array(out, pa.binary())}
+            if with_decoded:
+                columns["decoded"] = pa.array(map(decode_one, out), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
+    schema = "doc_id bigint, ids binary" + ", decoded binary" * with_decoded
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -138,9 +158,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     characters = spark.sparkContext.broadcast([to_characters(p) for p in read_ranks(path)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = [to_bytes(c) for c in characters.value].__getitem__
-        for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(i.as_py(), "<u4").tolist())) for i in batch.column(1)]
+        decode_one = Decoder(characters.value)
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            out = [decode_one(i.as_py()) for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")

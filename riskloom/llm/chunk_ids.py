@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-CACHED = 400_000
+CACHED = 250_000
 CACHED_LENGTH = 64
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 _MARKS = set(".,;:!?")
 _LATIN_END = "\u0250"  # letters below it are letters in every Unicode version
 

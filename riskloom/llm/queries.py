@@ -62,8 +62,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, path).select(
+    encoded = byte_bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
