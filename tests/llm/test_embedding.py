@@ -61,6 +61,43 @@ def test_recall_of_the_index_near_the_threshold():
             assert (shared >= ed.SHARED).mean() >= 0.95
 
 
+def _dense(seed, n, d, members, mean_cosine=0.96):
+    """Unit vectors; the first ``members`` are differing near copies of one centre, the others random."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    centre = rng.normal(size=d)
+    x[:members] = centre / np.linalg.norm(centre) + x[:members] * np.sqrt((1 - mean_cosine) / mean_cosine / d)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("d", [8, 32, 64, 384])
+@pytest.mark.parametrize("n", [10_000, 100_000])
+def test_recall_of_the_index_within_a_dense_group(n, d):
+    """A third of the pivots' sample lies in the group; its linked pairs still share enough pivots."""
+    m = ed.pivots_for(n)
+    x = _dense(5, 2000 + m, d, 2000 + m // 3)
+    pivots = ed.apart(x[2000:])
+    a, b = np.random.default_rng(6).integers(0, 2000, (2, 20_000))
+    linked = (a != b) & ((x[a] * x[b]).sum(axis=1) >= ed.COSINE)
+    a, b = a[linked], b[linked]
+    near = ed.prefixes(x[:2000], pivots)
+    assert len(a) > 100
+    assert ((near[a][:, :, None] == near[b][:, None, :]).sum(axis=(1, 2)) >= ed.SHARED).mean() >= 0.97
+
+
+def test_links_of_a_dense_group(spark):
+    """A third of the vectors are differing near copies."""
+    x = _dense(8, 3000, 32, 1000)
+    ids = np.random.default_rng(9).permutation(len(x)).tolist()
+    expected = brute(ids, x.tolist())
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>")
+    out = got(ed.embedding_dedup(df))
+    total = sum(n for n, _ in expected.values())
+    assert total > 300_000
+    assert all(out[i][0] <= expected[i][0] for i in ids)
+    assert sum(n for n, _ in out.values()) >= 0.98 * total
+
+
 def test_whole_small_table_against_brute_force(spark):
     path = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
