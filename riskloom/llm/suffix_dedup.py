@@ -165,7 +165,7 @@ def _ask(owners: int):
                 for owner, a, b in _cut(runs.distinct, owners):
                     k = max(0, (width // (b - a)).bit_length() - 1)
                     unary, low = rice_encode(runs.distinct[a:b] - owner * width, k)
-                    out.append((owner, row["block"], b - a, k, unary, low, _zip(np.minimum(counts[a:b], 255).astype(np.uint8))))
+                    out.append((owner, row["block"], b - a, k, unary, low, _zip(counts[a:b].astype(np.uint32))))
                 yield _batch(out, _ASK_NAMES, _ASK_TYPES)
 
     return ask
@@ -174,7 +174,7 @@ def _ask(owners: int):
 def _tell(asked: pa.Table) -> pa.Table:
     rows = asked.to_pylist()
     merged = np.concatenate([rice_decode(r["n"], r["k"], r["unary"], r["low"]) for r in rows])
-    counts = np.concatenate([_unzip(r["counts"], (r["n"], "u1"))[0] for r in rows]).astype(np.int64)
+    counts = np.concatenate([_unzip(r["counts"], (r["n"], "u4"))[0] for r in rows]).astype(np.int64)
     order = np.argsort(merged, kind="stable")
     heads = np.flatnonzero(np.diff(merged[order], prepend=-1))
     size = np.diff(np.append(heads, len(order)))

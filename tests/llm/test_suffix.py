@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import queries, suffix_dedup as sd
@@ -87,6 +88,28 @@ def test_hot_anchors_go_as_single_windows(made):
         assert sorted(result) == brute(rows)
 
 
+def test_runs_of_an_anchor_are_counted_in_full(monkeypatch):
+    """Two blocks with more than 255 runs of one anchor each make it hot by their sum."""
+    import zstandard
+
+    rng = random.Random(11)
+    phrase, batches, counts = "a most common phrase of forty-nine bytes in this.", [], []
+    for block in range(2):
+        raw = "".join(phrase + "".join(rng.choice("0123456789") for _ in range(30)) for _ in range(700)).encode()
+        runs = sd.Runs(np.frombuffer(raw, np.uint8), [len(raw)])
+        counts.append(dict(zip(runs.distinct.tolist(), runs.per_anchor(np.zeros(1, np.int64))[1].tolist())))
+        batches.append(pa.RecordBatch.from_pylist(
+            [{"block": block, "doc_ids": [block], "sizes": [len(raw)], "data": zstandard.ZstdCompressor().compress(raw)}]
+        ))
+    total = {a: n + counts[1][a] for a, n in counts[0].items() if a in counts[1]}
+    assert min(max(c.values()) for c in counts) > 300
+    monkeypatch.setattr(sd, "HOT_RUNS", 600)
+    expected = sum(n > 600 for n in total.values())
+    told = sd._tell(pa.Table.from_batches(list(sd._ask(1)(iter(batches)))))
+    assert expected > 0
+    assert [int(np.unpackbits(np.frombuffer(r["hot"], np.uint8)).sum()) for r in told.to_pylist()] == [expected] * 2
+
+
 def test_odd_rows(spark):
     long = "0123456789" * 30
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, long), (4, long + "tail")]
