@@ -22,9 +22,10 @@ exact. All pairs of such a group are verified, so its work grows with its square
 as its links do.
 
 Equal vectors are one class from the start, so copies cost one partial row
-per task. Vectors that are null, zero or hold a null or non-finite component, and
-those of another length than most, link with nothing. A null ``vec_id`` counts
-as larger than every id. Other columns are ignored.
+per task. Vectors that are null, zero or hold a null or non-finite component link
+with nothing; the others link with vectors of their own length only, and each
+length has an index of its own, built one after the other. A null ``vec_id``
+counts as larger than every id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -197,11 +198,13 @@ def embedding_dedup(vectors: DataFrame) -> DataFrame:
     ensure_defaults(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     rows = materialize(rows.mapInArrow(_valid, "vec_id bigint, vec binary"))
-    lengths = rows.where("vec IS NOT NULL").groupBy(F.octet_length("vec").alias("length")).count()
-    usual = lengths.orderBy(F.desc("count"), "length").first()
-    usable = rows.where(F.octet_length("vec") == (usual["length"] if usual else 0))
+    usable = rows.where("vec IS NOT NULL")
     classes = materialize(usable.groupBy("vec").agg(F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("rep"), F.count("*").alias("copies")))
-    found = materialize(links(classes))
+    length = F.octet_length("vec")
+    lengths = [r.length for r in classes.groupBy(length.alias("length")).count().where("count > 1").collect()]
+    found = rows.sparkSession.createDataFrame([], "rep bigint, linked bigint, to bigint")
+    for n in sorted(lengths):
+        found = found.union(materialize(links(classes.where(length == n))))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     reached = components(found.select("rep", "to"), "rep", "to")
     known = (

@@ -120,6 +120,18 @@ def test_odd_vectors(spark):
     assert ed.embedding_dedup(df.where("false")).count() == 0
 
 
+def test_vectors_of_each_length_link_among_themselves(spark):
+    wide, narrow = _clusters(3), _clusters(5, 16)[:150]
+    narrow += [narrow[0]] * 3
+    ids = np.random.default_rng(2).permutation(len(wide) + len(narrow)).tolist()
+    expected = brute(ids[: len(wide)], wide) | brute(ids[len(wide) :], narrow)
+    out = got(ed.embedding_dedup(spark.createDataFrame(list(zip(ids, wide + narrow)), "vec_id long, embedding array<double>")))
+    assert out.keys() == expected.keys()
+    for some in (ids[: len(wide)], ids[len(wide) :]):
+        assert all(out[i][0] <= expected[i][0] for i in some)
+        assert sum(out[i][0] for i in some) >= 0.97 * sum(expected[i][0] for i in some) > 0
+
+
 @pytest.mark.parametrize("rows", [10])
 def test_split_lists_miss_nothing(spark, monkeypatch, rows):
     vectors = _clusters(7)
