@@ -34,10 +34,17 @@ SCOPE = 200
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 
+# Random-looking strings: with a digit and a capital, or of two of lower case, capitals and digits. The latter are no part of an
+# address, path or host name, and not the value of an identifier.
+_THREE_CLASSES = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+_TWO_CLASSES = (
+    r"""(?<![A-Za-z0-9+/_=.?&#%~@-])(?<!(?i:user|user_?name|login|account|account_?id|client_?id|key_?id|tenant|tenant_?id)["']?\x20?[:=]\x20?["']?)"""
+    r"(?=[a-z+_-]*+[A-Z0-9])(?=[A-Z+_-]*+[a-z0-9])(?=[0-9+_-]*+[A-Za-z])[A-Za-z0-9+_-]{20,}+(?![/@]|\.[A-Za-z0-9]|://)={0,2}"
+)
 # the method's weak parts
 WEAK = {
-    "link_id": r"""(?i:\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id|tenant(?:_?id)?))["']?\x20?[:=]\x20?["']?[A-Za-z0-9._@-]{3,64}""",
-    "link_secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9a-z+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}",
+    "link_id": r"""(?i:\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id|tenant(?:_?id)?))["']?\x20?[:=]\x20?["']?[A-Za-z0-9._@-]{3,}+""",
+    "link_secret": rf"{_THREE_CLASSES}|{_TWO_CLASSES}",
     "link_endpoint": r"(?:https?|s3|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[A-Za-z0-9._~:/?#@%&=+-]{3,}",
 }
 KINDS = [*BASE, *WEAK]

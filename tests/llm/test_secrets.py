@@ -68,6 +68,21 @@ def test_weak_parts_need_their_complement(spark, text, added):
     assert sorted(got) == added
 
 
+@pytest.mark.parametrize("text,added", [
+    ("user=" + "w" * 90 + "1 password=hunter22", {"link_id": "user=" + "w" * 90 + "1"}),
+    ("user=alice " + "x" * 45 + "7Q" + "y" * 45, {"link_id": "user=alice", "link_secret": "x" * 45 + "7Q" + "y" * 45}),
+    ("user=alice zk9lw3qpv7xt2mb8sr4d", {"link_id": "user=alice", "link_secret": "zk9lw3qpv7xt2mb8sr4d"}),
+    ("https://db.example.com/x zkPlwTqpvRxtNmbWsrKd", {"link_secret": "zkPlwTqpvRxtNmbWsrKd"}),
+    ("https://db.example.com/some-long-title-of-2024-page/x and more", {}),
+    ("user: averylongusername12345 at averylonghostname1234567.example.com", {}),
+    ("user=alice internationalisations", {}),
+])
+def test_long_and_plain_parts(spark, text, added):
+    row = ss.digests(ss.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    spans = [s.split(":") for s in row.spans.split(",") if s and s.split(":")[0] in ss.WEAK]
+    assert {k: text[int(a) : int(b)] for k, a, b in spans} == added
+
+
 def test_scopes_across_cells_against_all_pairs(spark):
     """Parts at many distances, linked exactly when the gap is within the scope."""
     texts = [f"user=alice{' ' * gap}{HEX}" for gap in range(150, 260, 7)] + [f"{HEX}{' ' * gap}user=alice" for gap in range(150, 260, 7)]
