@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, packing, pii, secret_scan, toxicity
 from .chunk_dedup import chunk_dedup
+from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .simhash_dedup import simhash_dedup
@@ -147,6 +148,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksum(pieces)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+# windows of each length that the items have, joined whole; a word is hit if a window that occurs begins less than its length before
+OP11_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), d AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), cut AS (
+  SELECT item_id, w, least(10, len(w)) AS size, unnest(generate_series(1, greatest(1, len(w) - 9))) AS p FROM items WHERE len(w) > 0
+), windows AS (SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS win FROM cut
+), sizes AS (SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM d JOIN sizes ON len(w) >= size
+), found AS (
+  SELECT places.doc_id, places.p, places.size, windows.item_id
+  FROM places JOIN windows ON places.size = windows.size AND array_to_string(w[p:p + places.size - 1], ' ') = windows.win
+), hit AS (
+  SELECT doc_id, count(DISTINCT p + j) AS n_hit
+  FROM (SELECT doc_id, p, unnest(generate_series(0, size - 1)) AS j FROM (SELECT DISTINCT doc_id, p, size FROM found)) GROUP BY doc_id
+), of_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h USING (doc_id) LEFT JOIN of_items i USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -158,5 +204,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op11_decontamination": op11_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op8_embedding_dedup": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op11_decontamination": OP11_SQL,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
