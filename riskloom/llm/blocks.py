@@ -15,17 +15,20 @@ Columns of the table: ``block`` (long, unique), ``n`` (documents in it),
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_defaults
 from ..sources.sinks import scratch_path
 
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 1 << 15
+SPREAD = 2
+_TRIED = 1 << 16
 NO_ID = np.iinfo(np.int64).max  # a null doc_id sorts behind every id
 
 SCHEMA = "block bigint, n int, doc_ids array<bigint>, sizes array<int>, data binary"
@@ -72,13 +75,44 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(
         _pack(block_bytes), SCHEMA
     )
-    path = scratch_path(spark, "blocks")
+    return save(rows, "blocks")
+
+
+def save(rows: DataFrame, stem: str) -> DataFrame:
+    """Write rows with a ``block`` column bucketed by it; read them back."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, stem)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    rows.write.bucketBy(buckets(spark), "block").option("path", path).option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def block_ids(task: int, buckets: int) -> Iterator[int]:
+    """Numbers for a task's blocks, chosen so that ``SPREAD`` buckets hold them all: a task then writes so many files at most."""
+    for start in count(0, _TRIED):
+        ids = (task << 24) + start + np.arange(_TRIED, dtype=np.int64)
+        bucket = _spark_hash(ids) % buckets
+        yield from ids[np.isin(bucket, (task * SPREAD + np.arange(SPREAD)) % buckets)].tolist()
+
+
+def _spark_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's ``hash`` of a bigint, which deals rows to buckets (Murmur3, 32 bits, seed 42)."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    bits = ids.view(np.uint64)
+    h = np.full(len(ids), 42, np.uint32)
+    for half in (bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)):
+        h ^= turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h.view(np.int32)
+
+
 def texts_of(sizes: list[int], data: bytes) -> list[bytes]:
     raw = memoryview(unpacked(data))
     ends = np.cumsum([0, *sizes]).tolist()

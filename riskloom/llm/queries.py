@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, packing, pii, secret_scan, toxicity
 from .chunk_dedup import chunk_dedup
+from .collocations import collocations, ranked
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -193,6 +194,46 @@ FROM d LEFT JOIN hit h USING (doc_id) LEFT JOIN of_items i USING (doc_id)
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = ranked(collocations(_documents(spark, sf_dir)), 2000)
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, lang, unnest(range(len(p))) AS k, unnest(p) AS piece FROM (
+    SELECT row_number() OVER () AS doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+    FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), starts AS (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size
+), f AS (
+  SELECT lang, size, array_to_string(w[p:p + size - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT f.*, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1
+), scores AS (
+  SELECT c.lang, c.size, c.phrase, c.a, c.k, l.a AS l, r.a AS r, t.n,
+    CAST((1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN totals t USING (lang)
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+), best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(string_split(phrase, ' ')[s:e], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(s, size + 1)) AS e FROM (SELECT *, unnest(range(1, size + 1)) AS s FROM f WHERE size > 2))
+  WHERE e > s AND e - s + 1 < size
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN (SELECT lang, phrase, max(a) AS more FROM inside GROUP BY ALL) i USING (lang, phrase)
+  WHERE i.more IS NULL OR 100 * i.more < 100 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -205,10 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op11_decontamination": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
