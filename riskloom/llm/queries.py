@@ -13,6 +13,7 @@ from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .simhash_dedup import simhash_dedup
+from .spelling_variants import spelling_variants
 from .suffix_dedup import suffix_dedup
 
 
@@ -234,6 +235,53 @@ FROM kept QUALIFY rank <= 2000
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir))
+
+
+# the checksum byte by byte from its table; near pairs meet in the words without one letter, at its place (replaced) or not (inserted)
+OP13_SQL = r"""
+WITH RECURSIVE bit AS (
+  SELECT list(c ORDER BY i) AS tbl FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), each AS (
+  SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT run, n, list_transform(range(0, length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)) AS b FROM each
+), summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]))) AS h
+  FROM bytes, bit
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+  FROM summed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON a.word = b.rest
+), best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS here FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON walk.here = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT walk.word, here AS root FROM walk JOIN forms f ON walk.here = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -247,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_decontamination": op11_decontamination,
     "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
@@ -254,4 +303,5 @@ ORACLES: dict[str, str] = {
     "op9_suffix_dedup": OP9_SQL,
     "op11_decontamination": OP11_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
