@@ -6,22 +6,25 @@ bins are right-closed and the lowest edge is included. Spark's
 ``Bucketizer``/``QuantileDiscretizer`` are left-closed and ``ntile`` splits
 ties, so neither is used.
 
-Edges are computed for many features in one job (features are stacked to
-(feature, value) rows): values are counted per (feature, value), the counts
-range-partitioned, and prefix sums of the counts give every value's rank
-interval; only the few rows holding a target rank are kept. No task holds more
-than one range partition, whatever the number of distinct values.
+Edges are found for many features at once by radix selection (``selection``),
+which shuffles no values; the summary is then one aggregate over the rows with a
+count for each bin. ``quantile_values`` does the same for rows that are already
+stacked as (feature, value), with any number of features, by ranking the counted
+values with distributed prefix sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
 from .prefix import prefix_sums
 
+
 def probabilities(q: int) -> list[float]:
     return [i / q for i in range(q + 1)]
 
@@ -102,26 +105,6 @@ def quantile_edges(long: DataFrame, qs: Mapping[str, int]) -> DataFrame:
     )
 
 
-def assign_bins(long: DataFrame, edges: DataFrame, max_edges: int) -> DataFrame:
-    """Bin number (1-based), lower and upper edge of every stacked row (right-closed, lowest included).
-
-    ``edges`` has one short array per feature (<= ``max_edges`` values): a broadcast with a
-    fixed bound. The bin is the number of edges below the value, written as a sum of
-    ``max_edges`` comparisons (no lambda, so it stays in generated code).
-    """
-    below = None
-    for i in range(1, max_edges + 1):
-        term = F.coalesce((F.try_element_at("edges", F.lit(i)) < F.col("value")).cast("int"), F.lit(0))
-        below = term if below is None else below + term
-    return (
-        long.join(F.broadcast(edges), "feature")
-        .withColumn("bin", F.greatest(F.lit(1), below))
-        .withColumn("lo", F.element_at("edges", F.col("bin")))
-        .withColumn("hi", F.element_at("edges", F.col("bin") + 1))
-        .drop("edges")
-    )
-
-
 def quantile_bin_summary(df: DataFrame, features: Mapping[str, int] | Sequence[tuple[str, Column, int]],
                          target: str = "TARGET") -> DataFrame:
     """A2/U2 for many features at once: (feature, bin, lo, hi, count, default_rate).
@@ -135,16 +118,31 @@ def quantile_bin_summary(df: DataFrame, features: Mapping[str, int] | Sequence[t
         items = [(name, F.col(name), q) for name, q in features.items()]
     else:
         items = list(features)
-    qs = {name: q for name, _, q in items}
-    long = stack_features(df.where(F.col(target).isNotNull()), [(n, e) for n, e, _ in items], keep=[target])
-    edges = quantile_edges(long.select("feature", "value"), qs).where(F.size("edges") > 1)
-    binned = assign_bins(long, edges, max(qs.values()) + 1)
-    return binned.groupBy("feature", "bin").agg(
-        F.first("lo").alias("lo"),
-        F.first("hi").alias("hi"),
-        F.count(target).alias("count"),
-        F.avg(target).alias("default_rate"),
-    )
+    rows = df.where(F.col(target).isNotNull())
+    values = selection.quantiles(rows, {n: e for n, e, _ in items}, {n: probabilities(q) for n, _, q in items})
+    edges = {name: sorted(set(values[name])) for name, _, _ in items}
+    if not any(len(e) > 1 for e in edges.values()):
+        return df.sparkSession.createDataFrame([], "feature string, bin int, lo double, hi double, count bigint, default_rate double")
+    # rows and target sums up to each edge, all in one row; a bin is what lies between two of them
+    kept = rows.select(F.col(target).alias("t"), *[e.cast("double").alias(f"v{i}") for i, (_, e, _) in enumerate(items)])
+    # as SQL text: hundreds of short expressions are slow to build one call at a time
+    upto, bins = [], []
+    for i, (name, _, _) in enumerate(items):
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        for j, edge in enumerate(edges[name][1:], 1):
+            inside = f"CASE WHEN v{i} <= {_literal(edge)} THEN t END"
+            upto += [f"count({inside}) AS n{i}_{j}", f"coalesce(sum({inside}), 0) AS s{i}_{j}"]
+            n, s = (f"{k}{i}_{j} - {k}{i}_{j - 1}" if j > 1 else f"{k}{i}_{j}" for k in "ns")
+            bins.append(
+                f"named_struct('feature', '{quoted}', 'bin', {j}, 'lo', {_literal(edges[name][j - 1])}, 'hi', {_literal(edge)}, "
+                f"'count', {n}, 'default_rate', try_divide(CAST({s} AS DOUBLE), CAST({n} AS DOUBLE)))"
+            )
+    counted = kept.agg(*map(F.expr, upto))
+    return counted.selectExpr(f"inline(array({', '.join(bins)}))").where(F.col("count") > 0)
+
+
+def _literal(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
 
 
 def fixed_bin(value: str | Column, edges: Sequence[float]) -> Column:

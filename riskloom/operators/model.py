@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..session import ensure_checkpoint_dir
-from . import metrics
-from .binning import quantile_values, stack_features
+from . import metrics, selection
 
 LABEL = "TARGET"
 WEIGHT = "class_weight"
@@ -37,11 +36,10 @@ def feature_columns(df: DataFrame, exclude: Sequence[str] = ("SK_ID_CURR", LABEL
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """M6: exact medians (mean of the two middle values, as scikit-learn), fitted on train.
 
-    One stacked job for all columns; only one number per column reaches the driver.
+    Radix selection over all columns at once; only one number per column reaches the driver. A column without values has none.
     """
-    long = stack_features(train, list(columns))
-    rows = quantile_values(long, {c: [0.5] for c in columns}).collect()
-    return {r["feature"]: r["value"] for r in rows}
+    found = selection.quantiles(train, {c: F.col(f"`{c}`") for c in columns}, {c: [0.5] for c in columns})
+    return {c: values[0] for c, values in found.items() if values}
 
 
 def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:

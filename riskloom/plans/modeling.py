@@ -52,7 +52,9 @@ def _prepared(table: DataFrame, parts) -> tuple[DataFrame, list[str]]:
     # one materialisation as Parquet in the shared checkpoint folder: medians, weights and
     # every optimiser step then read it instead of re-running both history rollups, and a
     # lost executor recomputes from the written table
-    table = sinks.materialize(split.hash_split(table, "SK_ID_CURR", parts))
+    table = sinks.materialize(table)
+    # stratified on the label, at the exact share of each class; the cuts are literals, so no copy is made
+    table = split.hash_split(table, "SK_ID_CURR", parts, label=ml.LABEL, exact=True)
     table = ml.with_class_weights(table, ml.LABEL, fit_on=table.where(F.col("split") == "train"))
     return table, ml.feature_columns(table)
 
@@ -161,8 +163,8 @@ def scaler_stats(app: DataFrame, columns) -> DataFrame:
     """M6 + M7: mean and population deviation of the train rows after median imputation: (feature, mean, std)."""
     train = split.hash_split(app, "SK_ID_CURR").where("split = 'train'").select(*columns)
     filled = ml.prepare(train, columns, ml.fit_medians(train, columns))
-    long = ml.stack_features(filled, list(columns))
-    return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    each = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")) for c in columns]
+    return filled.agg(F.array(*each).alias("stats")).select(F.inline("stats"))  # one row
 
 
 def f_statistics(app: DataFrame, columns) -> DataFrame:

@@ -504,10 +504,11 @@ def hash_split_sql() -> str:
     return _ctes(["application"], [], final)
 
 
-def hash_split_exact_sql() -> str:
+def hash_split_exact_sql(parts=(("train", "0.7e0"), ("validation", "0.91e0")), rest="test") -> str:
     u = _hash_unit_sql("SK_ID_CURR")
+    cases = " ".join(f"WHEN share < {upper} THEN '{name}'" for name, upper in parts)
     final = f"""SELECT SK_ID_CURR, TARGET,
-  CASE WHEN share < 0.7e0 THEN 'train' WHEN share < 0.91e0 THEN 'validation' ELSE 'test' END AS split
+  CASE {cases} ELSE '{rest}' END AS split
 FROM (
   SELECT SK_ID_CURR, TARGET,
     (row_number() OVER (PARTITION BY TARGET ORDER BY {u}, SK_ID_CURR) - 1)

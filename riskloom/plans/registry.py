@@ -16,7 +16,7 @@ from ..operators import summary
 from ..sources import readers, schemas, sinks
 from ..sources.adapters import Tables
 from ..operators import encode as enc
-from ..operators import binning, metrics, split
+from ..operators import binning, metrics, model, split
 from . import eda, features as fe, modeling, oracles as orc, processed as pr
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
@@ -259,9 +259,7 @@ def _hash_split_exact(t):
 
 def _medians(t):
     train = split.hash_split(t.application, "SK_ID_CURR").where("split = 'train'")
-    long = binning.stack_features(train, orc.MEDIAN_COLUMNS)
-    values = binning.quantile_values(long, {c: [0.5] for c in orc.MEDIAN_COLUMNS})
-    return values.select("feature", values["value"].alias("median"))
+    return t.spark.createDataFrame(sorted(model.fit_medians(train, orc.MEDIAN_COLUMNS).items()), "feature string, median double")
 
 
 @register("median_impute", orc.median_impute_sql)
@@ -271,8 +269,10 @@ def _median_impute(t):
 
 @register("median_impute_rank", orc.median_impute_sql)
 def _median_impute_rank(t):
-    """The same medians (there is one path, by rank)."""
-    return _medians(t)
+    """The same medians from stacked rows, by rank."""
+    train = split.hash_split(t.application, "SK_ID_CURR").where("split = 'train'")
+    values = binning.quantile_values(binning.stack_features(train, orc.MEDIAN_COLUMNS), {c: [0.5] for c in orc.MEDIAN_COLUMNS})
+    return values.select("feature", values["value"].alias("median"))
 
 
 @register("auc_exact", orc.auc_exact_sql)
@@ -311,6 +311,12 @@ def _tree_split(t):
     return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR", split.TWO_WAY)
 
 
+@register("tree_split_exact", lambda: orc.hash_split_exact_sql([("train", "0.75e0")], "validation"))
+def _tree_split_exact(t):
+    """M5 as the tree model uses it: stratified, at the exact shares of each class."""
+    return split.hash_split(t.application.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR", split.TWO_WAY, label="TARGET", exact=True)
+
+
 @register("lr_score")
 def _lr_score(t):
     return modeling.baseline_scores(t)
