@@ -504,6 +504,10 @@ def hash_split_sql() -> str:
     return _ctes(["application"], [], final)
 
 
+def csv_quoted_cells_sql() -> str:
+    return "SELECT doc_id, lang, md5(coalesce(text, '')) AS text_md5 FROM documents"
+
+
 def hash_split_exact_sql(parts=(("train", "0.7e0"), ("validation", "0.91e0")), rest="test") -> str:
     u = _hash_unit_sql("SK_ID_CURR")
     cases = " ".join(f"WHEN share < {upper} THEN '{name}'" for name, upper in parts)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.rounding import portable_round
 from ..operators import summary
-from ..sources import readers, schemas, sinks
+from ..sources import quoted, readers, schemas, sinks
 from ..sources.adapters import Tables
 from ..operators import encode as enc
 from ..operators import binning, metrics, model, split
@@ -353,6 +353,16 @@ def _ablation(t):
 
 
 # ------------------------------------------------------------------ sources and sinks
+@register("csv_quoted_cells", orc.csv_quoted_cells_sql)
+def _csv_quoted(t):
+    """SRC-01..07: cells with commas, quote marks and line breaks, written as CSV and read in parallel."""
+    path = sinks.scratch_path(t.spark, "csv")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t.raw("documents").select("doc_id", "lang", "text").write.options(header=True, quoteAll=True, escape='"', **keep).csv(path)
+    read = quoted.read_raw(t.spark, path)
+    return read.select(F.col("doc_id").cast("bigint"), "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 @register("csv_source_roundtrip", lambda: orc._ctes(["application"], [], "SELECT * FROM application"))
 def _csv_roundtrip(t):
     """SRC-01 + SRC-11: the application table written as CSV (nulls as 'NA') and read back

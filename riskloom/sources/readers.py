@@ -1,6 +1,7 @@
 """Readers for the raw credit files and the input check (SRC-01..SRC-11).
 
-CSV is read with the header and every field as a string; null tokens are cleared
+CSV is read with the header and every field as a string, quoted cells with commas,
+doubled quote marks and line breaks included (``quoted``); null tokens are cleared
 and each declared column is cast by name. Columns that no schema declares are
 numbers if every value in the whole file reads as one, else strings (one pass
 over them). A cell that its declared type cannot read becomes null; with a
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
-from . import schemas
+from . import quoted, schemas
 
 # The strings the reference's CSV reader (pandas defaults) reads as null.
 # 'XNA' is not among them: it is a category value.
@@ -87,7 +88,7 @@ def complete_schema(raw: DataFrame, schema: StructType, report: list | None = No
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, report: list | None = None) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = quoted.read_raw(spark, path)
     return clean_and_cast(raw, complete_schema(raw, schema, report))
 
 
