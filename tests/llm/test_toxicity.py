@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     assert np.mean([by[i].predicted for i in range(200, 300, 5)]) == 1 and np.mean([by[i].predicted for i in range(201, 300, 5)]) == 0
     assert {r.score for r in tx.scored(d, l.where("toxic = 0")).collect()} == {0.0}
     assert tx.scored(d.where("false"), l).count() == 0
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark, monkeypatch):
+    seen, fit = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda features, *a: seen.append(len(features)) or fit(features, *a))
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(400)] + [(i, "other words") for i in range(2, 30)], "doc_id long, text string")
+    tx.train(d, spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, toxic int"))
+    free = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 30))
+    assert seen == [1 + free]
