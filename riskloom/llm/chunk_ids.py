@@ -60,11 +60,13 @@ def single_pre_tokens(chunk: str, lead: str = " ") -> list[str] | None:
 class ChunkIds:
     """Ids as little-endian unsigned 32-bit integers.
 
-    ``pre_token_ids`` gets single pre-tokens, ``other_ids`` strings of any kind.
+    ``pre_token_ids`` gets single pre-tokens, ``other_ids`` strings of any kind. ``cached``: strings kept in each of two caches.
     """
 
-    def __init__(self, pre_token_ids: Callable[[list[str]], list[bytes]], other_ids: Callable[[list[str]], list[bytes]]):
-        self.pre_token_ids, self.other_ids = pre_token_ids, other_ids
+    def __init__(
+        self, pre_token_ids: Callable[[list[str]], list[bytes]], other_ids: Callable[[list[str]], list[bytes]], cached: int | None = None
+    ):
+        self.pre_token_ids, self.other_ids, self.cached = pre_token_ids, other_ids, cached or CACHED
         self.chunks: dict[str, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
 
@@ -87,14 +89,14 @@ class ChunkIds:
             self.chunks[chunk] = b"".join(map(ids_of, found))
         ids_of = self.chunks.__getitem__
         out = [head + b"".join(map(ids_of, c)) for head, c in zip(heads, cut, strict=True)]
-        _forget(self.chunks, new)
-        _forget(self.pre_tokens, unmet)
+        _forget(self.chunks, new, self.cached)
+        _forget(self.pre_tokens, unmet, self.cached)
         return out
 
 
-def _forget(known: dict[str, bytes], new) -> None:
+def _forget(known: dict[str, bytes], new, cached: int) -> None:
     """Long strings, and what came when the cache was full (the common ones came early)."""
-    full = len(known) > CACHED
+    full = len(known) > cached
     for key in new:
         if full or len(key) > CACHED_LENGTH:
             del known[key]

@@ -32,6 +32,7 @@ from .byte_bpe import to_characters
 from .chunk_ids import ChunkIds, portions
 
 SIZE = 1024
+CACHED = 600_000  # a new word costs a call of the tokenizer; about 200 MB in a worker
 MAX_OPEN = 4096
 END_ID = 0
 
@@ -149,7 +150,7 @@ def _chunk_ids(definition: str) -> ChunkIds:
         def other_ids(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _TOKENIZERS[key] = ChunkIds(pre_token_ids, other_ids)
+        _TOKENIZERS[key] = ChunkIds(pre_token_ids, other_ids, CACHED)
     return _TOKENIZERS[key]
 
 
