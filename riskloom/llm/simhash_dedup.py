@@ -28,6 +28,7 @@ repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -143,5 +144,7 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id (ids are taken to be unique)."""
-    kept = simhash_dedup(docs, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = simhash_dedup(docs, words).where("doc_id <=> component_id")
+    kept_id = f"kept_{uuid.uuid4().hex}"  # no column of docs
+    kept = kept.select(F.col("doc_id").alias(kept_id))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(kept_id)), "left_semi")

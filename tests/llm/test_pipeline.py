@@ -132,3 +132,13 @@ def test_odd_documents(spark, tmp_path):
 
 def test_redaction_kinds_are_the_operators(stages):
     assert all(f"[{k.removeprefix('near_').upper()}]" for k in pii.KINDS)
+
+
+def test_drops_with_repeated_ids_and_clashing_columns(spark):
+    from riskloom.llm import exact_dedup, simhash_dedup
+
+    rows = [(1, "a a", "x"), (1, "a  a", "y"), (2, "a\ta", "z"), (1, "b", "z"), (0, "c", "z"), (3, "b", "z"), (None, "d", "z"), (None, "e", "z"), (None, "c", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string")
+    kept = exact_dedup.drop_copies(docs).collect()
+    assert sorted(((r.doc_id, _normal(r.text)) for r in kept), key=str) == sorted([(1, "a a"), (1, "b"), (0, "c"), (None, "d"), (None, "e")], key=str)
+    assert simhash_dedup.drop_near_copies(docs.where("doc_id = 0 OR text = 'b'")).columns == docs.columns
