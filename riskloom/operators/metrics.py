@@ -40,9 +40,9 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", by: str |
     if by:
         cum = cum.groupBy(F.col("auc_group").alias(by))
     return cum.agg(
-        (
-            F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))
-            / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))  # a product of longs would overflow
+        F.try_divide(  # null for a group with one class only
+            F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5)),
+            F.sum("pos").cast("double") * F.sum("neg").cast("double"),  # a product of longs would overflow
         ).alias("auc"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
