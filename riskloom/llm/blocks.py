@@ -14,13 +14,14 @@ Columns of the table: ``block`` (long, unique), ``n`` (documents in it),
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_defaults
 from ..sources.sinks import scratch_path
@@ -136,3 +137,22 @@ def answered(blocks: DataFrame, answers: DataFrame, *columns: str) -> DataFrame:
     """
     lists = answers.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("answers"))
     return blocks.join(lists, "block", "left")
+
+
+def rows_of(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``doc_id, digest`` of ``kept``, a written table that has the number of its ``rows``.
+
+    ``digest`` is computed from the text, so rows are told apart by id and text. Names are safe from clashes.
+    """
+
+    def of(keys: DataFrame) -> DataFrame:
+        kept_id, kept_text = (f"kept_{x}_{uuid.uuid4().hex}" for x in ("id", "text"))
+        keys = keys.select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_text))
+        return docs.join(keys, docs["doc_id"].eqNullSafe(F.col(kept_id)) & (digest == F.col(kept_text)), "left_semi")
+
+    once = of(kept.where("rows = 1"))
+    again = kept.where("rows > 1")
+    if again.isEmpty():
+        return once
+    number = f"text_{uuid.uuid4().hex}"
+    return once.unionByName(of(again).withColumn(number, digest).dropDuplicates(["doc_id", number]).drop(number))

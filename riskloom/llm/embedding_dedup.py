@@ -13,7 +13,7 @@ a hash, and each two parts meet in a group of their own, so no pair is missed an
 no task gets a whole list.
 
 The index is fitted on a bounded sample (``pivots_for`` vectors, ``MAX_PIVOTS`` at
-most, the smallest by a hash of their id) and holds every vector. Sampled vectors
+most, the smallest by a hash of id and vector) and holds every vector. Sampled vectors
 with a cosine of ``APART`` or more to an earlier one are no pivots: many pivots
 inside one dense group would rank almost at random for its members, which would
 seldom share ``SHARED`` of them. Recall at a cosine of 0.95 is approximate and measured
@@ -22,10 +22,12 @@ exact. All pairs of such a group are verified, so its work grows with its square
 as its links do.
 
 Equal vectors are one class from the start, so copies cost one partial row
-per task. Vectors that are null, zero or hold a null or non-finite component link
+per task. A class has a number of its own, so ids that repeat or are null bring
+nothing together. Vectors that are null, zero or hold a null or non-finite component link
 with nothing; the others link with vectors of their own length only, and each
 length has an index of its own, built one after the other. A null ``vec_id``
-counts as larger than every id. Other columns are ignored.
+counts as larger than every id; in a component without any other id it is the
+component's id too. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,10 +168,10 @@ def _verify(n_pivots: int):
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """``rep, linked, to`` rows for classes ``rep, copies, vec``: vectors linked to ``rep``, summed over rows, and one of its component."""
+    """``rep, linked, to`` rows for classes ``rep, least, copies, vec``: vectors linked to ``rep``, summed over rows, and one of its component."""
     spark = classes.sparkSession
     n_pivots = pivots_for(classes.count())
-    sample = classes.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("vec").collect()
+    sample = classes.select("vec", "rep", "least").orderBy(F.xxhash64("least", "vec"), "rep").limit(n_pivots).select("vec").collect()
     if not sample:
         return spark.createDataFrame([], "rep bigint, linked bigint, to bigint")
     chosen = apart(unit([bytes(r.vec) for r in sample]))
@@ -199,7 +201,8 @@ def embedding_dedup(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     rows = materialize(rows.mapInArrow(_valid, "vec_id bigint, vec binary"))
     usable = rows.where("vec IS NOT NULL")
-    classes = materialize(usable.groupBy("vec").agg(F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("rep"), F.count("*").alias("copies")))
+    classes = usable.groupBy("vec").agg(F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("least"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers stay
     length = F.octet_length("vec")
     lengths = [r.length for r in classes.groupBy(length.alias("length")).count().where("count > 1").collect()]
     found = rows.sparkSession.createDataFrame([], "rep bigint, linked bigint, to bigint")
@@ -207,13 +210,16 @@ def embedding_dedup(vectors: DataFrame) -> DataFrame:
         found = found.union(materialize(links(classes.where(length == n))))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     reached = components(found.select("rep", "to"), "rep", "to")
+    members = reached.join(classes.select("rep", "least"), F.col("vertex") == F.col("rep"))
+    ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = members.select("vertex", "component").join(ids, "component")
     known = (
         classes.join(linked, "rep", "left")
         .join(reached, F.col("rep") == F.col("vertex"), "left")
         .select(
             "vec",
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "least").alias("component_id"),
         )
     )
     own = F.col("component_id").isNull() | (F.col("component_id") == NO_ID)

@@ -22,7 +22,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -188,17 +187,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
     )
     normal = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-
-    def of(keys: DataFrame) -> DataFrame:
-        kept_id, kept_text = (f"kept_{x}_{uuid.uuid4().hex}" for x in ("id", "text"))  # no column of docs
-        keys = keys.select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_text))
-        same = docs["doc_id"].eqNullSafe(F.col(kept_id)) & (F.sha2(normal, 256) == F.col(kept_text))
-        return docs.join(keys, same, "left_semi")
-
-    once = of(by_row.where("rows = 1"))
-    again = by_row.where("rows > 1")
-    if again.isEmpty():
-        return once
-    number = f"text_{uuid.uuid4().hex}"
-    repeated = of(again).withColumn(number, F.sha2(normal, 256)).dropDuplicates(["doc_id", number]).drop(number)
-    return once.unionByName(repeated)
+    kept = by_row.select("doc_id", F.col("text_sha256").alias("digest"), "rows")
+    return bl.rows_of(docs, F.sha2(normal, 256), kept)

@@ -18,17 +18,18 @@ more unlike fingerprints meet, and those grow with the square of the table: with
 
 All of it works on distinct fingerprints with the smallest ``doc_id`` of each,
 so copies cost one partial row per task; no step emits the pairs of a
-group. Components are found by ``components``.
+group. Components are found by ``components`` over the fingerprints themselves,
+so ids that repeat or are null bring nothing together.
 
 Null and empty texts, or texts of white space only, have fingerprint zero and
-are linked like any other. A null ``doc_id`` counts as larger than every id;
-repeated rows give repeated results; other columns are ignored.
+are linked like any other. A null ``doc_id`` counts as larger than every id; a
+component without any other id has a null ``component_id``. Repeated rows give
+repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ensure_defaults
 from ..sources.sinks import materialize
-from .blocks import NO_ID
+from .blocks import NO_ID, rows_of
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -67,15 +68,19 @@ def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, digests: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a signed long), with the SHA-256 of the text as ``digest`` if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+            columns = {"doc_id": batch.column(0), "fp": pa.array(out)}
+            if digests:
+                columns["digest"] = pa.array([hashlib.sha256(t.as_py() or b"").hexdigest() for t in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, fp bigint")
+    schema = "doc_id bigint, fp bigint" + (", digest string" if digests else "")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _signed(word: int) -> int:
@@ -109,7 +114,7 @@ def bit_balls(fp: Column) -> Column:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of representatives that connect all fingerprints at 2 bits or fewer; ``distinct`` has ``fp, rep``."""
+    """Links ``(a, b)`` of names that connect all fingerprints at 2 bits or fewer; ``distinct`` has ``fp`` and its name ``rep``."""
     points = distinct.select("fp", "rep", segment_counts(F.col("fp")).alias("point"))
     cells = points.select("fp", "rep", F.explode(grid_cells(F.col("point"))).alias("cell")).where("cell IS NOT NULL")
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
@@ -126,25 +131,40 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """``class_fp, name, component_id``: for each fingerprint of ``rows`` the least fingerprint and the least id of its component."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")))
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    members = distinct.join(found, distinct["fp"] == found["vertex"]).select("fp", "least", "component")
+    ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = materialize(members.join(ids, "component").select(F.col("fp").alias("class_fp"), F.col("component").alias("name"), "component_id"))
+    id_or_null = F.coalesce("component_id", "least")
+    return distinct.join(linked, distinct["fp"] == linked["class_fp"], "left").select(
+        F.col("fp").alias("class_fp"),
+        F.coalesce("name", "fp").alias("name"),
+        F.when(id_or_null != NO_ID, id_or_null).alias("component_id"),
+    )
+
+
 def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``."""
     ensure_defaults(docs.sparkSession)
     rows = materialize(fingerprints(docs, words))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")))
-    found = components(links(distinct), "a", "b")
-    classes = distinct.join(found, distinct["rep"] == found["vertex"], "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
+    classes = _classes(rows)
     return rows.join(classes, rows["fp"] == classes["class_fp"], "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") == NO_ID, F.lit(None)).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id (ids are taken to be unique)."""
-    kept = simhash_dedup(docs, words).where("doc_id <=> component_id")
-    kept_id = f"kept_{uuid.uuid4().hex}"  # no column of docs
-    kept = kept.select(F.col("doc_id").alias(kept_id))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(kept_id)), "left_semi")
+    """``docs`` with one row of each component: one of the smallest id (of several texts with it, that of the least SHA-256).
+
+    Rows are told apart by id and text, so repeated and null ids are safe.
+    """
+    ensure_defaults(docs.sparkSession)
+    rows = materialize(fingerprints(docs, words, digests=True))
+    classes = _classes(rows)
+    each = rows.join(classes, rows["fp"] == classes["class_fp"]).groupBy("name", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "digest", "rows", "doc_id"))
+    kept = materialize(each.groupBy("name").agg(first.alias("first")).select("first.doc_id", "first.digest", "first.rows"))
+    return rows_of(docs, F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit(b"")), 256), kept)

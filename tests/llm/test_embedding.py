@@ -140,3 +140,22 @@ def test_split_lists_miss_nothing(spark, monkeypatch, rows):
     whole = got(ed.embedding_dedup(df))
     monkeypatch.setattr(ed, "LIST_ROWS", rows)  # used on the driver only
     assert got(ed.embedding_dedup(df)) == whole
+
+
+def test_ids_that_repeat_or_are_null_bring_nothing_together(spark):
+    """Brute force over rows, not ids."""
+    rng = np.random.default_rng(11)
+    a, b, c, d, e = np.linalg.qr(rng.normal(size=(16, 5)))[0].T
+    near = [x + 0.05 * rng.normal(size=16) / 4 for x in (a, b, c)]
+    rows = [(1, a), (1, b), (2, near[0]), (4, near[1]), (4, c), (None, d), (None, e), (None, near[2]), (7, a), (1, a), (None, d)]
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    adj = x @ x.T >= 0.95
+    reach = np.linalg.matrix_power(adj.astype(int), len(rows)) > 0
+    expected = []
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[j][0] for j in np.flatnonzero(reach[k]) if rows[j][0] is not None]
+        component = min(ids, default=None)
+        expected.append((i, int(adj[k].sum()) - 1, component, i == component))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    out = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in ed.embedding_dedup(df).collect()]
+    assert sorted(out, key=str) == sorted(expected, key=str)

@@ -106,3 +106,30 @@ def test_components_of_paths_stars_and_loops(spark):
     assert {got[i] for i in [7, *range(200, 260)]} == {7}
     assert got[2] == got[3] == 2 and 1 not in got
     assert cc.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_ids_that_repeat_or_are_null_bring_nothing_together(spark):
+    """Brute force over rows, not ids: repeated ids with unlike texts, null ids, copies of a row, a clashing column."""
+    rows = [(1, "red green blue"), (1, "one two three four"), (2, "One two three four"), (3, "x y z"), (3, "red green blue"), (5, "a b"),
+            (None, "null one"), (None, "null two"), (None, "x y z"), (None, "null two"), (5, "a  b"), (5, "a b"), (0, None), (0, "")]
+    prints = [_fingerprint(t) for _, t in rows]
+    whole = _components(list(enumerate(prints)), lambda x, y: bin(x ^ y).count("1") <= 2)
+    members = {}
+    for k, root in whole.items():
+        members.setdefault(root, []).append(rows[k])
+    least = {root: min((i for i, _ in m if i is not None), default=None) for root, m in members.items()}
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, _kept_id string")
+    out = [(r.doc_id, r.fingerprint, r.component_id) for r in sh.simhash_dedup(docs).collect()]
+    assert sorted(out, key=str) == sorted(((i, f"{p:016x}", least[whole[k]]) for k, ((i, _), p) in enumerate(zip(rows, prints))), key=str)
+    kept = sh.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(kept) == len(members)
+    for root, m in members.items():
+        assert sum((i, t) in m and i == least[root] for i, t in kept) == 1
+
+
+def test_pipeline_stage_keeps_one_row_of_each_component(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = _components(sorted((r.doc_id, _fingerprint(r.text)) for r in docs.collect()), lambda x, y: bin(x ^ y).count("1") <= 2)
+    assert sorted(r.doc_id for r in sh.drop_near_copies(docs).collect()) == sorted(set(whole.values()))
