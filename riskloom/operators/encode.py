@@ -25,9 +25,9 @@ class Vocabulary:
     binary: dict[str, list[str]] = field(default_factory=dict)  # column -> sorted values (<= 2)
     onehot: dict[str, list[str]] = field(default_factory=dict)  # column -> sorted values
 
-    def onehot_names(self) -> list[str]:
-        """Output names in column, then value order; a name already taken gets ``_2``, ``_3``, ..."""
-        names: dict[str, None] = {}
+    def onehot_names(self, kept: Sequence[str] = ()) -> list[str]:
+        """Output names in column, then value order; a name already taken (also by a ``kept`` column) gets ``_2``, ``_3``, ..."""
+        names: dict[str, None] = dict.fromkeys(kept)
         for c, values in self.onehot.items():
             for v in values:
                 name, n = dummy_name(c, v), 1
@@ -35,7 +35,7 @@ class Vocabulary:
                     n += 1
                     name = f"{dummy_name(c, v)}_{n}"
                 names[name] = None
-        return list(names)
+        return list(names)[len(dict.fromkeys(kept)):]
 
 
 def dummy_name(column: str, value: str) -> str:
@@ -95,7 +95,7 @@ def one_hot(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     pairs = [(c, v) for c, values in vocab.onehot.items() for v in values]
     dummies = [
         F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name)
-        for (c, v), name in zip(pairs, vocab.onehot_names(), strict=True)
+        for (c, v), name in zip(pairs, vocab.onehot_names(keep), strict=True)
     ]
     return df.select(*keep, *dummies)
 

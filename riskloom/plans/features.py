@@ -79,7 +79,11 @@ def bureau_enriched(bureau: DataFrame, bb_agg: DataFrame) -> DataFrame:
 def bureau_agg(bureau: DataFrame, bureau_balance: DataFrame) -> DataFrame:
     """A20 two-level rollup: balance rows -> loan -> applicant (BU-01..45 + P19)."""
     enriched = bureau_enriched(bureau, bureau_balance_agg(bureau_balance))
-    out = rollup(enriched, "SK_ID_CURR", specs.BUREAU)
+    return with_debt_ratio(rollup(enriched, "SK_ID_CURR", specs.BUREAU))
+
+
+def with_debt_ratio(out: DataFrame) -> DataFrame:
+    """P19."""
     return out.withColumn(
         "debt_ratio_mean",
         _where(F.col("credit_sum_mean") > 0, F.col("debt_mean") / F.col("credit_sum_mean"), 0.0),

@@ -402,6 +402,26 @@ def one_hot_sql() -> str:
     return _ctes(["application"], [], f"SELECT SK_ID_CURR,\n  {_dummies_sql()}\nFROM application")
 
 
+# string columns of the application view, in name order
+SPARSE_COLUMNS = ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_INCOME_TYPE"]
+
+
+def _dictionary_cte() -> str:
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM application" for c in SPARSE_COLUMNS)
+    return ("dictionary AS (SELECT c, v, count(*) AS n, row_number() OVER (ORDER BY c, v) - 1 AS id "
+            f"FROM ({cells}) WHERE v IS NOT NULL GROUP BY c, v)")
+
+
+def one_hot_dictionary_sql() -> str:
+    return _ctes(["application"], [_dictionary_cte()], 'SELECT c AS "column", v AS "value", id, n FROM dictionary')
+
+
+def one_hot_sparse_sql() -> str:
+    joins = "\n".join(f"LEFT JOIN dictionary d{i} ON d{i}.c = '{c}' AND d{i}.v = a.{c}" for i, c in enumerate(SPARSE_COLUMNS))
+    ids = ", ".join(f"d{i}.id" for i in range(len(SPARSE_COLUMNS)))
+    return _ctes(["application"], [_dictionary_cte()], f"SELECT a.SK_ID_CURR, concat_ws(',', {ids}) AS one_hot FROM application a\n{joins}")
+
+
 _RECODE = """recoded AS (
 SELECT * REPLACE (
     coalesce(nullif(DAYS_EMPLOYED, 365243), -1) AS DAYS_EMPLOYED,

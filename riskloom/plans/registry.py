@@ -16,8 +16,8 @@ from ..operators import summary
 from ..sources import quoted, readers, schemas, sinks
 from ..sources.adapters import Tables
 from ..operators import encode as enc
-from ..operators import binning, metrics, model, split
-from . import eda, features as fe, modeling, oracles as orc, processed as pr
+from ..operators import binning, metrics, model, sparse, split
+from . import eda, features as fe, increments, modeling, oracles as orc, processed as pr
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[SparkQuery, Callable[[], str] | None]] = {}
@@ -245,6 +245,54 @@ def _model_table_full(t):
     return pr.model_table(t.application, t.bureau, t.bureau_balance, *_prev(t))[0]
 
 
+# ------------------------------------------------------------------ rollups from mergeable states
+@register("bureau_balance_agg_merged", orc.bureau_balance_agg_sql)
+def _bb_merged(t):
+    """A11-A20 from states: the rows arrive in three batches, each merged into the written state."""
+    return increments.in_batches("bureau_balance", t.bureau_balance)
+
+
+@register("bureau_agg_merged", orc.bureau_agg_sql)
+def _bureau_merged(t):
+    enriched = fe.bureau_enriched(t.bureau, increments.in_batches("bureau_balance", t.bureau_balance))
+    return fe.with_debt_ratio(increments.in_batches("bureau", enriched))
+
+
+@register("pos_cash_agg_merged", orc.pos_cash_agg_sql)
+def _pos_merged(t):
+    return increments.in_batches("pos_cash", t.pos_cash)
+
+
+@register("installments_agg_merged", orc.installments_agg_sql)
+def _installments_merged(t):
+    return increments.in_batches("installments", fe.installments_enriched(t.installments))
+
+
+@register("credit_card_agg_merged", orc.credit_card_agg_sql)
+def _card_merged(t):
+    return increments.in_batches("credit_card", fe.credit_card_enriched(t.credit_card))
+
+
+@register("previous_agg_merged", orc.previous_agg_sql)
+def _previous_merged(t):
+    return increments.in_batches("previous", fe.previous_enriched(*_prev(t)))
+
+
+# ------------------------------------------------------------------ sparse one-hot
+@register("one_hot_dictionary", orc.one_hot_dictionary_sql)
+def _one_hot_dictionary(t):
+    """The vocabulary as a table with dense ids."""
+    return sparse.dictionary(t.application, orc.SPARSE_COLUMNS)
+
+
+@register("one_hot_sparse", orc.one_hot_sparse_sql)
+def _one_hot_sparse(t):
+    """M2: each application's ids in the vocabulary."""
+    rows = t.application.select("SK_ID_CURR", *orc.SPARSE_COLUMNS)
+    encoded = sparse.encode(rows, sparse.dictionary(rows, orc.SPARSE_COLUMNS), orc.SPARSE_COLUMNS)
+    return encoded.select("SK_ID_CURR", F.array_join(F.transform("one_hot", lambda i: i.cast("string")), ",").alias("one_hot"))
+
+
 # ------------------------------------------------------------------ split, metrics, models
 @register("hash_split", orc.hash_split_sql)
 def _hash_split(t):
