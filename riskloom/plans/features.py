@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, safe_div, sentinel_to_null
+from ..operators import keyset
 from ..operators.rollup import rollup
 from . import specs
 
@@ -90,8 +91,17 @@ def with_debt_ratio(out: DataFrame) -> DataFrame:
     )
 
 
-def application_bureau(application: DataFrame, bureau: DataFrame, bureau_balance: DataFrame) -> DataFrame:
-    """Left join keeps every application row."""
+def bureau_of(application: DataFrame, bureau: DataFrame, bureau_balance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The loans of these applicants and the balances of those loans (with a few others, see ``keyset``)."""
+    bureau = keyset.reduce_to(bureau, "SK_ID_CURR", application)
+    return bureau, keyset.reduce_to(bureau_balance, "SK_ID_BUREAU", bureau)
+
+
+def application_bureau(application: DataFrame, bureau: DataFrame, bureau_balance: DataFrame,
+                       reduce: bool = False) -> DataFrame:
+    """Left join keeps every application row. ``reduce`` for applicants who are a part of those in the histories."""
+    if reduce:
+        bureau, bureau_balance = bureau_of(application, bureau, bureau_balance)
     return application.join(bureau_agg(bureau, bureau_balance), "SK_ID_CURR", "left")
 
 
@@ -217,7 +227,15 @@ def previous_rollup(enriched: DataFrame, as_written: bool = False) -> DataFrame:
     )
 
 
+def previous_of(application: DataFrame, previous: DataFrame, *children: DataFrame) -> tuple[DataFrame, ...]:
+    """The previous applications of these applicants and the child rows of those (with a few others)."""
+    previous = keyset.reduce_to(previous, "SK_ID_CURR", application)
+    return previous, *[keyset.reduce_to(child, "SK_ID_PREV", previous) for child in children]
+
+
 def application_previous(application: DataFrame, previous: DataFrame, pos_cash: DataFrame,
-                         installments: DataFrame, card: DataFrame) -> DataFrame:
-    """J6 (D3): the previous-application aggregate joined to the applications."""
+                         installments: DataFrame, card: DataFrame, reduce: bool = False) -> DataFrame:
+    """J6 (D3): the previous-application aggregate joined to the applications; ``reduce`` as in J2."""
+    if reduce:
+        previous, pos_cash, installments, card = previous_of(application, previous, pos_cash, installments, card)
     return application.join(previous_agg(previous, pos_cash, installments, card), "SK_ID_CURR", "left")

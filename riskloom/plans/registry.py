@@ -150,6 +150,12 @@ def _app_bureau(t):
     return fe.application_bureau(t.application, t.bureau, t.bureau_balance)
 
 
+@register("application_bureau_join_reduced", orc.application_bureau_join_sql)
+def _app_bureau_reduced(t):
+    """J1, J2 with history rows of unknown applicants dropped in the scan."""
+    return fe.application_bureau(t.application, t.bureau, t.bureau_balance, reduce=True)
+
+
 @register("pos_cash_agg", orc.pos_cash_agg_sql)
 def _pos(t):
     return fe.pos_cash_agg(t.pos_cash)
@@ -201,6 +207,12 @@ def _app_prev(t):
     return fe.application_previous(t.application, *_prev(t))
 
 
+@register("application_previous_join_reduced", orc.application_previous_join_sql)
+def _app_prev_reduced(t):
+    """J3-J6 with history rows of unknown applicants dropped in the scan."""
+    return fe.application_previous(t.application, *_prev(t), reduce=True)
+
+
 # ------------------------------------------------------------------ encoding and model table
 def _app_strings(t):
     app = t.application
