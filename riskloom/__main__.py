@@ -2,10 +2,13 @@
 
     python -m riskloom convert  --raw DIR --out DIR            (CSV -> Parquet, once)
     python -m riskloom features --raw DIR --out DIR [--format csv|parquet]
+    python -m riskloom build    --raw DIR --out DIR [--format csv|parquet] [--buckets N]
     python -m riskloom eda      --raw DIR --out DIR [--format csv|parquet]
     python -m riskloom train    --raw DIR --out DIR [--format csv|parquet] [--model lr|gbt] [--features DIR]
 
-``train --features DIR`` trains on the tables that ``features --out DIR`` wrote, and reads no raw history.
+``build`` writes what ``features`` writes as a committed build: unchanged inputs are not computed again, an interrupted
+job leaves the last build, and the tables have the same buckets. ``train --features DIR`` trains on the tables that
+``features --out DIR`` or ``build --out DIR`` wrote, and reads no raw history.
 
 The session comes from ``SparkSession.builder.getOrCreate()`` so that the
 cluster's own settings (master, executors, ``spark.checkpoint.dir``) apply.
@@ -25,12 +28,15 @@ from .sources import readers, sinks
 class _Sources:
     """Raw sources under the attribute names the plans use."""
 
-    def __init__(self, spark: SparkSession, raw_dir: str, frames: dict):
+    def __init__(self, spark: SparkSession, raw_dir: str, frames: readers.Sources):
         self.spark = spark
         self.sf_dir = raw_dir
         self.frames = frames
-        for name, df in frames.items():
-            setattr(self, name, df)
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self.__dict__.get("frames", ()):
+            raise AttributeError(name)
+        return self.frames[name]
 
 
 def _features(spark, src, out):
@@ -39,6 +45,17 @@ def _features(spark, src, out):
         print(f"{name}: {path}")
 
 
+def _build(spark, src, out, buckets):
+    from .plans.build import TABLES
+    from .sources.committed import Build, fingerprint
+
+    prints = {name: fingerprint(spark, path) for name, path in src.frames.paths.items()}
+    with Build(spark, out) as build:
+        made = build.run(TABLES, src.frames, prints, buckets)
+        for table in TABLES:
+            print(f"{table.name}: {build.path(table.name)}{'' if table.name in made else ' (unchanged)'}")
+
+
 def _eda(spark, src, out):
     from .plans import eda
 
@@ -79,12 +96,13 @@ def _train(spark, src, out, model: str):
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="riskloom")
-    ap.add_argument("job", choices=["convert", "features", "eda", "train"])
+    ap.add_argument("job", choices=["convert", "features", "build", "eda", "train"])
     ap.add_argument("--raw", required=True, help="folder with the seven raw files")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--model", default="lr", choices=["lr", "gbt"])
-    ap.add_argument("--features", help="folder of a finished features job to train on")
+    ap.add_argument("--features", help="folder of a finished features or build job to train on")
+    ap.add_argument("--buckets", type=int, help="buckets of the tables of a build (unset: those of the last one, else the shuffle partitions)")
     ap.add_argument("--cluster-defaults", action="store_true",
                     help="apply the suggested large-cluster settings the session leaves unset")
     args = ap.parse_args(argv)
@@ -93,20 +111,22 @@ def main(argv: list[str] | None = None) -> None:
     if args.cluster_defaults:
         apply_cluster_settings(spark)
     report: dict[str, list] = {}
-    src = _Sources(spark, args.raw, readers.load_sources(spark, args.raw, args.format, report))
+    src = _Sources(spark, args.raw, readers.Sources(spark, args.raw, args.format, report))
     src.features_dir = args.features
-    for name, cells in report.items():
-        for column, n in cells:
-            print(f"{name}.{column}: {n} cells cannot be read as the declared type and are null")
     if args.job == "convert":
         for name, path in sinks.convert_sources(src.frames, args.out).items():
             print(f"{name}: {path}")
     elif args.job == "features":
         _features(spark, src, args.out)
+    elif args.job == "build":
+        _build(spark, src, args.out, args.buckets)
     elif args.job == "eda":
         _eda(spark, src, args.out)
     else:
         _train(spark, src, args.out, args.model)
+    for name, cells in report.items():
+        for column, n in cells:
+            print(f"{name}.{column}: {n} cells cannot be read as the declared type and are null")
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, model as ml, split
 from ..sources import sinks
+from ..sources.committed import Build
 from . import processed as pr, specs
 
 # Whole feature groups for the ablation report: every column of a group leaves together.
@@ -19,9 +20,12 @@ ABLATION_GROUPS = {
 
 
 def _written(t, name: str) -> DataFrame | None:
-    """A table of the feature build (``sinks.build_features``), if ``t`` says where they are (SRC-10)."""
+    """A table of the feature build (``sinks.build_features`` or a committed one), if ``t`` says where they are (SRC-10)."""
     folder = getattr(t, "features_dir", None)
-    return t.spark.read.parquet(f"{folder.rstrip('/')}/{name}") if folder else None
+    if not folder:
+        return None
+    committed = Build(t.spark, folder)
+    return committed.table(name) if committed.exists() else t.spark.read.parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[DataFrame, list[str]]:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.rounding import portable_round
 from ..operators import summary
-from ..sources import quoted, readers, schemas, sinks
+from ..sources import committed, quoted, readers, schemas, sinks
 from ..sources.adapters import Tables
 from ..operators import encode as enc
 from ..operators import binning, metrics, model, sparse, split
-from . import eda, features as fe, increments, modeling, oracles as orc, processed as pr
+from . import build, eda, features as fe, increments, modeling, oracles as orc, processed as pr
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[SparkQuery, Callable[[], str] | None]] = {}
@@ -439,6 +439,26 @@ def _materialized(t):
     return sinks.materialize(fe.bureau_agg(t.bureau, t.bureau_balance))
 
 
+def _built(t) -> committed.Build:
+    """All outputs of the feature build, committed."""
+    done = committed.Build(t.spark, sinks.scratch_path(t.spark, "build"))
+    sources = {name: getattr(t, name) for name in schemas.SOURCES}
+    done.run(build.TABLES, sources, dict.fromkeys(sources, committed.fingerprint(t.spark, t.sf_dir)))
+    return done
+
+
+@register("built_application_bureau_join", orc.application_bureau_join_sql)
+def _built_bureau(t):
+    """SNK-01..05, SRC-08..10, J2: from committed tables with the same buckets."""
+    return build.application_bureau(_built(t))
+
+
+@register("built_application_previous_join", orc.application_previous_join_sql)
+def _built_previous(t):
+    """SNK-01..05, SRC-08..10, J6: from committed tables with the same buckets."""
+    return build.application_previous(_built(t))
+
+
 # ------------------------------------------------------------------ small profiles
 @register("bureau_column_minimums", orc.bureau_column_minimums_sql)
 def _bureau_mins(t):

@@ -129,11 +129,30 @@ def source_paths(raw_dir: str, fmt: str = "csv") -> dict[str, str]:
     return out
 
 
+class Sources(Mapping):
+    """The seven sources by name: all are checked to exist, each is read (CSV: typed by a scan) when first asked for."""
+
+    def __init__(self, spark: SparkSession, raw_dir: str, fmt: str = "csv", report: dict | None = None):
+        self.paths = source_paths(raw_dir, fmt)
+        check_inputs(spark, self.paths)
+        self._args, self._report, self._read = (spark, raw_dir, fmt), report, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._read:
+            if name not in self.paths:
+                raise KeyError(name)
+            spark, raw_dir, fmt = self._args
+            cells = None if self._report is None else self._report.setdefault(name, [])
+            self._read[name] = read_source(spark, raw_dir, name, fmt, cells)
+        return self._read[name]
+
+    def __iter__(self):
+        return iter(self.paths)
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
 def load_sources(spark: SparkSession, raw_dir: str, fmt: str = "csv", report: dict | None = None) -> dict[str, DataFrame]:
     """Check all seven inputs, then return them by name. ``report`` gets the unreadable cells of each CSV source."""
-    check_inputs(spark, source_paths(raw_dir, fmt))
-    out = {}
-    for name in schemas.SOURCES:
-        cells = None if report is None else report.setdefault(name, [])
-        out[name] = read_source(spark, raw_dir, name, fmt, cells)
-    return out
+    return dict(Sources(spark, raw_dir, fmt, report))
