@@ -4,25 +4,25 @@
    mail address (also spelt out), dotted numbers, and groups of digits.
 2. Each candidate gets features of its format (lengths, digits, separators, groups)
    and of its context (words like "phone" before it, what touches it).
-3. Boosted trees score them. They learn from a bounded sample of documents where
-   a candidate is positive if it is a span of the strict rules (``BASE``, with their
+3. Boosted trees score them. They learn from every document; a candidate
+   is positive if it is a span of the strict rules (``BASE``, with their
    checks) or if its form or the words right before it confirm it (``_CONFIRMED``):
    spelt-out addresses, usual ways to write a phone number, numbers after "call" or
    "card". Each strict address, phone and card number is learnt once more as a twin
    rewritten into a form that the rules miss (``_twin``). Other candidates are negative.
-4. On the part of the sample not learnt from, each generator's threshold is set to
-   the lowest score at which ``PRECISION`` of what could be added from there on are
-   positive (on ``LEAST`` candidates or more; otherwise that generator adds nothing).
-   Strict spans are found anyway and do not count there, their twins do.
+4. Three candidates in ten, by a hash, are not learnt from; on these, each generator's
+   threshold is set to the lowest score at which ``PRECISION`` of what could be added from
+   there on are positive (on ``LEAST`` candidates or more; otherwise that generator adds
+   nothing). Strict spans are found anyway and do not count there, their twins do.
 
 The spans are those of the strict rules, always, and the candidates at or over
 their threshold that overlap none of them.
 
 Built-in functions throughout; trees become CASE expressions over a candidate's
-features, so documents are scored within their row and nothing is shuffled. The
-sample is of ``SAMPLE_DOCUMENTS`` documents on average, by a hash of their id, and
-``SAMPLE_CANDIDATES`` of their candidates at most for each generator and label,
-weighted by how many they stand for.
+features, so documents are scored within their row. Texts are scanned once: what the
+rules and generators find is written, then learnt from and scored. Candidates of equal
+features (a form) are one row of the fit, weighted by how many there are, so it
+grows with the forms, in partitions of ``SAMPLE_CANDIDATES`` of them.
 
 Null texts are empty; matches never cross documents; repeated rows are scanned one
 by one; other columns are ignored. Numbers that nothing confirms count as errors, so
@@ -31,6 +31,7 @@ where they are many among those of a form and context, that form is left in the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -41,9 +42,9 @@ from ..session import ensure_defaults
 from ..sources.sinks import materialize
 from .spans import add_hits, placed, written
 
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_CANDIDATES = 20_000
+SAMPLE_CANDIDATES = 20_000  # forms in a partition of the fit; no form is left out
 TREES, DEPTH = 10, 3
+LEAF = 5  # candidates in a leaf, at least
 PRECISION, LEAST = 0.98, 50
 
 # The strict rules. Possessive groups and the start of a run (after another match or no such character) find
@@ -194,13 +195,8 @@ def _tree(node):
     return node.split().featureIndex(), node.split().threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """``kind, label, addable, learn, weight`` and the features of a bounded sample of candidates and twins."""
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    some = docs.where(place < int(share * (1 << 20)) + 1).select("doc_id", "text")
-    some = _scanned(some).drop("text")
+def _examples(scanned: DataFrame) -> DataFrame:
+    """``kind, label, addable, learn, weight`` and the features of all candidates and twins, one row for equal ones."""
 
     def labelled(kind: str) -> list[Column]:
         own = [KINDS.index(k) for k in _STRICT[kind]]
@@ -223,46 +219,53 @@ def _sample(docs: DataFrame) -> DataFrame:
         return [beyond, known, F.transform(F.filter(kind, strict), lambda s: row(s, rewritten(s), F.lit(True), True))]
 
     each = [part for k in CANDIDATES for part in labelled(k)]
-    rows = some.select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*")
-    rows = materialize(rows.withColumn("h", F.xxhash64("doc_id", "kind", "start")).drop("doc_id", "start"))
-    n = rows.groupBy("kind", "label").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind", "label").orderBy("h"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_CANDIDATES).join(F.broadcast(n), ["kind", "label"])
-    rows = rows.withColumn("weight", F.greatest(F.col("n") / SAMPLE_CANDIDATES, F.lit(1.0)))
-    return rows.withColumn("learn", F.pmod("h", F.lit(10)) < 7).drop("h", "rank", "n")
+    rows = scanned.select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*")
+    learn = F.pmod(F.xxhash64("doc_id", "kind", "start"), F.lit(10)) < 7
+    return rows.groupBy("kind", "label", "addable", learn.alias("learn"), *FEATURES).agg(F.count("*").cast("double").alias("weight"))
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit and calibrate on a bounded sample of ``docs`` (``doc_id, text``)."""
-    sample = materialize(_sample(docs))
-    labels = {r.label for r in sample.where("learn").select("label").distinct().collect()}
+    """Fit and calibrate on all of ``docs`` (``doc_id, text``)."""
+    return _train(_scanned(docs))
+
+
+def _train(scanned: DataFrame) -> Model:
+    examples = materialize(_examples(scanned))
+    of_label = {r.label: r for r in examples.where("learn").groupBy("label").agg(F.count("*").alias("forms"), F.sum("weight").alias("n")).collect()}
     model = Model()
-    if labels == {0.0, 1.0}:  # otherwise all score the same
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.where("learn")).coalesce(1)
-        gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=5, weightCol="weight")
-        gbt = gbt.fit(vectors.select("features", "label", "weight"))
+    if set(of_label) == {0.0, 1.0}:  # otherwise all score the same
+        parts = math.ceil(sum(r.forms for r in of_label.values()) / SAMPLE_CANDIDATES)
+        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(examples.where("learn"))
+        columns = ["label", "weight", *FEATURES]  # sums of the fit are taken in one order
+        vectors = vectors.repartition(parts, *columns).sortWithinPartitions(*columns).select("features", "label", "weight")
+        # a row stands for many candidates, so a leaf's least size is one of weight
+        least = min(0.49, (LEAF - 0.5) / sum(r.n for r in of_label.values()))
+        gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, minWeightFractionPerNode=least, weightCol="weight").fit(vectors)
         model = Model([(w, _tree(t._call_java("rootNode"))) for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)])
     # at most 100 scores for each generator come to the driver
     score = F.round(1 / (1 + F.exp(-2 * model.margin({f: F.col(f) for f in FEATURES}))), 2)
-    seen = sample.where("addable AND NOT learn").groupBy("kind", score.alias("score")).agg(
-        F.count("*").alias("rows"), F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")
+    seen = examples.where("addable AND NOT learn").groupBy("kind", score.alias("score")).agg(
+        F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")
     )
     by_kind: dict[str, list] = {}
     for r in seen.orderBy("kind", F.desc("score")).collect():
         by_kind.setdefault(r.kind, []).append(r)
     for kind, rows in by_kind.items():
-        seen = n = hits = 0
+        n = hits = 0
         model.thresholds[kind] = None
         for r in rows:
-            seen, n, hits = seen + r.rows, n + r.n, hits + r.hits
-            if seen >= LEAST and hits >= PRECISION * n:
+            n, hits = n + r.n, hits + r.hits
+            if n >= LEAST and hits >= PRECISION * n:
                 model.thresholds[kind] = r.score - 0.005
     return model
 
 
 def with_spans(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``base`` and ``added``, arrays of ``start, kind, end`` (kinds are numbers into ``KINDS``)."""
-    docs = _scanned(docs)
+    return _with_added(_scanned(docs), model)
+
+
+def _with_added(scanned: DataFrame, model: Model) -> DataFrame:
 
     def chosen(kind: str, threshold: float) -> Column:
         free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -272,14 +275,15 @@ def with_spans(docs: DataFrame, model: Model) -> DataFrame:
     thresholds = {k: t for k, t in model.thresholds.items() if t is not None}
     parts = [placed(chosen(k, thresholds[k]), KINDS.index(k)) for k in CANDIDATES if k in thresholds]
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return docs.withColumn("added", F.concat(*parts) if parts else none).drop(*CANDIDATES)
+    return scanned.withColumn("added", F.concat(*parts) if parts else none).drop(*CANDIDATES)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, base, added`` of each row of ``docs``."""
     ensure_defaults(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return with_spans(texts, train(texts)).select("doc_id", "base", "added")
+    scanned = materialize(_scanned(texts).drop("text"))
+    return _with_added(scanned, _train(scanned)).select("doc_id", "base", "added")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -314,10 +318,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans in ``text`` redacted, and ``n_chars`` (if there) of the new text. All rows stay; null texts stay null."""
     ensure_defaults(docs.sparkSession)
     names = docs.columns
-    model = train(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")))
     # own names, so that none of the documents' columns clashes
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    held = with_spans(held, model).withColumn("_spans", F.concat("base", "added"))
+    row, text = F.struct(*[F.col(f"`{c}`") for c in names]), F.coalesce("text", F.lit(""))
+    held = docs.select(row.alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    held = materialize(_scanned(held).drop("text")).withColumn("text", F.coalesce("_row.text", F.lit("")))
+    held = _with_added(held, _train(held)).withColumn("_spans", F.concat("base", "added"))
     new = F.when(F.size("_spans") > 0, _redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("_row.text"))
     out = held.select("_row", new.alias("_new"))
     values = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}

@@ -125,3 +125,11 @@ def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     plan = pii.digests(pii.find(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_candidate_is_learnt_from(spark):
+    """The examples stand for all candidates of all documents, however many have the same form."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('call (555) 210-', 1000 + id % 9000, ' or see page 12') AS text")
+    examples = pii._examples(pii._scanned(docs)).groupBy("kind", "label").agg({"weight": "sum"}).collect()
+    assert {(r.kind, r.label): r[2] for r in examples} == {("near_number", 1.0): 25_000, ("near_number", 0.0): 25_000}
+    assert pii.train(docs).thresholds["near_number"] is not None
