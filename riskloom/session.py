@@ -23,6 +23,9 @@ _DEFAULTS = {
     # the rollups aggregate up to 94 outputs (~200 buffer fields) in one operator;
     # keep such operators inside whole-stage codegen (default cut-off is 100 fields)
     "spark.sql.codegen.maxFields": "1000",
+    # the last-K limit sorts each scan task's rows before their shuffle; with splits of the default
+    # 128 MB that sort spills on an executor of 2 GB a core
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 

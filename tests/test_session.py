@@ -29,3 +29,17 @@ def test_ensure_defaults_keeps_explicit_values(spark):
         assert spark.conf.get("spark.sql.codegen.maxFields") == "150"
     finally:
         spark.conf.set("spark.sql.codegen.maxFields", "1000")
+
+
+def test_scan_splits_leave_room_for_the_sort_of_the_last_k(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        session.ensure_defaults(spark)
+        assert spark.conf.get(key) == "32m"
+        spark.conf.set(key, "64m")
+        session.ensure_defaults(spark)
+        assert spark.conf.get(key) == "64m"
+    finally:
+        spark.conf.set(key, old)
