@@ -1,9 +1,9 @@
 """Models: median imputation, logistic regression, boosted trees.
 
 Spark ML trains with distributed iterative jobs (one aggregate per L-BFGS
-step; one histogram aggregate per tree level). The feature table is cached
-for the fit and the tree lineage is checkpointed every few rounds into the
-session's shared checkpoint folder.
+step; one histogram aggregate per tree level). The columns of the fit are kept on
+disk for it (Spark ML keeps its own form of the rows in memory), and the tree lineage
+is checkpointed every few rounds into the session's shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -121,13 +122,18 @@ def prepare(table: DataFrame, features: Sequence[str], medians: Mapping[str, flo
     return _as_double(impute(table, medians or {}), features)
 
 
+def _kept(train: DataFrame, features: Sequence[str], medians: Mapping[str, float]) -> DataFrame:
+    """The prepared columns of a fit, on disk: the few passes before the first step read them, the steps do not."""
+    return prepare(train, features, medians).select(*features, LABEL, WEIGHT).persist(StorageLevel.DISK_ONLY)
+
+
 def fit_lr(train: DataFrame, features: Sequence[str], max_iter: int = 1000,
            medians: Mapping[str, float] | None = None) -> FitResult:
     """Fit M6 + M7 + M8 on the train rows (class weights must be on ``train``; ``medians`` if already fitted)."""
     ensure_checkpoint_dir(train.sparkSession)
     medians = medians or fit_medians(train, features)
     features = [f for f in features if medians.get(f) is not None]  # all-null columns are dropped
-    prepared = prepare(train, features, medians).cache()
+    prepared = _kept(train, features, medians)
     n_weight = prepared.agg(F.sum(WEIGHT)).first()[0]
     model = lr_pipeline(features, n_weight, max_iter=max_iter).fit(prepared)
     prepared.unpersist()
@@ -138,7 +144,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], params: GbtParams = GbtPa
     ensure_checkpoint_dir(train.sparkSession)
     medians = fit_medians(train, features)
     features = [f for f in features if medians.get(f) is not None]
-    prepared = prepare(train, features, medians).cache()
+    prepared = _kept(train, features, medians)
     model = gbt_pipeline(features, params).fit(prepared)
     prepared.unpersist()
     return FitResult(model, list(features), medians)

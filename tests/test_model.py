@@ -122,3 +122,12 @@ def test_sweep_pick_threshold(spark):
     sweep = metrics.threshold_sweep(scored)
     best = metrics.pick_threshold(sweep, 0.99).first()
     assert best["recall"] == 1.0 and best["threshold"] == 0.6
+
+
+def test_a_fit_keeps_its_own_columns_on_disk(spark):
+    rows = [(i, i % 2, float(i), "x", 1.0) for i in range(10)]
+    train = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int, a double, other string, class_weight double")
+    kept = ml._kept(train, ["a"], {"a": 1.0})
+    assert kept.columns == ["a", "TARGET", "class_weight"]
+    assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+    kept.unpersist()
