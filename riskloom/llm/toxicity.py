@@ -16,14 +16,24 @@ words (in their lower-case form, with word boundaries) and of the words
 themselves. Only grams whose share in confirmed text differs from that in
 unlabelled text by ``SCREEN`` standard errors get a weight, so ordinary grams stay
 at zero and a long clean text does not add up to a score; the weights are fitted
-in numpy with Adam and an L1 step, and the intercept is set for a mean score of
-``prior`` on unlabelled text. The two samples are bounded
-(``SAMPLE_TOXIC``, ``SAMPLE_UNLABELLED`` documents, the smallest by a hash of their
-id), so the fit costs the same at any corpus size. Every document is scored whole.
+with Adam and an L1 step, and the intercept is set for a mean score of ``prior`` on
+unlabelled text. Every document of the training folds takes part in the counts, the
+fit and the intercept, and every document is scored whole:
+
+1. Each task counts its documents by gram; the sums of the tasks pass the screen.
+2. The screened grams of each document are written, dealt by a hash of its id to
+   shards of about ``SHARD_ROWS`` documents.
+3. In each of ``ROUNDS`` rounds every shard takes ``ROUND_STEPS`` steps over its documents in
+   batches, from the common weights; the next common weights (and moments) are the means over the
+   shards, by their documents (iterative parameter mixing). One shard with one batch takes the
+   steps of a plain fit. Toxic documents weigh the same in whichever shard they are.
+4. The intercept is found by aggregates over all outputs, ``CUTS`` shifts in a pass.
+
+The driver holds one set of weights, bounded by the 2^22 hashed grams; a task holds a shard.
 
 A null or empty text has no words and gets the score of the intercept; with no
 toxic example at all every score is 0. Null labels are ignored, a null ``doc_id``
-is in the training folds. Of rows that share an id, the sample holds the smallest text.
+is in no training row. Of rows that share an id, the smallest text is learnt from.
 Repeated rows get the same score; other columns pass.
 """
 
@@ -33,19 +43,29 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_TOXIC = 2000
-SAMPLE_UNLABELLED = 5000
+from ..session import ensure_defaults
+from ..sources.sinks import materialize
+from . import blocks as bl
+
 THRESHOLD = 0.3
 HASH_BITS = 22
 GRAM = 4
 SCREEN = 3.0
-_KNOWN_WORDS = 400_000
+SHARD_ROWS = 1 << 15
+BATCH_ROWS = 1 << 12
+BATCH_TOXIC = 256
+ROUNDS = 10
+ROUND_STEPS = 30
+CUTS = 31
+_PART = 1 << 14
+_AT_ONCE = 512
 
 _WORD = re.compile(r"\w+")
 
@@ -61,15 +81,72 @@ def grams_of(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) >> (32 - HASH_BITS) for g in sorted(grams)]
 
 
+_CRC = np.array([zlib.crc32(bytes([i])) for i in range(256)], np.uint32)
+_CRC = _CRC ^ _CRC[0]  # one step of CRC-32 for each byte
+
+
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_of`` of all words (each may hold a gram twice) one after the other, and how many each has."""
+    edged = [f"<{w}>".encode() for w in words]
+    raw = np.frombuffer(b"".join(edged), np.uint8)
+    letters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each begins
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    sizes = np.maximum(0, lengths - GRAM + 1)  # a shorter word is its only gram
+    first, of = _spread(np.cumsum(lengths) - lengths, sizes)
+    starts, width = letters[first], letters[first + GRAM] - letters[first]
+    crc = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    for k in range(int(width.max(initial=0))):
+        at = slice(None) if k < GRAM else np.flatnonzero(width > k)
+        crc[at] = _CRC[(crc[at] ^ raw[starts[at] + k]) & 0xFF] ^ (crc[at] >> 8)
+    out = np.empty(len(crc) + len(words), np.int64)
+    out[np.arange(len(crc)) + of] = (crc ^ 0xFFFFFFFF) >> (32 - HASH_BITS)
+    out[np.cumsum(sizes + 1) - 1] = np.fromiter(map(zlib.crc32, edged), np.int64, len(words)) >> (32 - HASH_BITS)
+    return out, sizes + 1
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges, and the range of each."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def grams_in(texts: list[str | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts (of those marked in ``only`` if given) and the text of each, in order of the texts; with repeats."""
+    sets = [words_of(t) for t in texts]
+    words = list(set().union(*sets))
+    grams, sizes = hashed(words)
+    if only is not None:
+        kept = only[grams]
+        sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[kept], minlength=len(words))
+        grams = grams[kept]
+    place = dict(zip(words, range(len(words)), strict=True))
+    lengths = [len(s) for s in sets]
+    ids = np.fromiter(map(place.__getitem__, chain.from_iterable(sets)), np.int64, sum(lengths))
+    text = np.repeat(np.arange(len(texts)), lengths)
+    at, of = _spread((np.cumsum(sizes) - sizes)[ids], sizes[ids])
+    return grams[at], text[of]
+
+
+def distinct_grams(texts: list[str | None], only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_in``, each gram of a text once, ascending."""
+    grams, text = grams_in(texts, only)
+    pairs = np.unique((text << HASH_BITS) | grams)
+    return pairs & ((1 << HASH_BITS) - 1), pairs >> HASH_BITS
+
+
+def _mask(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << HASH_BITS, bool)
+    out[grams] = True
+    return out
+
+
 @dataclass
 class Model:
-    """Weights of the grams that have one; score = 1 / (1 + exp(-(bias + the weights of a text's grams)))."""
+    """Grams that have a weight, ascending, and their weights; score = 1 / (1 + exp(-(bias + the weights of a text's grams)))."""
 
     bias: float = -np.inf
-    weights: dict[int, float] = field(default_factory=dict)
-
-    def weighted(self, word: str) -> tuple[int, ...]:
-        return tuple(g for g in grams_of(word) if g in self.weights)
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def risk_gradient(z: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
@@ -84,44 +161,145 @@ def risk_gradient(z: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float
     return prior * as_toxic[toxic].sum() / n_toxic + clean_risk, by_clean + np.where(toxic, prior * (p - 1) / n_toxic, 0)
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l1: float = 1e-4) -> Model:
-    """``features``: the distinct hashed grams of each document."""
-    if not toxic.any():
+@dataclass
+class Examples:
+    """The training rows: ``is_toxic, doc_id, text``, one for each id; a confirmed one counts as toxic and as unlabelled."""
+
+    rows: DataFrame
+    counts: DataFrame  # gram (-1: all documents), toxic, free
+    n_toxic: int
+    n_free: int
+
+    def __len__(self) -> int:
+        return self.n_toxic + self.n_free
+
+
+def fit(examples: Examples, prior: float, steps: int = ROUNDS * ROUND_STEPS, rate: float = 0.05, l1: float = 1e-4) -> Model:
+    n_toxic, n_free = examples.n_toxic, examples.n_free
+    if not n_toxic:
         return Model()
-    flat = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    n_toxic, n_free = toxic.sum(), max(1, (~toxic).sum())
-    in_toxic, in_free = (np.bincount(flat[toxic[row] == t], minlength=1 << HASH_BITS) / n for t, n in ((True, n_toxic), (False, n_free)))
-    error = np.sqrt((in_free * (1 - in_free) + 1 / n_free) * (1 / n_toxic + 1 / n_free))
-    # with Yates' continuity correction: one document more or less must not decide, which matters for few examples only
-    names = np.flatnonzero(np.abs(in_toxic - in_free) - 0.5 * (1 / n_toxic + 1 / n_free) > SCREEN * error)
-    place = np.full(1 << HASH_BITS, -1)
-    place[names] = np.arange(len(names))
-    kept = place[flat] >= 0
-    flat, row = place[flat[kept]], row[kept]
-    w, m, v = (np.zeros(len(names) + 1) for _ in range(3))  # the last is the bias
+    grams = _screened(examples)
+    shards = _shards(examples, grams)
+    spark = shards.sparkSession
+    w, m, v = (np.zeros(len(grams) + 1) for _ in range(3))  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
-    for step in range(1, steps + 1):
-        z = np.bincount(row, w[flat], len(features)) + w[-1]
-        _, by_z = risk_gradient(z, toxic, prior)
-        gradient = np.append(np.bincount(flat, by_z[row], len(names)), by_z.sum())
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-4)
-        w = w - scale * m / (1 - 0.9**step)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - scale[:-1] * l1, 0)
-    z = (np.bincount(row, w[flat], len(features)) + w[-1])[~toxic]
-    w[-1] += shift_to_prior(z, prior) if len(z) else 0
+    for first in range(0, steps, ROUND_STEPS):
+        common = spark.sparkContext.broadcast((w, m, v))
+        last = min(steps, first + ROUND_STEPS)
+        moved = shards.groupBy("block").applyInArrow(_steps(common, first, last, prior, n_toxic, n_free, rate, l1), _STATE)
+        mean = moved.groupBy("part").applyInArrow(_mean, "part int, state binary").toArrow().to_pylist()
+        common.destroy()
+        w, m, v = np.concatenate([np.frombuffer(r["state"]).reshape(3, -1) for r in sorted(mean, key=lambda r: r["part"])], axis=1)
+    common = spark.sparkContext.broadcast(w)
+    outputs = materialize(shards.select("grams").mapInArrow(_outputs(common), "z double"))
+    w = w + np.append(np.zeros(len(grams)), shift_to_prior(outputs, prior))
     used = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), dict(zip(names[used].tolist(), w[used].tolist(), strict=True)))
+    return Model(float(w[-1]), grams[used], w[used])
 
 
-def shift_to_prior(z: np.ndarray, prior: float) -> float:
-    """What to add to the outputs of unlabelled text for a mean score of ``prior``."""
+def _screened(examples: Examples) -> np.ndarray:
+    """The grams whose shares differ by ``SCREEN`` standard errors; no more than there are hashed grams."""
+    n_toxic, n_free = examples.n_toxic, max(1, examples.n_free)
+    in_toxic, in_free = F.col("toxic") / n_toxic, F.col("free") / n_free
+    error = F.sqrt((in_free * (1 - in_free) + 1 / n_free) * (1 / n_toxic + 1 / n_free))
+    # with Yates' continuity correction: one document more or less must not decide, which matters for few examples only
+    differs = F.abs(in_toxic - in_free) - 0.5 * (1 / n_toxic + 1 / n_free) > SCREEN * error
+    found = examples.counts.where("gram >= 0").where(differs).select("gram").toArrow()
+    return np.sort(found.column("gram").to_numpy().astype(np.int32))
+
+
+def _shards(examples: Examples, grams: np.ndarray) -> DataFrame:
+    """``block, at, is_toxic, grams``: the places of each row's screened grams, bucketed by shard."""
+    spark = examples.rows.sparkSession
+    shared = spark.sparkContext.broadcast(grams)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, only = shared.value, _mask(shared.value)
+        for batch in _slices(batches):
+            found, row = distinct_grams(batch.column("text").to_pylist(), only)
+            places = np.split(np.searchsorted(names, found).astype(np.int32), np.searchsorted(row, np.arange(1, batch.num_rows)))
+            kept = [batch.column(c) for c in ("block", "at", "is_toxic")]
+            out = pa.array([p.tobytes() for p in places], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept, out], names=["block", "at", "is_toxic", "grams"])
+
+    at, shards = F.xxhash64("doc_id"), max(1, -(-examples.n_free // SHARD_ROWS))
+    dealt = examples.rows.select(F.pmod(at, F.lit(shards)).cast("bigint").alias("block"), at.alias("at"), "is_toxic", "text")
+    encoded = dealt.mapInArrow(run, "block bigint, at bigint, is_toxic boolean, grams binary")
+    # a shard is one file, so a task that writes does not leave one for each of them
+    return bl.save(encoded.repartition(bl.buckets(spark), "block"), "shards")
+
+
+_STATE = "part int, block bigint, n bigint, state binary"
+
+
+def _sparse(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All places, and the row of each."""
+    raw = column.to_pylist()
+    sizes = np.array([len(r) // 4 for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.int32), np.repeat(np.arange(len(raw)), sizes)
+
+
+def _steps(common, first: int, last: int, prior: float, n_toxic: int, n_free: int, rate: float, l1: float):
+    """Steps ``first`` to ``last`` of Adam on one shard, from the common weights; its state in parts of the grams."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("at")
+        flat, row = _sparse(shard.column("grams"))
+        starts = np.searchsorted(row, np.arange(len(shard) + 1))
+        marked = np.flatnonzero(shard.column("is_toxic").to_numpy(zero_copy_only=False))
+        # by this the toxic rows of all shards weigh the same
+        share = prior * len(marked) / n_toxic * n_free / len(shard)
+        free_batches = max(1, len(shard) // BATCH_ROWS)
+        toxic_batches = max(1, min(free_batches, len(marked) // BATCH_TOXIC))
+        w, m, v = (x.copy() for x in common.value)
+        for step in range(first + 1, last + 1):
+            confirmed = marked[step % toxic_batches :: toxic_batches]
+            rows = np.concatenate([confirmed, np.arange(step % free_batches, len(shard), free_batches)])
+            toxic = np.arange(len(rows)) < len(confirmed)
+            at, of = _spread(starts[rows], starts[rows + 1] - starts[rows])
+            at = flat[at]
+            z = np.bincount(of, w[at], len(rows)) + w[-1]
+            _, by_z = risk_gradient(z, toxic, share)
+            gradient = np.append(np.bincount(at, by_z[of], len(w) - 1), by_z.sum())
+            m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+            scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-4)
+            w = w - scale * m / (1 - 0.9**step)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - scale[:-1] * l1, 0)
+        state, block = np.stack([w, m, v]), shard.column("block")[0].as_py()
+        out = [(i // _PART, block, len(shard), state[:, i : i + _PART].tobytes()) for i in range(0, len(w), _PART)]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        return pa.table(columns, names=["part", "block", "n", "state"])
+
+    return run
+
+
+def _mean(states: pa.Table) -> pa.Table:
+    """The mean of one part over the shards, by their rows."""
+    rows = states.sort_by("block").to_pylist()
+    total = sum(r["n"] for r in rows)
+    mean = np.sum([np.frombuffer(r["state"]) * (r["n"] / total) for r in rows], axis=0)
+    return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "state": pa.array([mean.tobytes()], pa.binary())})
+
+
+def _outputs(common):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = common.value
+        for batch in batches:
+            at, of = _sparse(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(of, w[at], batch.num_rows) + w[-1])], names=["z"])
+
+    return run
+
+
+def shift_to_prior(outputs: DataFrame, prior: float) -> float:
+    """What to add to the outputs ``z`` of unlabelled text for a mean score of ``prior``."""
     low, high = -50.0, 50.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        above = (1 / (1 + np.exp(-np.clip(z + middle, -60, 60)))).mean() > prior
-        low, high = (low, middle) if above else (middle, high)
+    for _ in range(6):
+        shifts = np.linspace(low, high, CUTS + 2).tolist()
+        means = outputs.agg(*[F.avg(1 / (1 + F.exp(-F.greatest(F.least(F.col("z") + s, F.lit(60.0)), F.lit(-60.0))))) for s in shifts[1:-1]]).first()
+        at = sum(x <= prior for x in means)  # the means rise with the shift
+        low, high = shifts[at], shifts[at + 1]
     return (low + high) / 2
 
 
@@ -130,68 +308,75 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [np.array(sorted({g for w in words_of(t.as_py()) for g in grams_of(w)}), np.int32).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["is_toxic", "grams"])
-
-
-def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_unlabelled: int = SAMPLE_UNLABELLED) -> Model:
-    """Fit on the training folds.
+        yield from (batch.slice(i, _AT_ONCE) for i in range(0, batch.num_rows, _AT_ONCE))
+
+
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gram, toxic, free`` of a task's rows: how many toxic and how many documents hold the gram; gram -1 for all of them."""
+    toxic, free = (np.zeros(1 << HASH_BITS, np.int32) for _ in range(2))
+    n_toxic = n_free = 0
+    for batch in _slices(batches):
+        grams, row = grams_in(batch.column("text").to_pylist())
+        each = np.split(grams, np.searchsorted(row, np.arange(1, batch.num_rows)))
+        for of_text, is_toxic in zip(each, batch.column("is_toxic").to_pylist(), strict=True):
+            free[of_text] += 1  # a place that repeats in the index is raised once
+            n_free += 1
+            if is_toxic:
+                toxic[of_text] += 1
+                n_toxic += 1
+    met = np.flatnonzero(free).astype(np.int32)
+    columns = (np.append(met, -1), np.append(toxic[met], n_toxic), np.append(free[met], n_free))
+    for i in range(0, len(met) + 1, 1 << 16):
+        part = [pa.array(c[i : i + (1 << 16)], t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(part, names=["gram", "toxic", "free"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on every document of the training folds.
 
     The prior is the share of ``toxic`` in the labels of those folds, with one toxic and nine clean ones more, so that a
     handful of labels does not call everything toxic.
     """
+    ensure_defaults(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     seen, marked = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not marked:
         return Model()
-    by_hash = F.xxhash64(F.col("doc_id"))
-
-    def smallest(ids: DataFrame, n: int, is_toxic: bool) -> DataFrame:
-        ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
-        return ids.orderBy(by_hash, "doc_id").limit(n).withColumn("is_toxic", F.lit(is_toxic))
-
+    # written, so that small ones are sent to the documents and the documents stay where they are
+    confirmed = materialize(known.where("toxic = 1").select("doc_id").distinct().withColumn("is_toxic", F.lit(True)))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     free = texts.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    # at most n_toxic + n_unlabelled ids
-    sample = smallest(known.where("toxic = 1"), n_toxic, True).union(smallest(free, n_unlabelled, False))
-    # one text of each id, so that ids with many rows leave the bound as it is
-    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "is_toxic").agg(F.min("text").alias("text"))
-    rows = chosen.select("is_toxic", "text").mapInArrow(_grams, "is_toxic boolean, grams binary")
-    table = rows.toArrow()
-    features = [np.frombuffer(g, np.int32) for g in table.column("grams").to_pylist()]
-    return fit(features, np.array(table.column("is_toxic").to_pylist(), bool), (marked + 1) / (seen + 10))
+    repeated = materialize(free.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    once = free if repeated.isEmpty() else free.join(repeated, "doc_id", "left_anti").unionByName(
+        free.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    rows = once.join(confirmed, "doc_id", "left").select("doc_id", F.col("is_toxic").isNotNull().alias("is_toxic"), "text")
+    tasks = rows.select("is_toxic", "text").mapInArrow(_count, "gram int, toxic bigint, free bigint")
+    counts = materialize(tasks.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("free").alias("free")))
+    n_toxic, n_free = counts.where("gram = -1").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("free"), F.lit(0))).first()
+    return fit(Examples(rows, counts, n_toxic, n_free), (marked + 1) / (seen + 10))
 
 
 def score(text: Column, model: Model, spark) -> Column:
     """The score of a text column, 0 to 1."""
-    shared = spark.sparkContext.broadcast(model)  # the weights that are not zero: no more than the sample's grams
+    shared = spark.sparkContext.broadcast(model)  # the weights that are not zero: no more than the hashed grams
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, known = shared.value, _Weighted(shared.value)
+        model, only, weights = shared.value, _mask(shared.value.grams), np.zeros(1 << HASH_BITS)
+        weights[model.grams] = model.weights
         for texts in batches:
-            if len(known) > _KNOWN_WORDS:
-                known.clear()
-            found = [set().union(*filter(None, map(known.__getitem__, words_of(t)))) for t in texts]
-            z = np.array([model.bias + sum(model.weights[g] for g in sorted(f)) for f in found], float)
+            z = np.full(len(texts), model.bias)
+            for i in range(0, len(texts), _AT_ONCE):
+                grams, row = distinct_grams(texts.iloc[i : i + _AT_ONCE].tolist(), only)
+                part = z[i : i + _AT_ONCE]
+                part += np.bincount(row, weights[grams], len(part))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))) * np.isfinite(z))
 
     return run(text)
 
 
-class _Weighted(dict):
-    """The grams with a weight of each word met."""
-
-    def __init__(self, model: Model):
-        self.weighted = model.weighted
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = grams = self.weighted(word)
-        return grams
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row for each row of ``docs``."""
     value = score(F.col("text").cast("string"), train(docs, labels), docs.sparkSession)

@@ -26,6 +26,10 @@ _DEFAULTS = {
     # the last-K limit sorts each scan task's rows before their shuffle; with splits of the default
     # 128 MB that sort spills on an executor of 2 GB a core
     "spark.sql.files.maxPartitionBytes": "32m",
+    # batches of whole texts for the Python workers: 10,000 rows of some KB are held several times over
+    # by the executor and each of its workers, and neither gives the memory back
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

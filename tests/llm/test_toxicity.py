@@ -67,3 +67,35 @@ def test_repeated_ids_leave_the_sample_bounded(spark, monkeypatch):
     tx.train(d, spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, toxic int"))
     free = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 30))
     assert seen == [1 + free]
+
+
+def test_every_training_document_is_learnt_from(spark, monkeypatch):
+    """More documents than one shard; the telling word stands only in those that come last by the hash of their id."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(tx, "SHARD_ROWS", 1000)
+    ids = spark.range(12000).withColumn("toxic", (F.col("id") % 3 == 0).cast("int")).withColumn("at", F.xxhash64("id"))
+    last = sorted((r.at for r in ids.where("toxic = 1").where(~tx.held_out(F.col("id"))).collect()))[2000]
+    assert ids.where((F.col("at") >= last) & (F.col("toxic") == 1)).where(~tx.held_out(F.col("id"))).count() > 500
+    telling = (F.col("toxic") == 1) & (F.col("at") >= last)
+    text = F.concat_ws(" ", F.lit("alpha beta"), F.concat(F.lit("w"), F.col("id") % 50), F.when(telling, "scumword"))
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text")).localCheckpoint()
+    labels = ids.select(F.col("id").alias("doc_id"), "toxic")
+    seen, fit = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda rows, *a: seen.append((rows.n_toxic, rows.n_free)) or fit(rows, *a))
+    by = {r.doc_id: r.score for r in tx.scored(docs, labels).collect()}
+    kept = [i for i in range(12000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen == [(sum(i % 3 == 0 for i in kept), len(kept))]
+    marked = {r.doc_id for r in docs.where("text LIKE '%scumword'").collect()}
+    assert min(by[i] for i in marked) > 0.9 and max(by[i] for i in by.keys() - marked) < 0.5
+
+
+def test_grams_of_many_words_at_once():
+    words = ["a", "ab", "abc", "grams", "x" * 40, "straße", "слово", "日本語の", "_1", "é"]
+    grams, sizes = tx.hashed(words)
+    parts = np.split(grams, np.cumsum(sizes)[:-1])
+    assert [sorted(set(p.tolist())) for p in parts] == [sorted(set(tx.grams_of(w))) for w in words]
+    assert [len(x) for x in tx.hashed([])] == [0, 0]
+    only = tx._mask(np.unique(grams))
+    found, row = tx.distinct_grams(["a grams a", None, "", "ab straße"], only)
+    assert set(zip(row.tolist(), found.tolist())) == {(i, g) for i, t in ((0, "a grams"), (3, "ab straße")) for w in t.split() for g in tx.grams_of(w)}
