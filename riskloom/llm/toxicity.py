@@ -58,14 +58,15 @@ THRESHOLD = 0.3
 HASH_BITS = 22
 GRAM = 4
 SCREEN = 3.0
-SHARD_ROWS = 1 << 15
-BATCH_ROWS = 1 << 12
-BATCH_TOXIC = 256
+SHARD_ROWS = 1 << 13
+BATCH_ROWS = 1 << 9
+BATCH_TOXIC = 128
 ROUNDS = 10
 ROUND_STEPS = 30
 CUTS = 31
 _PART = 1 << 14
-_AT_ONCE = 512
+_AT_ONCE = 256
+_KNOWN_WORDS = 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -110,26 +111,50 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def grams_in(texts: list[str | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of texts (of those marked in ``only`` if given) and the text of each, in order of the texts; with repeats."""
-    sets = [words_of(t) for t in texts]
-    words = list(set().union(*sets))
-    grams, sizes = hashed(words)
-    if only is not None:
-        kept = only[grams]
-        sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[kept], minlength=len(words))
-        grams = grams[kept]
-    place = dict(zip(words, range(len(words)), strict=True))
-    lengths = [len(s) for s in sets]
-    ids = np.fromiter(map(place.__getitem__, chain.from_iterable(sets)), np.int64, sum(lengths))
-    text = np.repeat(np.arange(len(texts)), lengths)
-    at, of = _spread((np.cumsum(sizes) - sizes)[ids], sizes[ids])
-    return grams[at], text[of]
-
-
-def distinct_grams(texts: list[str | None], only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Words(dict):
+    """The places of the words met, and their grams (those marked in ``only`` if given)."""
+
+    def __init__(self, only: np.ndarray | None = None):
+        self.only, self.new = only, []
+        self.grams, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of texts, and the text of each."""
+        if len(self) > _KNOWN_WORDS:
+            self.clear()
+            self.grams, self.sizes = self.grams[:0], self.sizes[:0]
+        sets = [words_of(t) for t in texts]
+        lengths = [len(s) for s in sets]
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(sets)), np.int64, sum(lengths))
+        self._hash_new()
+        return ids, np.repeat(np.arange(len(texts)), lengths)
+
+    def _hash_new(self) -> None:
+        grams, sizes = hashed(self.new)
+        if self.only is not None:
+            kept = self.only[grams]
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+            grams = grams[kept]
+        self.grams, self.sizes = np.append(self.grams, grams.astype(np.int32)), np.append(self.sizes, sizes)
+        self.new = []
+
+
+def grams_in(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts and the text of each, in order of the texts; with repeats."""
+    ids, text = words.places(texts)
+    sizes = words.sizes[ids]
+    at, of = _spread((np.cumsum(words.sizes) - words.sizes)[ids], sizes)
+    return words.grams[at], text[of]
+
+
+def distinct_grams(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """``grams_in``, each gram of a text once, ascending."""
-    grams, text = grams_in(texts, only)
+    grams, text = grams_in(texts, words)
     pairs = np.unique((text << HASH_BITS) | grams)
     return pairs & ((1 << HASH_BITS) - 1), pairs >> HASH_BITS
 
@@ -214,12 +239,13 @@ def _shards(examples: Examples, grams: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(grams)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, only = shared.value, _mask(shared.value)
+        words, place = Words(_mask(shared.value)), np.zeros(1 << HASH_BITS, np.int32)
+        place[shared.value] = np.arange(len(shared.value))
         for batch in _slices(batches):
-            found, row = distinct_grams(batch.column("text").to_pylist(), only)
-            places = np.split(np.searchsorted(names, found).astype(np.int32), np.searchsorted(row, np.arange(1, batch.num_rows)))
+            found, row = distinct_grams(batch.column("text").to_pylist(), words)
+            data, ends = _gaps(place[found], row, batch.num_rows)
             kept = [batch.column(c) for c in ("block", "at", "is_toxic")]
-            out = pa.array([p.tobytes() for p in places], pa.binary())
+            out = pa.array([data[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([*kept, out], names=["block", "at", "is_toxic", "grams"])
 
     at, shards = F.xxhash64("doc_id"), max(1, -(-examples.n_free // SHARD_ROWS))
@@ -232,11 +258,34 @@ def _shards(examples: Examples, grams: np.ndarray) -> DataFrame:
 _STATE = "part int, block bigint, n bigint, state binary"
 
 
+def _gaps(places: np.ndarray, row: np.ndarray, rows: int) -> tuple[bytes, list[int]]:
+    """The ascending places of each row as gaps, seven bits a byte and the eighth on a gap's last, and where each row ends."""
+    first = np.diff(row, prepend=-1) != 0
+    gaps = np.where(first, places, np.diff(places, prepend=0))
+    width = 1 + (gaps >= 1 << 7) + (gaps >= 1 << 14) + (gaps >= 1 << 21)
+    ends = np.cumsum(width)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(4):
+        at = np.flatnonzero(width > k)
+        out[ends[at] - width[at] + k] = ((gaps[at] >> 7 * k) & 0x7F) | np.where(width[at] == k + 1, 0x80, 0)
+    return out.tobytes(), np.append(0, ends)[np.searchsorted(row, np.arange(rows), "right")].tolist()
+
+
 def _sparse(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All places, and the row of each."""
+    """All places, and the row of each; from ``_gaps``."""
     raw = column.to_pylist()
-    sizes = np.array([len(r) // 4 for r in raw], np.int64)
-    return np.frombuffer(b"".join(raw), np.int32), np.repeat(np.arange(len(raw)), sizes)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    last = np.flatnonzero(data & 0x80)
+    starts = np.append(0, last + 1)[: len(last)]
+    gaps = np.zeros(len(last), np.int32)
+    for k in range(4):
+        at = np.flatnonzero(last - starts >= k)
+        gaps[at] |= (data[starts[at] + k].astype(np.int32) & 0x7F) << 7 * k
+    row = np.repeat(np.arange(len(raw)), np.diff(np.searchsorted(last, np.append(0, np.cumsum([len(r) for r in raw])))))
+    total = np.cumsum(gaps, dtype=np.int64)
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    sizes = np.diff(np.append(begins, len(row)))
+    return (total - np.repeat(total[begins] - gaps[begins], sizes)).astype(np.int32), row
 
 
 def _steps(common, first: int, last: int, prior: float, n_toxic: int, n_free: int, rate: float, l1: float):
@@ -244,8 +293,11 @@ def _steps(common, first: int, last: int, prior: float, n_toxic: int, n_free: in
 
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("at")
-        flat, row = _sparse(shard.column("grams"))
-        starts = np.searchsorted(row, np.arange(len(shard) + 1))
+        read = [_sparse(shard.column("grams").slice(i, BATCH_ROWS)) for i in range(0, len(shard), BATCH_ROWS)]
+        flat = np.concatenate([places for places, _ in read])
+        sizes = np.concatenate([np.bincount(row, minlength=BATCH_ROWS) for _, row in read])[: len(shard)]
+        starts = np.append(0, np.cumsum(sizes))
+        del read
         marked = np.flatnonzero(shard.column("is_toxic").to_numpy(zero_copy_only=False))
         # by this the toxic rows of all shards weigh the same
         share = prior * len(marked) / n_toxic * n_free / len(shard)
@@ -317,8 +369,9 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``gram, toxic, free`` of a task's rows: how many toxic and how many documents hold the gram; gram -1 for all of them."""
     toxic, free = (np.zeros(1 << HASH_BITS, np.int32) for _ in range(2))
     n_toxic = n_free = 0
+    words = Words()
     for batch in _slices(batches):
-        grams, row = grams_in(batch.column("text").to_pylist())
+        grams, row = grams_in(batch.column("text").to_pylist(), words)
         each = np.split(grams, np.searchsorted(row, np.arange(1, batch.num_rows)))
         for of_text, is_toxic in zip(each, batch.column("is_toxic").to_pylist(), strict=True):
             free[of_text] += 1  # a place that repeats in the index is raised once
@@ -364,12 +417,13 @@ def score(text: Column, model: Model, spark) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, only, weights = shared.value, _mask(shared.value.grams), np.zeros(1 << HASH_BITS)
+        model, weights = shared.value, np.zeros(1 << HASH_BITS)
+        words = Words(_mask(model.grams))
         weights[model.grams] = model.weights
         for texts in batches:
             z = np.full(len(texts), model.bias)
             for i in range(0, len(texts), _AT_ONCE):
-                grams, row = distinct_grams(texts.iloc[i : i + _AT_ONCE].tolist(), only)
+                grams, row = distinct_grams(texts.iloc[i : i + _AT_ONCE].tolist(), words)
                 part = z[i : i + _AT_ONCE]
                 part += np.bincount(row, weights[grams], len(part))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))) * np.isfinite(z))

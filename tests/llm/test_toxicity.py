@@ -96,6 +96,19 @@ def test_grams_of_many_words_at_once():
     parts = np.split(grams, np.cumsum(sizes)[:-1])
     assert [sorted(set(p.tolist())) for p in parts] == [sorted(set(tx.grams_of(w))) for w in words]
     assert [len(x) for x in tx.hashed([])] == [0, 0]
-    only = tx._mask(np.unique(grams))
-    found, row = tx.distinct_grams(["a grams a", None, "", "ab straße"], only)
-    assert set(zip(row.tolist(), found.tolist())) == {(i, g) for i, t in ((0, "a grams"), (3, "ab straße")) for w in t.split() for g in tx.grams_of(w)}
+    known = tx.Words(tx._mask(np.unique(grams)))
+    for _ in range(2):
+        found, row = tx.distinct_grams(["a grams a", None, "", "ab straße"], known)
+        assert set(zip(row.tolist(), found.tolist())) == {(i, g) for i, t in ((0, "a grams"), (3, "ab straße")) for w in t.split() for g in tx.grams_of(w)}
+
+
+def test_places_as_gaps():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [[], [0], [5, 127, 128, 300], [], sorted(rng.choice(1 << 22, 50, replace=False).tolist()), [(1 << 22) - 1], []]
+    places, row = np.array(sum(rows, [])), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    data, ends = tx._gaps(places, row, len(rows))
+    back, of = tx._sparse(pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary()))
+    assert [back[of == i].tolist() for i in range(len(rows))] == rows
+    assert [len(x) for x in tx._sparse(pa.array([b""], pa.binary()))] == [0, 0]
