@@ -301,7 +301,8 @@ def _steps(common, first: int, last: int, prior: float, n_toxic: int, n_free: in
         marked = np.flatnonzero(shard.column("is_toxic").to_numpy(zero_copy_only=False))
         # by this the toxic rows of all shards weigh the same
         share = prior * len(marked) / n_toxic * n_free / len(shard)
-        free_batches = max(1, len(shard) // BATCH_ROWS)
+        # few shards take larger batches: a step of all of them sees no fewer rows than one shard has
+        free_batches = max(1, len(shard) // max(BATCH_ROWS, SHARD_ROWS // -(-n_free // SHARD_ROWS)))
         toxic_batches = max(1, min(free_batches, len(marked) // BATCH_TOXIC))
         w, m, v = (x.copy() for x in common.value)
         for step in range(first + 1, last + 1):
