@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_defaults
-from ..sources.sinks import scratch_path
+from ..sources.sinks import bucketed
 
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 1 << 15
@@ -81,11 +81,7 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def save(rows: DataFrame, stem: str) -> DataFrame:
     """Write rows with a ``block`` column bucketed by it; read them back."""
-    spark = rows.sparkSession
-    path = scratch_path(spark, stem)
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    rows.write.bucketBy(buckets(spark), "block").option("path", path).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "block", stem, compression="none")
 
 
 def buckets(spark: SparkSession) -> int:

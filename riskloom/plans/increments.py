@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import states
-from ..operators.aggspec import Agg
+from ..operators.aggspec import Agg, input_columns
 from ..sources import sinks
 from . import features as fe, specs
 
@@ -24,9 +24,17 @@ class Rollup:
         return states.state(rows, self.key, self.specs, k=specs.LAST_K, **self.order)
 
     def advance(self, old: DataFrame | None, rows: DataFrame) -> DataFrame:
-        """The written state of ``old`` and ``rows``; only ``rows`` and the old state are read."""
+        """The written state of ``old`` and ``rows``; only ``rows`` and the old state are read.
+
+        States are bucketed by the key, so a merge shuffles the new state and never the old one.
+        """
         new = self.state(rows)
-        return sinks.materialize(new if old is None else states.merge(old, new, self.key, self.specs, specs.LAST_K))
+        return sinks.bucketed(new if old is None else states.merge(old, new, self.key, self.specs, specs.LAST_K), self.key, "state")
+
+    def columns(self) -> list[str]:
+        """What a state reads of its rows."""
+        order = [*self.order.get("order_by", ()), *self.order.get("tie_break", ())]
+        return list(dict.fromkeys([self.key, *order, *input_columns(list(self.specs))]))
 
     def finish(self, state: DataFrame) -> DataFrame:
         return states.finish(state, self.key, self.specs)
@@ -43,10 +51,15 @@ ROLLUPS = {
 
 
 def in_batches(name: str, rows: DataFrame, batches: int = 3) -> DataFrame:
-    """The rollup of all ``rows``, which arrive in ``batches`` by a hash of the row."""
+    """The rollup of all ``rows``, which arrive in ``batches`` by a hash of the row.
+
+    They are written once, each batch by itself and only what the states read, so a batch reads no rows of another.
+    """
     rollup, state = ROLLUPS[name], None
-    rows = sinks.materialize(rows)
-    batch = F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
+    batch = F.pmod(F.xxhash64(*rows.columns), F.lit(batches)).cast("int").alias("arrives_in")
+    rows = rows.select(*rollup.columns(), batch)
+    path = sinks.write_table(rows, sinks.scratch_path(rows.sparkSession, "batches"), partition_by=["arrives_in"])
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
     for i in range(batches):
-        state = rollup.advance(state, rows.where(batch == i))
+        state = rollup.advance(state, written.where(F.col("arrives_in") == i).drop("arrives_in"))
     return rollup.finish(state)
