@@ -128,6 +128,40 @@ def agg_column(a: Agg) -> Column:
     return F.expr(agg_sql(a, gated=False))
 
 
+def part_columns(specs: list[Agg], plain: set[str]) -> tuple[list[Column], list[Column]]:
+    """``(parts, outputs)``: aggregates that the specs share, each once, and every output as an expression of them.
+
+    Equal to ``agg_column`` of each spec; ``plain`` are the columns whose mean is a sum of doubles over a count.
+    """
+    counts: dict[str, str] = {}
+    values: dict[str, dict[str, str]] = {}  # by column, so that its extremes and sums are neighbours
+
+    def part(sql: str, of: str | None = None) -> str:
+        held = counts if of is None else values.setdefault(of, {})
+        return held.setdefault(sql, f"_part_{'n' if of is None else list(values).index(of)}_{len(held)}")
+
+    outputs = []
+    for a in specs:
+        c = _ident(a.column)
+        if a.kind == "count":
+            out = part(f"count({c})")
+        elif a.kind == "rows":
+            out = part("count(*)")
+        elif a.kind == "count_if":
+            out = part(f"count(CASE WHEN {a.pred.sql(c)} THEN 1 END)")
+        elif a.kind == "share":
+            out = f"{part(f'count(CASE WHEN {a.pred.sql(c)} THEN 1 END)')} / {part('count(*)')}"
+        elif a.kind == "mean" and a.column in plain:
+            out = f"{part(f'sum(CAST({c} AS DOUBLE))', c)} / nullif({part(f'count({c})')}, 0)"
+        elif a.kind == "range":
+            out = f"{part(f'max({c})', c)} - {part(f'min({c})', c)}"
+        else:
+            out = part(agg_sql(a, gated=False).rsplit(" AS ", 1)[0], c)
+        outputs.append(F.expr(f"{out} AS {_ident(a.name)}"))
+    every = counts | {sql: name for held in values.values() for sql, name in held.items()}
+    return [F.expr(f"{sql} AS {name}") for sql, name in every.items()], outputs
+
+
 def agg_sql(a: Agg, rank_col: str = "rk", k: int = 3, gated: bool = True) -> str:
     """SQL rendering of one spec row (valid in Spark SQL and DuckDB).
 

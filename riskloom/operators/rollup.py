@@ -1,42 +1,52 @@
 """Spec-driven group rollup (A11-A20) with optional last-K features.
 
 ``rollup(df, key, specs)`` = one ``groupBy(key).agg(...)`` over the columns
-the spec needs. Specs that look at the K most recent rows are computed from
+the spec needs. What it shuffles are the parts that the outputs share (a count and
+a sum of each column, not those of each mean); counts come first and the values
+of one column lie side by side, so equal and near-equal bytes compress. Specs that look at the K most recent rows are computed from
 ``first_k_rows`` (a window limited before the shuffle) in a second
 aggregate over the same key, and joined to the first on the key: both sides
 are one row per key and already hash-partitioned by it, so the join adds no
-exchange of its own.
+exchange of its own. Columns that ``derive`` adds row by row are computed after
+that shuffle, from raw columns that travel anyway.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, NumericType
 
-from .aggspec import Agg, agg_column, input_columns
+from .aggspec import Agg, agg_column, input_columns, part_columns
 from .recency import first_k_rows
 
 
+def _aggregated(df: DataFrame, key: str, specs: Sequence[Agg]) -> DataFrame:
+    """The outputs of ``specs`` by ``key``, from shared parts."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    plain = {c for c, of in types.items() if isinstance(of, NumericType) and not isinstance(of, DecimalType)}
+    parts, outputs = part_columns(specs, plain)
+    return df.groupBy(key).agg(*parts).select(key, *outputs)
+
+
 def rollup(df: DataFrame, key: str, specs: Sequence[Agg], order_by: Sequence[str] = (),
            tie_break: Sequence[str] = (), k: int = 3, descending: bool = True,
-           drop_null_keys: bool = True) -> DataFrame:
+           drop_null_keys: bool = True, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     specs = list(specs)
     full = [a for a in specs if not a.last_k]
     recent = [a for a in specs if a.last_k]
     if drop_null_keys:  # pandas groupby drops null keys (N5)
         df = df.where(F.col(key).isNotNull())
 
-    needed = [key] + [c for c in input_columns(full) if c != key]
-    out = df.select(*needed).groupBy(key).agg(*[agg_column(a) for a in full])
+    derived = derive(df)
+    out = _aggregated(derived.select(key, *[c for c in input_columns(full) if c != key]), key, full)
 
     if recent:
         if not order_by:
             raise ValueError("last-K features need an order")
-        order_cols = list(order_by) + [c for c in tie_break if c not in order_by]
-        cols = [key] + [c for c in dict.fromkeys(order_cols + input_columns(recent)) if c != key]
-        top = first_k_rows(df.select(*cols), key, order_by, k, tie_break, descending)
+        top = derive(first_k_rows(df, key, order_by, k, tie_break, descending))
         top_agg = top.groupBy(key).agg(*[agg_column(a) for a in recent])
         out = out.join(top_agg, key, "left")
 

@@ -125,13 +125,14 @@ def installments_agg(installments: DataFrame, as_written: bool = False,
                      tie_break: Sequence[str] = INSTALLMENT_TIES) -> DataFrame:
     """IN-01..IN-15. Recent = the 3 latest due days (D6); ``as_written`` takes the 3 oldest."""
     return rollup(
-        installments_enriched(installments),
+        installments,
         "SK_ID_PREV",
         specs.INSTALLMENTS,
         order_by=["DAYS_INSTALMENT"],
         tie_break=tie_break,
         k=specs.LAST_K,
         descending=not as_written,
+        derive=installments_enriched,
     )
 
 
@@ -158,13 +159,14 @@ def credit_card_enriched(card: DataFrame) -> DataFrame:
 def credit_card_agg(card: DataFrame, tie_break: Sequence[str] = CARD_TIES) -> DataFrame:
     """CC-01..CC-27; recent = the 3 latest months."""
     return rollup(
-        credit_card_enriched(card),
+        card,
         "SK_ID_PREV",
         specs.CREDIT_CARD,
         order_by=["MONTHS_BALANCE"],
         tie_break=tie_break,
         k=specs.LAST_K,
         descending=True,
+        derive=credit_card_enriched,
     )
 
 
