@@ -96,12 +96,14 @@ class GbtParams:
 
 
 def gbt_pipeline(features: Sequence[str], params: GbtParams = GbtParams()) -> Pipeline:
+    # no cached node ids: a row finds its node in five comparisons at most, while a cache would be a further
+    # table of the rows, made, kept and read again at every level of every tree (the trees are the same)
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),
         GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, maxIter=params.rounds,
                       stepSize=params.learning_rate, maxDepth=params.max_depth, subsamplingRate=params.subsample,
                       featureSubsetStrategy=params.colsample, seed=params.seed,
-                      checkpointInterval=params.checkpoint_interval, cacheNodeIds=True),
+                      checkpointInterval=params.checkpoint_interval, cacheNodeIds=False),
     ])
 
 

@@ -131,3 +131,14 @@ def test_a_fit_keeps_its_own_columns_on_disk(spark):
     assert kept.columns == ["a", "TARGET", "class_weight"]
     assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
     kept.unpersist()
+
+
+def test_trees_need_no_table_of_node_ids(spark):
+    """Spark keeps no node id of each row between the levels of a tree; the trees are those of a fit that does."""
+    train = _planted(spark, 800).where("split = 'train'")
+    pipeline = ml.gbt_pipeline(["x1", "x2"], ml.GbtParams(rounds=3))
+    assert not pipeline.getStages()[-1].getCacheNodeIds()
+    plain = pipeline.fit(train).stages[-1].toDebugString
+    pipeline.getStages()[-1].setCacheNodeIds(True)
+    named = lambda text: text.split("\n", 1)[1]  # noqa: E731  (the first line has the uid)
+    assert named(plain) == named(pipeline.fit(train).stages[-1].toDebugString)
