@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunk_ids import ChunkIds, portions
+from .held import held
 
 
 def byte_alphabet() -> str:
@@ -107,15 +108,9 @@ class Encoder:
         return [b"".join(islice(each, len(ts))) for ts in found]
 
 
-_ENCODERS: dict[tuple[int, int, str], Encoder] = {}
-
-
 def _encoder(model: bytes, pattern: str) -> Encoder:
-    """One for each Python worker: its cache serves the worker's later tasks."""
-    key = (len(model), hash(model), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model, pattern)
-    return _ENCODERS[key]
+    """One for each Python worker while it encodes: its cache serves the worker's later tasks."""
+    return held(("byte_bpe", len(model), hash(model), pattern), lambda: Encoder(model, pattern))
 
 
 class Decoder:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.sinks import materialize
 from . import blocks as bl
+from .held import let_go
 
 FP_BITS = 48  # a collision only makes a suspect more
 OWNER_ENTRIES = 1 << 20
@@ -77,6 +78,7 @@ def _send(owners: int):
     width = -(-(1 << FP_BITS) // owners)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for row in batch.to_pylist():
                 texts = [normalise(t) for t in bl.texts_of(row["sizes"], row["data"])]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .byte_bpe import to_characters
 from .chunk_ids import ChunkIds, portions
+from .held import held
 
 SIZE = 1024
 CACHED = 600_000  # a new word costs a call of the tokenizer; about 200 MB in a worker
@@ -132,26 +133,25 @@ def cut_at_powers(window: list[Piece], level: int) -> list[list[Piece]]:
     return out
 
 
-_TOKENIZERS: dict[int, ChunkIds] = {}
+def _chunk_ids(definition: str) -> ChunkIds:
+    """One for each Python worker while it packs: its cache serves the worker's later tasks."""
+    return held(("packing", hash(definition)), lambda: _new_chunk_ids(definition))
 
 
-def _chunk_ids(definition: str) -> ChunkIds:
-    key = hash(definition)
-    if key not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+def _new_chunk_ids(definition: str) -> ChunkIds:
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tokenizer = Tokenizer.from_str(definition)
-        merge = tokenizer.model.tokenize  # of one pre-token in the byte alphabet
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    tokenizer = Tokenizer.from_str(definition)
+    merge = tokenizer.model.tokenize  # of one pre-token in the byte alphabet
 
-        def pre_token_ids(found: list[str]) -> list[bytes]:
-            return [array("I", [t.id for t in merge(to_characters(p.encode()))]).tobytes() for p in found]
+    def pre_token_ids(found: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in merge(to_characters(p.encode()))]).tobytes() for p in found]
 
-        def other_ids(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def other_ids(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _TOKENIZERS[key] = ChunkIds(pre_token_ids, other_ids, CACHED)
-    return _TOKENIZERS[key]
+    return ChunkIds(pre_token_ids, other_ids, CACHED)
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, max_open: int = MAX_OPEN) -> DataFrame:

@@ -40,6 +40,7 @@ from ..session import ensure_defaults
 from ..sources.sinks import materialize
 from .blocks import NO_ID, rows_of
 from .components import components
+from .held import let_go
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -72,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, digests: bool = Fa
     """``doc_id, fp`` (the 64 bits as a signed long), with the SHA-256 of the text as ``digest`` if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64).view(np.int64)
             columns = {"doc_id": batch.column(0), "fp": pa.array(out)}

@@ -53,6 +53,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import ensure_defaults
 from ..sources.sinks import materialize
 from . import blocks as bl
+from .held import let_go
 
 THRESHOLD = 0.3
 HASH_BITS = 22
@@ -239,6 +240,7 @@ def _shards(examples: Examples, grams: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(grams)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         words, place = Words(_mask(shared.value)), np.zeros(1 << HASH_BITS, np.int32)
         place[shared.value] = np.arange(len(shared.value))
         for batch in _slices(batches):
@@ -368,6 +370,7 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``gram, toxic, free`` of a task's rows: how many toxic and how many documents hold the gram; gram -1 for all of them."""
+    let_go()
     toxic, free = (np.zeros(1 << HASH_BITS, np.int32) for _ in range(2))
     n_toxic = n_free = 0
     words = Words()
@@ -418,6 +421,7 @@ def score(text: Column, model: Model, spark) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         model, weights = shared.value, np.zeros(1 << HASH_BITS)
         words = Words(_mask(model.grams))
         weights[model.grams] = model.weights
