@@ -44,8 +44,14 @@ def recency_rank(df: DataFrame, key: str, order_by: Sequence[str], tie_break: Se
 def first_k_rows(df: DataFrame, key: str, order_by: Sequence[str], k: int, tie_break: Sequence[str] = (),
                  descending: bool = True, rank_name: str = "rk") -> DataFrame:
     """The first ``k`` rows of every group in the given order (1-based ``rank_name``)."""
+    return ranked(df, key, order_by, tie_break, descending, rank_name).where(F.col(rank_name) <= k)
+
+
+def ranked(df: DataFrame, key: str, order_by: Sequence[str], tie_break: Sequence[str] = (),
+           descending: bool = True, rank_name: str = "rk") -> DataFrame:
+    """All rows with their place in the group (from 1), by a window: for groups that a task can sort."""
     w = Window.partitionBy(key).orderBy(*order_columns(order_by, tie_break, descending))
-    return df.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) <= k)
+    return df.withColumn(rank_name, F.row_number().over(w))
 
 
 def recent_flag(rank: str | Column, k: int) -> Column:

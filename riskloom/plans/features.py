@@ -4,7 +4,8 @@ Shape of the plan (one lazy DAG per chain, no driver loop):
 
 * bureau chain: bureau_balance --agg(SK_ID_BUREAU)--> J1 --derive--> agg(SK_ID_CURR) --> J2
 * previous chain: POS_CASH / installments / credit_card --agg(SK_ID_PREV)--> J3-J5
-  --derive--> agg(SK_ID_CURR) --> J6
+  --derive--> agg(SK_ID_CURR) --> J6; the three are written one after another, so that the
+  disk holds the shuffle of one of them at a time
 
 Every child table is aggregated to one row per key *before* it is joined
 (no fan-out), so each join is 1:1 on a unique key and no join key is hot.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import flag, safe_div, sentinel_to_null
 from ..operators import keyset
 from ..operators.rollup import rollup
+from ..sources import sinks
 from . import specs
 
 ACTIVE = "Active"
@@ -122,8 +124,8 @@ def installments_enriched(installments: DataFrame) -> DataFrame:
 
 
 def installments_agg(installments: DataFrame, as_written: bool = False,
-                     tie_break: Sequence[str] = INSTALLMENT_TIES) -> DataFrame:
-    """IN-01..IN-15. Recent = the 3 latest due days (D6); ``as_written`` takes the 3 oldest."""
+                     tie_break: Sequence[str] = INSTALLMENT_TIES, measure: bool = False) -> DataFrame:
+    """IN-01..IN-15. Recent = the 3 latest due days (D6); ``as_written`` takes the 3 oldest. ``measure`` as in ``rollup``."""
     return rollup(
         installments,
         "SK_ID_PREV",
@@ -133,6 +135,7 @@ def installments_agg(installments: DataFrame, as_written: bool = False,
         k=specs.LAST_K,
         descending=not as_written,
         derive=installments_enriched,
+        measure=measure,
     )
 
 
@@ -156,8 +159,8 @@ def credit_card_enriched(card: DataFrame) -> DataFrame:
     )
 
 
-def credit_card_agg(card: DataFrame, tie_break: Sequence[str] = CARD_TIES) -> DataFrame:
-    """CC-01..CC-27; recent = the 3 latest months."""
+def credit_card_agg(card: DataFrame, tie_break: Sequence[str] = CARD_TIES, measure: bool = False) -> DataFrame:
+    """CC-01..CC-27; recent = the 3 latest months. ``measure`` as in ``rollup``."""
     return rollup(
         card,
         "SK_ID_PREV",
@@ -167,9 +170,14 @@ def credit_card_agg(card: DataFrame, tie_break: Sequence[str] = CARD_TIES) -> Da
         k=specs.LAST_K,
         descending=True,
         derive=credit_card_enriched,
+        measure=measure,
     )
 
 
+def _approved() -> Column:
+    return flag(F.col("NAME_CONTRACT_STATUS").isin("Approved", "Unused offer"))  # D1
+
+
 def previous_derived(previous: DataFrame) -> DataFrame:
     """P38-P49 on previous applications that already carry the three child aggregates.
 
@@ -178,7 +186,7 @@ def previous_derived(previous: DataFrame) -> DataFrame:
     """
     status = F.col("NAME_CONTRACT_STATUS")
     day = {c: sentinel_to_null(c) for c in PREVIOUS_DATE_COLUMNS}
-    approved = flag(status.isin("Approved", "Unused offer"))  # D1
+    approved = _approved()
     refused = flag(status == F.lit("Refused"))  # D1
     return previous.withColumns({
         **day,
@@ -199,8 +207,16 @@ def previous_derived(previous: DataFrame) -> DataFrame:
 
 def previous_enriched(previous: DataFrame, pos_cash: DataFrame, installments: DataFrame,
                       card: DataFrame) -> DataFrame:
-    """J3-J5 (all on SK_ID_PREV: one shuffle of the previous applications serves the three)."""
-    return previous_with(previous, pos_cash_agg(pos_cash), installments_agg(installments), credit_card_agg(card))
+    """J3-J5 (all on SK_ID_PREV: one shuffle of the previous applications serves the three).
+
+    The children are written first, one row per key each, and joined without a further exchange: a plan over all of them
+    would keep the shuffles of their rows on disk until its last task ends.
+    """
+    makes = [lambda: credit_card_agg(card, measure=True), lambda: installments_agg(installments, measure=True),
+             lambda: pos_cash_agg(pos_cash)]
+    with sinks.shuffles_freed(previous.sparkSession):
+        card_agg, inst_agg, pos_agg = [sinks.bucketed(make(), "SK_ID_PREV", "child", compression="zstd") for make in makes]
+    return previous_with(previous, pos_agg, inst_agg, card_agg)
 
 
 def previous_with(previous: DataFrame, *aggregates: DataFrame) -> DataFrame:
@@ -213,11 +229,14 @@ def previous_with(previous: DataFrame, *aggregates: DataFrame) -> DataFrame:
 def previous_agg(previous: DataFrame, pos_cash: DataFrame, installments: DataFrame, card: DataFrame,
                  as_written: bool = False) -> DataFrame:
     """PREV-01..PREV-94 by SK_ID_CURR; recent = the 3 latest decisions."""
-    return previous_rollup(previous_enriched(previous, pos_cash, installments, card), as_written)
+    return previous_rollup(previous_enriched(previous, pos_cash, installments, card), as_written, previous)
 
 
-def previous_rollup(enriched: DataFrame, as_written: bool = False) -> DataFrame:
+def previous_rollup(enriched: DataFrame, as_written: bool = False, previous: DataFrame | None = None) -> DataFrame:
+    """``previous``: the rows of ``enriched`` before its joins. The last K read no column of a child, so they are taken there."""
     feature_list = specs.previous_as_written() if as_written else specs.PREVIOUS
+    recent = previous.select("SK_ID_CURR", "DAYS_DECISION", *PREVIOUS_TIES, _approved().alias("is_approved")) \
+        if previous is not None else None
     return rollup(
         enriched,
         "SK_ID_CURR",
@@ -226,6 +245,7 @@ def previous_rollup(enriched: DataFrame, as_written: bool = False) -> DataFrame:
         tie_break=PREVIOUS_TIES,
         k=specs.LAST_K,
         descending=True,
+        recent_rows=recent,
     )
 
 

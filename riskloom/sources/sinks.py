@@ -9,7 +9,8 @@ recomputes from the written table, not from the raw files.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,35 @@ def bucketed(df: DataFrame, key: str, stem: str = "table", **options: str) -> Da
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start and end in here delete their shuffle files at their end; else these stay until the driver
+    collects its garbage, which on a job of many steps means that the disk holds the shuffles of all."""
+    old = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, old)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """The last scratch table named in here is the result; at the end those that led to it are deleted."""
+    first = len(_SCRATCH)
+    try:
+        with shuffles_freed(spark):
+            yield
+    finally:
+        _delete(spark, slice(first, -1))
+
+
 _SCRATCH: list[str] = []
 
 
@@ -62,10 +92,15 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables that this process made; call it when no result that reads them is needed any more."""
+    return _delete(spark, slice(None))
+
+
+def _delete(spark: SparkSession, which: slice) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    deleted = 0
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    gone, deleted = _SCRATCH[which], 0
+    del _SCRATCH[which]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         deleted += path.getFileSystem(conf).delete(path, True)
     return deleted
 
@@ -100,7 +135,8 @@ def build_features(spark: SparkSession, sources: dict[str, DataFrame], out_dir:
     inst = materialize(fe.installments_agg(sources["installments"]), paths["installments_agg"])  # SNK-02
     card = materialize(fe.credit_card_agg(sources["credit_card"]), paths["credit_card_agg"])  # SNK-04
     enriched = fe.previous_with(sources["previous_application"], fe.pos_cash_agg(sources["pos_cash"]), inst, card)
-    paths["previous_agg"] = write_table(fe.previous_rollup(enriched), f"{out}/previous_agg")  # SNK-05
+    rolled = fe.previous_rollup(enriched, previous=sources["previous_application"])
+    paths["previous_agg"] = write_table(rolled, f"{out}/previous_agg")  # SNK-05
     processed, _ = pr.encode(pr.recode(sources["application"].join(bureau_agg, "SK_ID_CURR", "left")))
     paths["processed"] = write_table(processed, f"{out}/processed")  # SNK-03
     return paths
