@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, NumericType
 
+from ..sources.sinks import shuffles_freed
 from .aggspec import Agg, agg_column, agg_sql, input_columns, part_columns
 from .recency import first_k_rows, ranked
 
@@ -48,13 +49,14 @@ def plain_rows_are_less(df: DataFrame, key: str, n_parts: int, k: int) -> bool:
 
     Counts every row, by passes over the key alone; only the form of the plan hangs on it.
     """
-    seen = df.select(F.struct(F.spark_partition_id(), key).alias("seen"))
-    rows, groups = seen.agg(F.count("*"), F.approx_count_distinct("seen")).first()
-    if rows * len(df.columns) >= groups * (1 + n_parts) + min(rows, groups * k) * len(df.columns):
-        return False
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = F.pmod(F.xxhash64(key), F.lit(partitions * _CELLS))
-    return df.groupBy(cell.alias("cell")).count().agg(F.max("count")).first()[0] <= rows / partitions
+    with shuffles_freed(df.sparkSession):
+        seen = df.select(F.struct(F.spark_partition_id(), key).alias("seen"))
+        rows, groups = seen.agg(F.count("*"), F.approx_count_distinct("seen")).first()
+        if rows * len(df.columns) >= groups * (1 + n_parts) + min(rows, groups * k) * len(df.columns):
+            return False
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cell = F.pmod(F.xxhash64(key), F.lit(partitions * _CELLS))
+        return df.groupBy(cell.alias("cell")).count().agg(F.max("count")).first()[0] <= rows / partitions
 
 
 def rollup(df: DataFrame, key: str, specs: Sequence[Agg], order_by: Sequence[str] = (),

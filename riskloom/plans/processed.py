@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, is_null_flag, not_null_flag, safe_div, sentinel_to_null
 from ..operators.encode import Vocabulary, encode
+from ..sources import sinks
 from . import features as fe
 from .specs import bureau_output_columns
 
@@ -94,5 +95,9 @@ def model_table(application: DataFrame, bureau: DataFrame, bureau_balance: DataF
     df, vocab = processed_features(application, bureau, bureau_balance, vocab)
     df = model_ratios(history_flags(df))
     if previous is not None:
-        df = df.join(fe.previous_agg(previous, pos_cash, installments, card), "SK_ID_CURR", "left")
+        # written before the bureau chain runs, and what it was made from is deleted: the disk holds one chain at a time
+        with sinks.intermediate(previous.sparkSession), sinks.shuffles_freed(previous.sparkSession):
+            previous_agg = sinks.bucketed(fe.previous_agg(previous, pos_cash, installments, card), "SK_ID_CURR", "previous",
+                                          compression="zstd")
+        df = df.join(previous_agg, "SK_ID_CURR", "left")
     return df, vocab

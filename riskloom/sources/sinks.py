@@ -58,7 +58,10 @@ _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Queries that start and end in here delete their shuffle files at their end; else these stay until the driver
-    collects its garbage, which on a job of many steps means that the disk holds the shuffles of all."""
+    collects its garbage, which on a job of many steps means that the disk holds the shuffles of all.
+
+    Not for ``toLocalIterator``: it reads its shuffles after the end of what Spark takes for the query.
+    """
     old = spark.conf.get(_FREE_SHUFFLES, None)
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
@@ -75,8 +78,7 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
     """The last scratch table named in here is the result; at the end those that led to it are deleted."""
     first = len(_SCRATCH)
     try:
-        with shuffles_freed(spark):
-            yield
+        yield
     finally:
         _delete(spark, slice(first, -1))
 
