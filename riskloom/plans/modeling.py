@@ -33,33 +33,39 @@ def model_inputs(t, with_previous: bool = True, parts=split.THREE_WAY) -> tuple[
 
     Reads the processed table and the previous-application aggregate where they are written, else builds them.
     """
-    processed = _written(t, "processed")
-    if processed is not None:
-        table = pr.model_ratios(pr.history_flags(processed))
-        if with_previous:
-            table = table.join(_written(t, "previous_agg"), "SK_ID_CURR", "left")
-    else:
-        extra = (t.previous_application, t.pos_cash, t.installments, t.credit_card) if with_previous else ()
-        table, _ = pr.model_table(t.application, t.bureau, t.bureau_balance, *extra)
+    with sinks.intermediate(t.spark):
+        processed = _written(t, "processed")
+        if processed is not None:
+            table = pr.model_ratios(pr.history_flags(processed))
+            if with_previous:
+                table = table.join(_written(t, "previous_agg"), "SK_ID_CURR", "left")
+        else:
+            extra = (t.previous_application, t.pos_cash, t.installments, t.credit_card) if with_previous else ()
+            table, _ = pr.model_table(t.application, t.bureau, t.bureau_balance, *extra)
+        # one materialisation as Parquet in the shared checkpoint folder: medians, weights and
+        # every optimiser step then read it instead of re-running both history rollups, and a
+        # lost executor recomputes from the written table
+        with sinks.shuffles_freed(t.spark):
+            table = sinks.materialize(table)
     return _prepared(table, parts)
 
 
 def tree_inputs(t) -> tuple[DataFrame, list[str]]:
     """The tree model's own input: the processed table without the baseline's fills and ratios, 75 / 25."""
-    processed = _written(t, "processed")
-    if processed is None:
-        processed, _ = pr.processed_features(t.application, t.bureau, t.bureau_balance)
+    with sinks.intermediate(t.spark):
+        processed = _written(t, "processed")
+        if processed is None:
+            processed, _ = pr.processed_features(t.application, t.bureau, t.bureau_balance)
+        with sinks.shuffles_freed(t.spark):
+            processed = sinks.materialize(processed)
     return _prepared(processed, split.TWO_WAY)
 
 
 def _prepared(table: DataFrame, parts) -> tuple[DataFrame, list[str]]:
-    # one materialisation as Parquet in the shared checkpoint folder: medians, weights and
-    # every optimiser step then read it instead of re-running both history rollups, and a
-    # lost executor recomputes from the written table
-    table = sinks.materialize(table)
-    # stratified on the label, at the exact share of each class; the cuts are literals, so no copy is made
-    table = split.hash_split(table, "SK_ID_CURR", parts, label=ml.LABEL, exact=True)
-    table = ml.with_class_weights(table, ml.LABEL, fit_on=table.where(F.col("split") == "train"))
+    with sinks.shuffles_freed(table.sparkSession):
+        # stratified on the label, at the exact share of each class; the cuts are literals, so no copy is made
+        table = split.hash_split(table, "SK_ID_CURR", parts, label=ml.LABEL, exact=True)
+        table = ml.with_class_weights(table, ml.LABEL, fit_on=table.where(F.col("split") == "train"))
     return table, ml.feature_columns(table)
 
 
