@@ -23,16 +23,17 @@ def _processed(t) -> DataFrame:
 
 def _previous(t) -> DataFrame:
     pos = fe.pos_cash_agg(t["pos_cash"])
-    return fe.previous_rollup(fe.previous_with(t["previous_application"], pos, t["installments_agg"], t["credit_card_agg"]))
+    enriched = fe.previous_with(t["previous_application"], pos, t["installments_agg"], t["credit_card_agg"])
+    return fe.previous_rollup(enriched, previous=t["previous_application"])
 
 
 TABLES = [
     Table("application_table", "SK_ID_CURR", ["application"], lambda t: t["application"], _definition()),
     Table("bureau_agg", "SK_ID_CURR", ["bureau", "bureau_balance"], lambda t: fe.bureau_agg(t["bureau"], t["bureau_balance"]),
           _definition(specs.BUREAU_BALANCE, specs.BUREAU)),
-    Table("installments_agg", "SK_ID_PREV", ["installments"], lambda t: fe.installments_agg(t["installments"]),
+    Table("installments_agg", "SK_ID_PREV", ["installments"], lambda t: fe.installments_agg(t["installments"], measure=True),
           _definition(specs.INSTALLMENTS, specs.LAST_K, fe.INSTALLMENT_TIES)),
-    Table("credit_card_agg", "SK_ID_PREV", ["credit_card"], lambda t: fe.credit_card_agg(t["credit_card"]),
+    Table("credit_card_agg", "SK_ID_PREV", ["credit_card"], lambda t: fe.credit_card_agg(t["credit_card"], measure=True),
           _definition(specs.CREDIT_CARD, specs.LAST_K, fe.CARD_TIES)),
     Table("previous_agg", "SK_ID_CURR", ["previous_application", "pos_cash", "installments_agg", "credit_card_agg"], _previous,
           _definition(specs.POS_CASH, specs.PREVIOUS, specs.LAST_K, fe.PREVIOUS_TIES)),

@@ -13,7 +13,7 @@ the one that finds its number taken; its tables stay unnamed. ``vacuum`` deletes
 A table's fingerprint covers the fingerprints of its inputs (size and time of each file, read and summed by Spark) and
 its definition. Where the current build holds a table of the same name and fingerprint, it is taken over unread.
 
-Tables of one build share the number of buckets, so those with the same key join without an exchange. Empty
+The shuffle files of a table go when it is written. Tables of one build share the number of buckets, so those with the same key join without an exchange. Empty
 tables are written like others. Null keys share one bucket, so a key should not be null in many rows.
 """
 
@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
+
 
 @dataclass(frozen=True)
 class Table:
@@ -141,8 +143,9 @@ class Build:
         name = f"riskloom_write_{uuid.uuid4().hex}"
         try:
             # rows meet in the task of their bucket first: one file for each bucket, not one for each task and bucket
-            df.repartition(buckets, t.key).write.format("parquet").bucketBy(buckets, t.key) \
-                .option("path", f"{self.folder}/{folder}").saveAsTable(name)
+            with sinks.shuffles_freed(self.spark):
+                df.repartition(buckets, t.key).write.format("parquet").bucketBy(buckets, t.key) \
+                    .option("path", f"{self.folder}/{folder}").saveAsTable(name)
             columns = self.spark.table(name)._jdf.schema().toDDL()  # quotes the names of nested fields too
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files of a table with a path stay
