@@ -55,11 +55,12 @@ def in_batches(name: str, rows: DataFrame, batches: int = 3) -> DataFrame:
 
     They are written once, each batch by itself and only what the states read, so a batch reads no rows of another.
     """
-    rollup, state = ROLLUPS[name], None
+    rollup, state, spark = ROLLUPS[name], None, rows.sparkSession
     batch = F.pmod(F.xxhash64(*rows.columns), F.lit(batches)).cast("int").alias("arrives_in")
     rows = rows.select(*rollup.columns(), batch)
-    path = sinks.write_table(rows, sinks.scratch_path(rows.sparkSession, "batches"), partition_by=["arrives_in"])
-    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    for i in range(batches):
-        state = rollup.advance(state, written.where(F.col("arrives_in") == i).drop("arrives_in"))
+    with sinks.shuffles_freed(spark):
+        path = sinks.write_table(rows, sinks.scratch_path(spark, "batches"), partition_by=["arrives_in"])
+        written = spark.read.schema(rows.schema).parquet(path)
+        for i in range(batches):
+            state = rollup.advance(state, written.where(F.col("arrives_in") == i).drop("arrives_in"))
     return rollup.finish(state)
