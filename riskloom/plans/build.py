@@ -22,7 +22,7 @@ def _processed(t) -> DataFrame:
 
 
 def _previous(t) -> DataFrame:
-    pos = fe.pos_cash_agg(t["pos_cash"])
+    pos = fe.child_written(fe.pos_cash_agg(t["pos_cash"]))
     enriched = fe.previous_with(t["previous_application"], pos, t["installments_agg"], t["credit_card_agg"])
     return fe.previous_rollup(enriched, previous=t["previous_application"])
 

@@ -212,11 +212,14 @@ def previous_enriched(previous: DataFrame, pos_cash: DataFrame, installments: Da
     The children are written first, one row per key each, and joined without a further exchange: a plan over all of them
     would keep the shuffles of their rows on disk until its last task ends.
     """
-    makes = [lambda: credit_card_agg(card, measure=True), lambda: installments_agg(installments, measure=True),
-             lambda: pos_cash_agg(pos_cash)]
-    with sinks.shuffles_freed(previous.sparkSession):
-        card_agg, inst_agg, pos_agg = [sinks.bucketed(make(), "SK_ID_PREV", "child", compression="zstd") for make in makes]
-    return previous_with(previous, pos_agg, inst_agg, card_agg)
+    card_agg = child_written(credit_card_agg(card, measure=True))
+    inst_agg = child_written(installments_agg(installments, measure=True))
+    return previous_with(previous, child_written(pos_cash_agg(pos_cash)), inst_agg, card_agg)
+
+
+def child_written(aggregate: DataFrame) -> DataFrame:
+    with sinks.shuffles_freed(aggregate.sparkSession):
+        return sinks.bucketed(aggregate, "SK_ID_PREV", "child", compression="zstd")
 
 
 def previous_with(previous: DataFrame, *aggregates: DataFrame) -> DataFrame:

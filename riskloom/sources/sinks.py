@@ -134,9 +134,10 @@ def build_features(spark: SparkSession, sources: dict[str, DataFrame], out_dir:
     paths["bureau_agg"] = f"{out}/bureau_agg"
     paths["installments_agg"], paths["credit_card_agg"] = f"{out}/installments_agg", f"{out}/credit_card_agg"
     # each child history is aggregated once; the previous chain reads what was written (SRC-09)
-    inst = materialize(fe.installments_agg(sources["installments"]), paths["installments_agg"])  # SNK-02
-    card = materialize(fe.credit_card_agg(sources["credit_card"]), paths["credit_card_agg"])  # SNK-04
-    enriched = fe.previous_with(sources["previous_application"], fe.pos_cash_agg(sources["pos_cash"]), inst, card)
+    inst = materialize(fe.installments_agg(sources["installments"], measure=True), paths["installments_agg"])  # SNK-02
+    card = materialize(fe.credit_card_agg(sources["credit_card"], measure=True), paths["credit_card_agg"])  # SNK-04
+    pos = fe.child_written(fe.pos_cash_agg(sources["pos_cash"]))
+    enriched = fe.previous_with(sources["previous_application"], pos, inst, card)
     rolled = fe.previous_rollup(enriched, previous=sources["previous_application"])
     paths["previous_agg"] = write_table(rolled, f"{out}/previous_agg")  # SNK-05
     processed, _ = pr.encode(pr.recode(sources["application"].join(bureau_agg, "SK_ID_CURR", "left")))
